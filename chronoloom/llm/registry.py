@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chronoloom.llm import lengths, mixing, sharding
+from chronoloom.llm import gif, lengths, mixing, sharding
 
 QUERIES = {
+    "op1_gif": gif.op1_gif,
     "op3_mixing": mixing.op3_mixing,
     "op9_length_histogram": lengths.op9_length_histogram,
     "op10_virtual_slots": sharding.op10_virtual_slots,
