@@ -1,14 +1,16 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chronoloom.llm import gif, lengths, mixing, sharding
+from chronoloom.llm import gif, lengths, mixing, sharding, warc
 
 QUERIES = {
     "op1_gif": gif.op1_gif,
     "op3_mixing": mixing.op3_mixing,
+    "op6_arc_to_warc": warc.op6_arc_to_warc,
     "op9_length_histogram": lengths.op9_length_histogram,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
 
 SQL = {
     "op3_mixing": mixing.OP3_SQL,
+    "op6_arc_to_warc": warc.OP6_SQL,
 }
