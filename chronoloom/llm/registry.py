@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chronoloom.llm import gif, lengths, mixing, sharding, warc
+from chronoloom.llm import gif, lengths, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op1_gif": gif.op1_gif,
+    "op2_simhash": simhash.op2_simhash,
     "op3_mixing": mixing.op3_mixing,
     "op6_arc_to_warc": warc.op6_arc_to_warc,
     "op9_length_histogram": lengths.op9_length_histogram,
