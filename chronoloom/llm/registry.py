@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chronoloom.llm import gif, lengths, mixing, quality, sharding, simhash, warc
+from chronoloom.llm import gif, lengths, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_gif": gif.op1_gif,
     "op2_simhash": simhash.op2_simhash,
     "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_arc_to_warc": warc.op6_arc_to_warc,
     "op9_length_histogram": lengths.op9_length_histogram,
