@@ -163,22 +163,31 @@ def log_ratios(trusted: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     return np.log(shares[0]) - np.log(shares[1])
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, bits: int = BUCKET_BITS) -> DataFrame:
-    """doc_id, the base measures and the length-normalised ratio of every document, in the input's partitions."""
+def judge(texts: list[bytes], ratios: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The base measures (a row each) and the length-normalised ratios of texts."""
+    measures = np.array([base_measures(t) for t in texts], np.int64).reshape(-1, 5)
+    score = np.zeros(len(texts))
+    for first, part in pieces(texts):
+        single, pairs, at = ngram_buckets(part, bits)
+        values = ratios[single] + np.where(pairs >= 0, ratios[pairs], 0.0)
+        # each text by itself, so that equal texts score alike wherever they stand
+        sums = np.array([values[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)])
+        score[first : first + len(part)] = sums / np.maximum(2 * np.diff(at) - 1, 1)
+    return measures, np.round(score, 9)
+
+
+def failed(n_words, n_repeat_words):
+    """The base rules, over columns or arrays."""
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED_PERCENT * n_words)
+
+
+def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """doc_id, the base measures and the ratio of every document, in the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(1))
-            measures = np.array([base_measures(t) for t in texts], np.int64).reshape(-1, 5)
-            score = np.zeros(len(texts))
-            for first, part in pieces(texts):
-                single, pairs, at = ngram_buckets(part, bits)
-                values = ratios[single] + np.where(pairs >= 0, ratios[pairs], 0.0)
-                # each text by itself, so that equal texts score alike wherever they stand
-                n = np.diff(at)
-                sums = np.array([values[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)])
-                score[first : first + len(part)] = sums / np.maximum(2 * n - 1, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in measures.T), pa.array(np.round(score, 9))], names)
+            measures, score = judge(_texts(batch.column(1)), ratios)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in measures.T), pa.array(score)], names)
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
     kinds = [docs.schema["doc_id"].dataType.simpleString(), *["long"] * 5, "double"]
@@ -219,19 +228,50 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
 
 
+def corpus_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
+    trusted = docs.select("doc_id", "text").join(good.filter("good"), "doc_id", "left_semi")
+    return log_ratios(ngram_counts(trusted), ngram_counts(docs))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float | None]:
+    """The ratio table and the threshold. Only labelled documents are scored for the threshold."""
+    good = trusted_labels(labels)
+    ratios = corpus_ratios(docs, good)
+    scores = scored(docs, ratios).withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
+    return ratios, best_threshold(scores, good)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's base measures, score, base_failed and kept."""
     good = trusted_labels(labels)
-    corpus = ngram_counts(docs)
-    trusted = ngram_counts(docs.select("doc_id", "text").join(good.filter("good"), "doc_id", "left_semi"))
-    scores = scored(docs, log_ratios(trusted, corpus))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    scores = materialise(scores.withColumn("base_failed", failed), "quality")
+    scores = scored(docs, corpus_ratios(docs, good))
+    scores = materialise(scores.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))), "quality")
     threshold = best_threshold(scores, good)
     passed = F.lit(True) if threshold is None else F.col("score") >= threshold
     return scores.withColumn("kept", ~F.col("base_failed") & passed).withColumn("threshold", F.lit(threshold).cast("double"))
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns.
+
+    The verdict follows from a document's text, so it is taken again in place, with the
+    ratios and the threshold already known: no text moves for it.
+    """
+    ratios, threshold = fitted(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            measures, score = judge(_texts(batch.column(0)), ratios)
+            kept = ~failed(measures[:, 0], measures[:, 4])
+            if threshold is not None:
+                kept &= score >= threshold
+            whole = pa.RecordBatch.from_arrays(batch.columns[1:], names)
+            yield whole.filter(pa.array(kept, pa.bool_()))
+
+    names = docs.columns
+    return docs.select(utf8().alias("__text"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
