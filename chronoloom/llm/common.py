@@ -83,6 +83,11 @@ def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column])
     return out.drop("__p", "__q", *values, *names[1:], *keys)
 
 
+def shielded(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all columns but those needed under names that clash with nothing; ``toDF(*docs.columns)`` undoes it."""
+    return docs.toDF(*[c if c in needed else f"__x{i}" for i, c in enumerate(docs.columns)])
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, over many tasks."""
     return sys.modules.setdefault("_chronoloom_worker", types.ModuleType("_chronoloom_worker")).__dict__

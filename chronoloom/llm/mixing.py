@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import WORD, materialise, maybe_broadcast, running, table
+from chronoloom.llm.common import WORD, materialise, maybe_broadcast, running, shielded, table
 
 WEIGHTS = (5, 2, 1)
 #: The mix takes three halves of all words, and no source more than twice its own.
@@ -109,8 +109,9 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Documents without words weigh nothing and are repeated like the others of their source.
     """
-    taken = with_copies(docs, seed).filter(F.col("__copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = shielded(docs, "doc_id", "text", "source")
+    taken = with_copies(inner, seed).filter(F.col("__copies") > 0)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*inner.columns).toDF(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

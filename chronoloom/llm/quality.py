@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, table, utf8
+from chronoloom.llm.common import materialise, shielded, table, utf8
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -234,7 +234,7 @@ def corpus_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float | None]:
-    """The ratio table and the threshold. Only labelled documents are scored for the threshold."""
+    """The ratio table and the threshold."""
     good = trusted_labels(labels)
     ratios = corpus_ratios(docs, good)
     scores = scored(docs, ratios).withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
@@ -257,7 +257,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The verdict follows from a document's text, so it is taken again in place, with the
     ratios and the threshold already known: no text moves for it.
     """
-    ratios, threshold = fitted(docs, labels)
+    (ratios, threshold), inner = fitted(docs, labels), shielded(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +268,8 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
             whole = pa.RecordBatch.from_arrays(batch.columns[1:], names)
             yield whole.filter(pa.array(kept, pa.bool_()))
 
-    names = docs.columns
-    return docs.select(utf8().alias("__text"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
+    names = inner.columns
+    return inner.select(utf8().alias("__text"), *names).mapInArrow(run, inner.schema).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, table, utf8
+from chronoloom.llm.common import materialise, shielded, table, utf8
 from chronoloom.llm.graph import components
 
 SEED = 42
@@ -202,9 +202,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Texts are written once, with a row number; the decision moves short rows only, and
     the texts are filtered by row number.
     """
-    columns = docs.columns
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    inner = shielded(docs, "doc_id", "text")
+    numbered = materialise(inner.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = fingerprints(numbered, "doc_id", "__row")
     rows = materialise(rows.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("ident")), "simhash")
     kept = grouped(rows, "ident").filter(F.col("ident") == F.col("group_id")).select(F.col("ident")["__row"].alias("__kept"))
-    return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").select(*inner.columns).toDF(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import table, utf8
+from chronoloom.llm.common import shielded, table, utf8
 
 WINDOW = 32
 STRIDE = 16
@@ -432,27 +432,45 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     return train([t for t, _ in rows], [y for _, y in rows])
 
 
-def scored(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
-    """The columns keep and score of every document, in the input's partitions."""
+def score_batch(net: Network, texts: pa.Array, known: dict) -> np.ndarray:
+    """The scores of a column of texts, a few megabytes at once."""
+    score, part, held = [np.zeros(0)], [], 0
+    for value in texts:
+        part.append(value.as_py())
+        held += len(part[-1])
+        if held >= CHUNK_BYTES:
+            score.append(score_texts(net, part, known))
+            part, held = [], 0
+    score.append(score_texts(net, part, known))
+    return np.concatenate(score)
+
+
+def scored(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id and score of every document, in the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            score, part, first, held = [], [], 0, 0
-            for value in batch.column(0):
-                part.append(value.as_py())
-                held += len(part[-1])
-                if held >= CHUNK_BYTES:
-                    score.append(score_texts(net, part, known))
-                    part, held = [], 0
-            score.append(score_texts(net, part, known))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(score))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_batch(net, batch.column(1), known))], ["doc_id", "score"])
+
+    return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with their columns."""
+    net, inner = fitted(docs, labels), shielded(docs, "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            clean = score_batch(net, batch.column(0), known) < THRESHOLD
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names).filter(pa.array(clean, pa.bool_()))
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(utf8().alias("__text"), *keep).mapInArrow(run, f"{kinds}, score double")
+    names = inner.columns
+    return inner.select(utf8().alias("__text"), *names).mapInArrow(run, inner.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = scored(docs, fitted(docs, labels), "doc_id")
+    out = scored(docs, fitted(docs, labels))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
