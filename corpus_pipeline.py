@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronoloom.llm import mixing, packing, quality, simhash, toxicity
 from chronoloom.llm.common import materialise, table
@@ -17,10 +16,7 @@ from chronoloom.llm.common import materialise, table
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network, trained on the labels, does not predict toxic."""
-    net = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    judged = toxicity.scored(docs, net, *columns)
-    return judged.filter(F.col("score") < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in columns])
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
