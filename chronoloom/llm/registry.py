@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chronoloom.llm import gif, lengths, mixing, packing, quality, sharding, simhash, toxicity, warc
+from chronoloom.llm import gif, lattice, lengths, mixing, packing, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_gif": gif.op1_gif,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_arc_to_warc": warc.op6_arc_to_warc,
+    "op7_lattice": lattice.op7_lattice,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_length_histogram": lengths.op9_length_histogram,
     "op10_virtual_slots": sharding.op10_virtual_slots,
