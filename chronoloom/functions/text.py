@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
@@ -55,7 +56,7 @@ def has_verbal_content(c: Column) -> Column:
     return c.rlike(r"[\p{L}\p{N}]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which no built-in function does."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -149,15 +150,12 @@ def find_location(lines: Column) -> Column:
 
 def screen_context(lines: Column) -> Column:
     """app, resource and location that lines show: the first line with a file name, else the first url."""
-
-    def file_and_app(x: Column) -> Column:
-        app = truthy(strip(F.regexp_extract(strip(x), TITLE_BAR, 2)))
-        return F.when(file_in_line(x).isNotNull(), F.struct(app.alias("app"), file_in_line(x).alias("resource")))
-
-    file = _first(lines, file_and_app)
+    named = F.transform(lines, lambda x: F.struct(file_in_line(x).alias("name"), x.alias("line")))
+    file = F.get(F.filter(named, lambda s: s["name"].isNotNull()), F.lit(0))
+    app = truthy(strip(F.regexp_extract(strip(file["line"]), TITLE_BAR, 2)))
     url = _first(lines, lambda x: truthy(F.regexp_extract(x, URL, 1)))
-    resource = F.when(file.isNotNull(), file["resource"]).otherwise(sanitize_url(url))
-    return F.struct(file["app"].alias("app"), resource.alias("resource"), find_location(lines).alias("location"))
+    resource = F.coalesce(file["name"], sanitize_url(url))
+    return F.struct(app.alias("app"), resource.alias("resource"), find_location(lines).alias("location"))
 
 
 def merge_resource(seen: Column, guessed: Column) -> Column:
@@ -167,9 +165,11 @@ def merge_resource(seen: Column, guessed: Column) -> Column:
     return F.when(seen.isNull(), guess).when(confirmed, guess).otherwise(seen)
 
 
-def enriched(lines: Column, app: Column, resource: Column, location: Column) -> Column:
-    """A description's app, resource and location, overridden by what lines show."""
-    seen = screen_context(lines)
+def enriched(seen: Column, app: Column, resource: Column, location: Column) -> Column:
+    """A description's app, resource and location, overridden by what its screen_context shows.
+
+    Pass a column that holds the context, not the expression: it is used several times.
+    """
     where = F.coalesce(truthy(seen["location"]), location)
     what = merge_resource(seen["resource"], resource)
     return F.struct(

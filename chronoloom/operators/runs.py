@@ -11,22 +11,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from chronoloom.functions.text import UNKNOWN_APP, truthy
 
-TIMELINE = Window.partitionBy("video").orderBy("t_us", "ord")
 RUN_KEY = ("action", "resource", "location")
 
 
+def timeline() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("t_us", "ord")
+
+
 def collapse_runs(entries: DataFrame, key: Sequence[str] = RUN_KEY) -> DataFrame:
     """The first row of each run of equal keys; null equals null."""
     same = F.lit(True)
     marked = entries
     for i, c in enumerate(key):
-        marked = marked.withColumn(f"__lag{i}", F.lag(c).over(TIMELINE))
+        marked = marked.withColumn(f"__lag{i}", F.lag(c).over(timeline()))
         same = same & F.col(c).eqNullSafe(F.col(f"__lag{i}"))
-    marked = marked.withColumn("__nth", F.row_number().over(TIMELINE))
+    marked = marked.withColumn("__nth", F.row_number().over(timeline()))
     return marked.filter((F.col("__nth") == 1) | ~same).drop("__nth", *[f"__lag{i}" for i in range(len(key))])
 
 
@@ -36,7 +39,7 @@ def with_ends(entries: DataFrame, timeline_ends: DataFrame) -> DataFrame:
     timeline_ends has one row (video, timeline_end_us) per video that was observed at all;
     without one the last end stays null.
     """
-    out = entries.join(timeline_ends, "video", "left").withColumn("end_us", F.lead("t_us").over(TIMELINE))
+    out = entries.join(timeline_ends, "video", "left").withColumn("end_us", F.lead("t_us").over(timeline()))
     last = F.when(F.col("timeline_end_us").isNotNull(), F.greatest("t_us", "timeline_end_us"))
     out = out.withColumn("end_us", F.coalesce("end_us", last)).drop("timeline_end_us")
     return out.withColumn("duration_us", F.col("end_us") - F.col("t_us"))

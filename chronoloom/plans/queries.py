@@ -401,7 +401,7 @@ ENRICH_SQL = f"WITH {literals_sql(app=ENRICHED_APP, resource=ENRICHED, location=
 
 def enriched_rows(spark, sf_dir):
     rows = seen_lines(spark, sf_dir, guess=GUESSED, guess_at=GUESSED_AT)
-    return rows.withColumn("e", text.enriched(F.col("lines"), F.lit("guess"), F.col("guess"), F.col("guess_at")))
+    return rows.withColumn("seen", text.screen_context(F.col("lines"))).withColumn("e", text.enriched(F.col("seen"), F.lit("guess"), F.col("guess"), F.col("guess_at")))
 
 
 @query(f"{ENRICH_SQL} SELECT doc_id, app, resource, location FROM l")

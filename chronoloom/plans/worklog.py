@@ -25,8 +25,9 @@ def enriched(descriptions: DataFrame, ocr: DataFrame) -> DataFrame:
     """descriptions (one per frame, same video and ord as its lines) corrected by what the lines show."""
     lines = ocr.select("video", "ord", F.col("lines").alias("__lines"))
     out = descriptions.join(lines, ["video", "ord"], "left")
-    out = out.withColumn("__e", text.enriched(text.normalized_lines(F.coalesce("__lines", F.array().cast("array<string>"))), F.col("app"), F.col("resource"), F.col("location")))
-    return out.withColumns({c: F.col(f"__e.{c}") for c in ("app", "resource", "location")}).drop("__e", "__lines")
+    out = out.withColumn("__seen", text.screen_context(text.normalized_lines(F.coalesce("__lines", F.array().cast("array<string>")))))
+    out = out.withColumn("__e", text.enriched(F.col("__seen"), F.col("app"), F.col("resource"), F.col("location")))
+    return out.withColumns({c: F.col(f"__e.{c}") for c in ("app", "resource", "location")}).drop("__e", "__seen", "__lines")
 
 
 def observations(frames: DataFrame, ocr: DataFrame) -> DataFrame:

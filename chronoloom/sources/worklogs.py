@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
 from pyspark.sql.window import Window
 
 from chronoloom.functions.text import search_text
-from chronoloom.schemas import WORKLOG
+from chronoloom.schemas import WORKLOG, names
 
 
 def read_worklogs(spark: SparkSession, *paths: str) -> DataFrame:
@@ -19,12 +18,11 @@ def read_worklogs(spark: SparkSession, *paths: str) -> DataFrame:
     """
     lines = spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     lines = lines.withColumn("line", F.col("line") + 1).filter(F.trim("value") != "")
-    schema = StructType([*WORKLOG.fields]).add("_corrupt", StringType())
-    parsed = lines.withColumn("r", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = parsed.filter(F.col("r._corrupt").isNotNull() | F.col("r").isNull()).orderBy("file", "line").select("file", "line").first()
+    bad = lines.filter(F.try_parse_json("value").isNull()).orderBy("file", "line").select("file", "line").first()
     if bad:
         raise ValueError(f"malformed record at {bad['file']}:{bad['line']}")
-    return parsed.select("file", "line", *[f"r.{c}" for c in WORKLOG.names])
+    parsed = lines.withColumn("r", F.from_json("value", WORKLOG))
+    return parsed.select("file", "line", *[f"r.{c}" for c in names(WORKLOG)])
 
 
 def search_documents(records: DataFrame) -> DataFrame:
