@@ -16,8 +16,9 @@ def read_worklogs(spark: SparkSession, *paths: str) -> DataFrame:
     Lines are numbered inside each file by their order in it; a file is read by one task,
     as a log of one recording is small.
     """
-    lines = spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    lines = lines.withColumn("line", F.col("line") + 1).filter(F.trim("value") != "")
+    numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("value")))
+    lines = spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("file"), F.inline(numbered))
+    lines = lines.filter(F.trim("value") != "")
     bad = lines.filter(F.try_parse_json("value").isNull()).orderBy("file", "line").select("file", "line").first()
     if bad:
         raise ValueError(f"malformed record at {bad['file']}:{bad['line']}")
