@@ -17,7 +17,7 @@ def read_worklogs(spark: SparkSession, *paths: str) -> DataFrame:
     as a log of one recording is small.
     """
     numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("value")))
-    lines = spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("file"), F.inline(numbered))
+    lines = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.inline(numbered))
     lines = lines.filter(F.trim("value") != "")
     bad = lines.filter(F.try_parse_json("value").isNull()).orderBy("file", "line").select("file", "line").first()
     if bad:
