@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NORM_FLOOR = 1e-12
+#: Query vectors that are broadcast at once.
+BLOCK_QUERIES = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,15 +29,18 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
 def top_k(documents: DataFrame, queries: DataFrame, k: int, doc_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact cosine top k of documents for each query (query_id, query_vector); ties by document id.
 
-    Queries are a stated set: they are broadcast and met block by block with every
-    document, and each task keeps k per query before anything is shuffled.
+    Queries are a stated set and meet all documents in blocks of about BLOCK_QUERIES, so
+    that what is broadcast at once has a bound; tasks keep k per query before they shuffle.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     unit = documents.select(F.col(doc_id), l2_normalize(F.col(vector)).alias("v"))
     asked = queries.select("query_id", l2_normalize(F.col("query_vector")).alias("q"))
-    scored = unit.join(F.broadcast(asked)).select("query_id", doc_id, dot(F.col("v"), F.col("q")).alias("score"))
-    from pyspark.sql.window import Window
-
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), doc_id)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    parts = []
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        scored = unit.join(F.broadcast(block)).select("query_id", doc_id, dot(F.col("v"), F.col("q")).alias("score"))
+        parts.append(scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, parts)
