@@ -1,9 +1,8 @@
 """Folds over a timeline whose state depends on earlier decisions.
 
 No window function can express them: the state is the last *selected* row, not the last
-row. Each video is one ordered stream through applyInPandas' sibling over Arrow batches:
-rows are dealt by video, sorted, and folded while they stream by, so a task holds one
-state and one batch, however long a video is.
+row. Rows are dealt by video, sorted, and folded as they stream by in Arrow batches: a
+task holds one state and one batch, however long a video is, and no video is collected.
 """
 
 from __future__ import annotations
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 
 def ordered_fold(rows: DataFrame, step: Callable, out: str, out_type: str, order: tuple[str, ...] = ("t_us", "ord")) -> DataFrame:
     """rows with the column out: step(state, row) -> (state, value) in order within each video; state starts as None."""
-    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` {out_type}"]) if schema else out
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` {out_type}"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, state = object(), None
