@@ -229,7 +229,8 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
 
 
 def corpus_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
-    trusted = docs.select("doc_id", "text").join(good.filter("good"), "doc_id", "left_semi")
+    # a merge join at every size: a broadcast of labels has no bound
+    trusted = docs.select("doc_id", "text").join(good.filter("good").hint("merge"), "doc_id", "left_semi")
     return log_ratios(ngram_counts(trusted), ngram_counts(docs))
 
 
