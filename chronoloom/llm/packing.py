@@ -35,8 +35,8 @@ CLOSING = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers at most; beyond it, it starts afresh.
 REMEMBERED = 800_000
-#: White space and special-token strings that a split at ASCII white space would not treat as the tokenizer does.
-UNSPLITTABLE = re.compile(rb"<\|(?:start|end)oftext\|>")
+#: Strings of special tokens, which the tokenizer looks for before it lower-cases and splits.
+UNSPLITTABLE = re.compile(rb"<\|(?:start|end)oftext\|>", re.IGNORECASE)
 BATCH_IDS = 1 << 20
 
 
@@ -55,22 +55,57 @@ def word_tokenizer(path: str | None = None):
     return cache["tokenizer", path]
 
 
+def word_ids(words: list[bytes], tokenizer, ends: np.ndarray) -> list[bytes]:
+    """Little-endian ids of distinct words; ends: which ids close a run of letters or of other signs.
+
+    Words of letters alone are encoded many at a time, as one text: each closes with the
+    only such id it has.
+    """
+    texts = [w.decode("utf-8", "replace") for w in words]
+    out: list[bytes | None] = [None] * len(words)
+    plain = [i for i, t in enumerate(texts) if t.isalpha()]
+    for at in range(0, len(plain), 5000):
+        part = plain[at : at + 5000]
+        ids = np.array(tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, "<u4")
+        closes = np.flatnonzero(ends[ids]) + 1
+        if len(closes) == len(part):
+            data, begin = ids.tobytes(), 0
+            for i, end in zip(part, (4 * closes).tolist(), strict=True):
+                out[i] = data[begin:end]
+                begin = end
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for at in range(0, len(rest), 20_000):
+        part = rest[at : at + 20_000]
+        coded = tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)
+        for i, c in zip(part, coded, strict=True):
+            out[i] = np.array(c.ids, "<u4").tobytes()
+    return out
+
+
+def bare(word: bytes) -> bytes:
+    """A word without the full stop or comma after its last ASCII letter or digit; the tokenizer parts them anyway."""
+    return word[:-1] if word[-1:] in (b".", b",") and word[-2:-1].isalnum() else word
+
+
 def encode(texts: list[bytes], tokenizer, known: dict[bytes, bytes], closing: int = CLOSING) -> list[np.ndarray]:
     """The ids of whole texts, each with the closing token.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids are its
-    words' ids; each word is encoded once a worker. Texts with the strings of special
-    tokens are encoded in one go.
+    The tokenizer lower-cases, drops white space and lets no token cross it, so a text's
+    ids are its words' ids; each word is encoded once a worker. Texts with the strings of
+    special tokens are encoded in one go.
     """
-    split = [None if b"<|" in t and UNSPLITTABLE.search(t) else t.split() for t in texts]
-    fresh = list({w for words in split if words is not None for w in words if w not in known})
+    ends = token_ends(tokenizer)
+    split = [None if b"<|" in t and UNSPLITTABLE.search(t) else t.lower().split() for t in texts]
+    fresh = {w for words in split if words is not None for w in words if w not in known}
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
-        fresh = list({w for words in split if words is not None for w in words})
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
+        fresh = {w for words in split if words is not None for w in words}
+    stems = list({bare(w) for w in fresh} | {b".", b","})
+    stems = [w for w in stems if w not in known]
+    known.update(zip(stems, word_ids(stems, tokenizer, ends), strict=True))
+    for w in fresh:
+        if w not in known:
+            known[w] = known[w[:-1]] + known[w[-1:]]
     end, out = np.array([closing], "<u4").tobytes(), []
     for text, words in zip(texts, split, strict=True):
         if words is None:
@@ -81,6 +116,16 @@ def encode(texts: list[bytes], tokenizer, known: dict[bytes, bytes], closing: in
     return out
 
 
+def token_ends(tokenizer) -> np.ndarray:
+    """Which ids end a word of the tokenizer's own splitting."""
+    cache = worker_cache()
+    if "token ends" not in cache:
+        vocabulary = tokenizer.get_vocab()
+        cache["token ends"] = np.zeros(max(vocabulary.values()) + 1, bool)
+        cache["token ends"][[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return cache["token ends"]
+
+
 def cut(n: int, capacity: int = CAPACITY, least: int = LEAST_CUT) -> list[int]:
     """Lengths of the pieces of a document: capacity over powers of two, then the rest."""
     out, size = [], capacity
