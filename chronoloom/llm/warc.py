@@ -1,8 +1,10 @@
 """Legacy archive converter: ARC 1 and 2 to WARC.
 
-An archive is a row (archive, content): any number of gzip members of one record each,
-a few megabytes together. Archives are table rows and not files, as the shared store
-may be one that only Spark reaches; ``content`` is byte for byte what a file would hold.
+An archive is a row (archive, content): plain records, or gzip members of one record
+each, a few megabytes together. Archives are table rows and not files, as the shared
+store may be one that only Spark reaches; ``content`` is byte for byte what a file would
+hold. Plain ARC archives are stored under the table's own compression, which sees whole
+archives and so does better than members.
 
 ARC records begin with one header line whose fields its version block announces:
 
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import materialise, table, utf8
 
 ARCHIVE_BYTES = 4 << 20
-LEVEL = 3
+LEVEL = 6
 #: Fixed values of the ARC format: the fields of a header line, by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -231,18 +233,19 @@ def _archives(names: list[str], contents: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["archive", "content"])
 
 
-def write_arcs(pages: DataFrame) -> DataFrame:
+def write_arcs(pages: DataFrame, zipped: bool = False) -> DataFrame:
     """Archives of pages (key, url, payload): version 1 and 2 by turns."""
+    packed, ending = (member, ".arc.gz") if zipped else (bytes, ".arc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, name, version, out, size = TaskContext.get().partitionId(), 0, "", 1, [], 0
         for batch in batches:
             for key, url, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
                 if not out:
-                    version, name = 1 + n % 2, f"part-{part:05d}-{n:05d}.arc.gz"
-                    out = [member(arc_version_block(version, name))]
+                    version, name = 1 + n % 2, f"part-{part:05d}-{n:05d}{ending}"
+                    out = [packed(arc_version_block(version, name))]
                     size = len(out[0])
-                out.append(member(arc_record(version, name, size, url.as_py(), http_response(payload.as_py(), key.as_py()))))
+                out.append(packed(arc_record(version, name, size, url.as_py(), http_response(payload.as_py(), key.as_py()))))
                 size += len(out[-1])
                 if size >= ARCHIVE_BYTES:
                     yield _archives([name], [b"".join(out)])
@@ -344,7 +347,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    arcs = materialise(write_arcs(pages.select(F.col("page_id").cast("long").alias("key"), "url", utf8("html").alias("payload"))), "arc")
+    arcs = materialise(write_arcs(pages.select(F.col("page_id").cast("long").alias("key"), "url", utf8("html").alias("payload"))), "arc", "zstd")
     warcs = materialise(convert(arcs), "warc")
     return read_warcs(warcs).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
