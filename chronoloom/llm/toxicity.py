@@ -5,7 +5,8 @@ A word enters as its own embedding beside the mean embedding of its character n-
 vocabularies are the 64-bit hashes that toxic training documents hold significantly more
 often than clean ones; any other word or n-gram is a zero vector, seen or not. The network reads windows of 32 words; attention pools a window's states
 to one logit. Every document is scored in all its windows, each overlapping the next by
-half, and takes the largest logit, scaled to a probability on the training documents.
+half, and takes the largest logit, scaled to a probability on training documents that the
+gradient has not seen.
 
 Training is plain numpy on the driver, on at most SAMPLE labelled documents of either
 kind, the ones whose ids hash lowest, and none longer than SAMPLE_BYTES. As labels speak
@@ -34,7 +35,7 @@ WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
 DIM = 8
-SAMPLE = 1500
+SAMPLE = 1200
 SAMPLE_BYTES = 20_000
 STEPS = 300
 BATCH = 256
@@ -43,14 +44,16 @@ DAMPING = 1e-4
 #: Words and n-grams that toxic documents hold more often by a likelihood-ratio statistic of at least this (a chance of 1 in
 #: 100,000) get an embedding, which begins at START in its first place.
 LEAST_G = 20.0
+#: And only if the share of toxic documents that hold them is at least so many times that of clean ones.
+LEAST_RATIO = 10.0
 START = 1.0
-#: Where the threshold lies between the neighbouring clean and toxic training document.
-BORDER = 0.85
+#: Where the threshold lies between the neighbouring clean and toxic document.
+BORDER = 0.6
 THRESHOLD = 0.7
 #: Words whose projections a worker remembers at most; beyond it, it starts afresh.
-REMEMBERED = 250_000
-CHUNK_BYTES = 2 << 20
-WINDOWS_AT_ONCE = 4096
+REMEMBERED = 125_000
+CHUNK_BYTES = 1 << 20
+WINDOWS_AT_ONCE = 2048
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|+-=/\\_~`^@"
 
 
@@ -72,9 +75,9 @@ def features(words: list[bytes]) -> Words:
     """The hashes of distinct words, taken without signs at their edges."""
     bare = [w.strip(EDGE) or w for w in words]
     data = np.frombuffer(b"".join([b"<" + w + b">" for w in bare]), np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in bare], np.int64)
-    owner = np.repeat(np.arange(len(bare)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes up to the word's end
+    sizes = np.array([len(w) + 2 for w in bare], np.int32)
+    owner = np.repeat(np.arange(len(bare), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(data), dtype=np.int32)  # bytes up to the word's end
     rows, owners = [], []
     h = data.copy()
     for n in range(2, 6):
@@ -87,12 +90,19 @@ def features(words: list[bytes]) -> Words:
         mixed = (h[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         rows.append(mixed)
         owners.append(owner[: len(h)][inside])
-    grams, owner = np.concatenate(rows or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+    grams, owner = np.concatenate(rows or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int32)])
     order = np.argsort(owner, kind="stable")
     whole = np.array([zlib.crc32(w) << 32 | zlib.adler32(w) for w in bare], np.uint64)
     return Words(whole, grams[order], owner[order], np.maximum(np.bincount(owner, minlength=len(bare)), 1))
 
 
+def features_of(words: list[bytes], at_once: int = 20_000) -> Words:
+    """features() of many words, a part at a time."""
+    parts = [features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+    owner = [p.owner + np.int32(i * at_once) for i, p in enumerate(parts)]
+    return Words(*(np.concatenate(x) for x in ([p.word for p in parts], [p.grams for p in parts], owner, [p.count for p in parts])))
+
+
 def window_starts(n: int) -> np.ndarray:
     """Where windows over n words begin; the last one ends with the text."""
     if n <= WINDOW:
@@ -279,31 +289,40 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STE
         return Network(Network.fresh(rng, none, none).p, none, none, untrained=True)
     number: dict[bytes, int] = {}
     coded = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words, _ in docs]
-    label = np.array([y for _, y in docs])
-    feats = features(list(number))
-    net = Network.fresh(rng, telling(feats.word, np.arange(len(number)), coded, label), telling(feats.grams, feats.owner, coded, label))
+    label, n_docs = np.array([y for _, y in docs]), len(docs)
+    del docs
+    # every fourth document of a kind is kept from vocabulary and gradient, to set the scale by
+    aside = np.zeros(n_docs, bool)
+    for y in (0, 1):
+        aside[np.flatnonzero(label == y)[3::4]] = True
+    if len(set(label[aside])) < 2:
+        aside[:] = False
+    learning = [ids for ids, a in zip(coded, aside, strict=True) if not a]
+    feats = features_of(list(number))
+    net = Network.fresh(rng, telling(feats.word, np.arange(len(number)), learning, label[~aside]), telling(feats.grams, feats.owner, learning, label[~aside]))
     word, (grams, owner) = found_rows(net.words, feats.word), net.known_grams(feats)
     spans = np.searchsorted(owner, np.arange(len(number) + 1))
     cut = [pieces_of(ids) for ids in coded]
     windows, valid = np.concatenate([w for w, _ in cut]), np.concatenate([v for _, v in cut])
-    doc = np.repeat(np.arange(len(docs)), [len(w) for w, _ in cut])
+    doc = np.repeat(np.arange(n_docs), [len(w) for w, _ in cut])
     toxic = label[doc] == 1
     dense, seen = Adam(0.01), {k: np.full(len(net.p[k]), DAMPING, np.float32) for k in ("word", "gram")}
-    positive, negative = np.flatnonzero(toxic), np.flatnonzero(~toxic)
+    used = ~aside[doc]
+    positive, negative = np.flatnonzero(toxic & used), np.flatnonzero(~toxic & used)
 
     def judged() -> tuple[np.ndarray, np.ndarray]:
         """All windows' logits and every document's largest."""
         found = all_logits(net, net.embed_rows(word, grams, owner, feats.count), windows, valid)
-        best = np.full(len(docs), -1e9)
+        best = np.full(n_docs, -1e9)
         np.maximum.at(best, doc, found)
         return found, best
 
     for step in range(steps):
         if step in (steps * 2 // 5, steps * 7 // 10):
             found, best = judged()
-            positive = np.flatnonzero(toxic & ((found > 0) | (found == best[doc])))
+            positive = np.flatnonzero(toxic & used & ((found > 0) | (found == best[doc])))
             hard = negative[np.argsort(-found[negative], kind="stable")[: max(64, len(negative) // 20)]]
-            negative = np.concatenate([np.flatnonzero(~toxic), *[hard] * 5])
+            negative = np.concatenate([np.flatnonzero(~toxic & used), *[hard] * 5])
         take = np.concatenate([rng.choice(positive, BATCH // 2), rng.choice(negative, BATCH // 2)])
         own, rows = np.unique(windows[take], return_inverse=True)
         lengths = spans[own + 1] - spans[own]
@@ -319,13 +338,15 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STE
             g[-1] = 0
             seen[name] += (g * g).mean(1)
             net.p[name] -= RATE * g / np.sqrt(seen[name])[:, None]
-    net.scale, net.shift = scaled(judged()[1], label)
+    best = judged()[1]
+    net.scale, net.shift = scaled(best[aside], label[aside]) if aside.any() else scaled(best, label)
     return net
 
 
 def telling(hashes: np.ndarray, owner: np.ndarray, docs: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """The hashes, sorted, that significantly more toxic than clean documents hold; owner: each hash's word."""
     keys, ids = np.unique(hashes, return_inverse=True)
+    ids = ids.astype(np.int32)
     order = np.argsort(owner, kind="stable")
     ids, spans = ids[order], np.searchsorted(owner[order], np.arange(owner.max() + 2 if len(owner) else 1))
     times = np.zeros((2, len(keys)), np.int64)
@@ -336,7 +357,8 @@ def telling(hashes: np.ndarray, owner: np.ndarray, docs: list[np.ndarray], label
     share = np.bincount(label, minlength=2) / len(label)
     expected = times.sum(0) * share[:, None]
     g = 2 * np.where(times > 0, times * np.log(np.maximum(times, 1) / np.maximum(expected, 1e-9)), 0).sum(0)
-    return keys[(times[1] > expected[1]) & (g >= LEAST_G)]
+    rate = times / np.bincount(label, minlength=2)[:, None]
+    return keys[(rate[1] >= LEAST_RATIO * rate[0]) & (g >= LEAST_G)]
 
 
 def all_logits(net: Network, x: np.ndarray, windows: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -346,7 +368,7 @@ def all_logits(net: Network, x: np.ndarray, windows: np.ndarray, valid: np.ndarr
 
 
 def scaled(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve over training documents' logits.
+    """Scale and shift of a logistic curve over documents' logits.
 
     THRESHOLD is put into the gap between neighbouring logits that parts the labels best;
     of gaps that do about equally well the widest is taken.
