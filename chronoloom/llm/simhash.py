@@ -207,4 +207,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = fingerprints(numbered, "doc_id", "__row")
     rows = materialise(rows.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("ident")), "simhash")
     kept = grouped(rows, "ident").filter(F.col("ident") == F.col("group_id")).select(F.col("ident")["__row"].alias("__kept"))
-    return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").select(*inner.columns).toDF(*docs.columns)
+    # a merge join at every size: a broadcast of kept rows has no bound
+    return numbered.join(kept.hint("merge"), numbered["__row"] == kept["__kept"], "left_semi").select(*inner.columns).toDF(*docs.columns)
