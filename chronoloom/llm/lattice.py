@@ -18,10 +18,11 @@ word, with its discounted corpus share; what the discount frees weighs the piece
 Shares and marginals sum to one over all words, so scores are proper log probabilities;
 ``piece_score`` is the one over pieces alone.
 
-Plan: a task cuts its documents into blocks of a few megabytes and keeps each block's
+Plan: a task cuts its documents into blocks of some megabytes and keeps each block's
 distinct words once, so that what is shuffled is words per block, not occurrences.
 Words meet by hash, get their corpus count and marginal, and go back to their blocks,
-where documents are summed. All training counts follow from all documents.
+where documents are summed. All training counts follow from all documents. Lists of
+words and numbers travel compressed, many to a row.
 
 Edge cases: null and empty texts are the end token alone; repeated rows count each
 time; null ids train; without training documents the vocabulary's own weights hold; bytes
@@ -45,9 +46,11 @@ from chronoloom.llm.common import materialise, table, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_FOLD = 5, 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Word rows that one task brings together on average.
 WORDS_A_TASK = 200_000
+#: Distinct words that one row of the word table lists.
+WORDS_A_ROW = 5_000
 SMOOTHING = 1000.0
 EM_STEPS = 1
 #: Taken off every training word's count, for the pieces to share.
@@ -159,8 +162,25 @@ def held_out(key):
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_FOLD, F.lit(False))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    return zlib.compress(numbers.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Words hold no white space, so line feeds part them."""
+    return zlib.compress(b"\n".join(words), 1)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split(b"\n")
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. kind 1: a document's words as numbers in its block; kind 0: a block's distinct words, how often training documents hold each."""
+    """Rows of two kinds. kind 1: a document's words as numbers in its block; kind 0: a block's distinct words, and how often training documents hold each."""
     key_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,19 +191,15 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def documents(block: int, keys: list, held: list, ids: list) -> pa.RecordBatch:
             m = len(keys)
-            return pa.RecordBatch.from_arrays([
-                pa.array([1] * m, pa.int32()), pa.array([block] * m, pa.int64()), pa.array(keys, key_type), pa.array(held, pa.bool_()),
-                pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in ids], pa.binary()),
-                pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
-            ], names)
+            columns = [pa.array([1] * m, pa.int32()), pa.array([block] * m, pa.int64()), pa.array(keys, key_type), pa.array(held, pa.bool_())]
+            columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([packed(x) for x in ids], pa.binary()), pa.nulls(m, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         def words(block: int) -> pa.RecordBatch:
-            m = len(number)
-            times = np.bincount(np.concatenate(trained), minlength=m) if trained else np.zeros(m, np.int64)
-            return pa.RecordBatch.from_arrays([
-                pa.array([0] * m, pa.int32()), pa.array([block] * m, pa.int64()), pa.nulls(m, key_type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(list(number), pa.binary()), pa.array(times, pa.int64()),
-            ], names)
+            times = np.bincount(np.concatenate(trained), minlength=len(number)) if trained else np.zeros(len(number), np.int64)
+            columns = [pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.nulls(1, key_type), pa.nulls(1, pa.bool_())]
+            columns += [pa.array([len(number)], pa.int64()), pa.array([packed_words(list(number))], pa.binary()), pa.array([packed(times)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             key_type, at = batch.column(0).type, 0
@@ -198,45 +214,63 @@ def blocks(docs: DataFrame) -> DataFrame:
                     at += 1
                 yield documents(block, batch.column(0)[first:at].to_pylist(), batch.column(1)[first:at].to_pylist(), ids)
                 if size >= BLOCK_BYTES:
-                    yield words(block)
+                    if number:
+                        yield words(block)
                     number, trained, size, n = {}, [], 0, n + 1
-        if size:
+        if number:
             yield words(part << 32 | n)
 
-    names = ["kind", "block", "doc_id", "held_out", "n_words", "ids", "nth", "word", "times"]
-    schema = f"kind int, block long, doc_id {key_kind}, held_out boolean, n_words long, ids binary, nth int, word binary, times long"
+    names = ["kind", "block", "doc_id", "held_out", "n_words", "ids", "times"]
+    schema = f"kind int, block long, doc_id {key_kind}, held_out boolean, n_words long, ids binary, times binary"
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), utf8().alias("text")).mapInArrow(cut, schema)
 
 
 def corpus_words(cut: DataFrame) -> DataFrame:
-    """One row per distinct word: times in all training documents, and the blocks that hold it with its number there."""
-    rows = cut.filter("kind = 0").select("block", "nth", "word", "times")
-    tasks = max(1, -(-rows.count() // WORDS_A_TASK))
+    """Distinct words, WORDS_A_ROW to a row: times in all training documents, and which blocks hold each under which number.
+
+    ends are the places in blocks and nths where each word's entries end.
+    """
+    rows = cut.filter("kind = 0").select("block", "n_words", "ids", "times")
+    tasks = max(1, -(-(rows.agg(F.sum("n_words")).first()[0] or 0) // WORDS_A_TASK))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ids, times in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                words, times = unpacked_words(ids), unpacked(times)
+                to = np.array([zlib.crc32(w) % tasks for w in words])
+                order = np.lexsort((np.arange(len(words)), to))
+                ends = np.flatnonzero(np.r_[to[order][1:] != to[order][:-1], True]) + 1
+                own = np.split(order, ends[:-1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(to[x[0]]) for x in own], pa.int32()), pa.array([block] * len(own), pa.int64()), pa.array([packed_words([words[i] for i in x]) for x in own], pa.binary()),
+                    pa.array([packed(x.astype(np.int32)) for x in own], pa.binary()), pa.array([packed(times[x]) for x in own], pa.binary()),
+                ], ["task", "block", "words", "nths", "times"])
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            own = np.array([number.setdefault(w, len(number)) for w in batch.column(2).to_pylist()], np.int64)
-            for c, x in zip(columns, (own, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))), strict=True):
-                c.append(x)
+            for block, words, nths, times in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                own = np.array([number.setdefault(w, len(number)) for w in unpacked_words(words)], np.int64)
+                for c, x in zip(columns, (own, np.full(len(own), block), unpacked(nths, np.int32), unpacked(times)), strict=True):
+                    c.append(x)
         if not number:
             return
         own, block, nth, times = map(np.concatenate, columns)
         order = np.lexsort((nth, block, own))
-        ends = np.searchsorted(own[order], np.arange(len(number) + 1))
+        ends = np.searchsorted(own[order], np.arange(1, len(number) + 1), "left")
         total = np.bincount(own, weights=times, minlength=len(number)).astype(np.int64)
-        block, nth, names = block[order], nth[order].astype(np.int32), list(number)
-        for at in range(0, len(names), 20_000):
-            to = min(at + 20_000, len(names))
-            spans = [(ends[i], ends[i + 1]) for i in range(at, to)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names[at:to], pa.binary()), pa.array(total[at:to]),
-                pa.array([block[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([nth[a:b].tobytes() for a, b in spans], pa.binary()),
-            ], ["word", "times", "blocks", "nths"])
+        block, nth, names = block[order], nth[order], list(number)
+        for at in range(0, len(names), WORDS_A_ROW):
+            to = min(at + WORDS_A_ROW, len(names))
+            a, b = ends[at - 1] if at else 0, ends[to - 1]
+            known = total[at:to]
+            numbers = [pa.array([int(x)], pa.int64()) for x in (known.sum(), (known > 0).sum())]
+            lists = [packed_words(names[at:to]), packed(known), packed(ends[at:to] - a), packed(block[a:b]), packed(nth[a:b])]
+            yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([x], pa.binary()) for x in lists)], ["trained", "distinct", "words", "times", "ends", "blocks", "nths"])
 
-    dealt = rows.repartitionById(tasks, F.pmod(F.xxhash64("word"), F.lit(tasks)).cast("int"))
-    return dealt.mapInArrow(bring, "word binary, times long, blocks binary, nths binary")
+    dealt = rows.mapInArrow(deal, "task int, block long, words binary, nths binary, times binary").repartitionById(tasks, F.col("task"))
+    return dealt.mapInArrow(bring, "trained long, distinct long, words binary, times binary, ends binary, blocks binary, nths binary")
 
 
 def expected_counts(words: DataFrame, arcs: list, weights: np.ndarray) -> np.ndarray:
@@ -246,8 +280,10 @@ def expected_counts(words: DataFrame, arcs: list, weights: np.ndarray) -> np.nda
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, counts = Lattice(arcs, weights), [0.0] * len(arcs)
         for batch in batches:
-            for word, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(word, times, counts)
+            for listed, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for word, times in zip(unpacked_words(listed), unpacked(known).tolist(), strict=True):
+                    if times:
+                        lattice.expect(word, times, counts)
         found = np.zeros(width * SLICES, np.int64)
         found[: len(arcs)] = np.round(np.array(counts) * FRACTION)
         if found.any():
@@ -262,7 +298,7 @@ def expected_counts(words: DataFrame, arcs: list, weights: np.ndarray) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     out = np.zeros((SLICES, width), np.int64)
-    slices = words.filter("times > 0").select("word", "times").mapInArrow(expect, "slice int, counts binary")
+    slices = words.filter("distinct > 0").select("words", "times").mapInArrow(expect, "slice int, counts binary")
     for row in slices.repartitionById(SLICES, F.col("slice")).mapInArrow(add, "slice int, counts binary").collect():
         out[row["slice"]] = np.frombuffer(bytes(row["counts"]), np.int64)
     return out.ravel()[: len(arcs)] / FRACTION
@@ -278,28 +314,25 @@ def learnt(words: DataFrame, path: str | None = None, steps: int = EM_STEPS) ->
 
 
 def marginals(words: DataFrame, arcs: list, weights: np.ndarray) -> DataFrame:
-    """For every block and task a row: numbers of words in the block, their corpus counts, their log10 marginals."""
+    """For every block and task a row: numbers of words in the block (as steps), their corpus counts, their log10 marginals (single precision)."""
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, parts = Lattice(arcs, weights), []
         for batch in batches:
-            times = batch.column(1).to_numpy(zero_copy_only=False)
-            logs = np.array([lattice.forward(w)[-1] for w in batch.column(0).to_pylist()]) / LOG10
-            block = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            nth = [np.frombuffer(x, np.int32) for x in batch.column(3).to_pylist()]
-            sizes = [len(x) for x in block]
-            if sizes:
-                parts.append((np.concatenate(block), np.concatenate(nth), np.repeat(times, sizes), np.repeat(logs, sizes)))
+            for listed, times, ends, block, nth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                logs = np.array([lattice.forward(w)[-1] for w in unpacked_words(listed)]) / LOG10
+                sizes = np.diff(np.r_[0, unpacked(ends)])
+                parts.append((unpacked(block), unpacked(nth, np.int32), np.repeat(unpacked(times), sizes), np.repeat(logs.astype(np.float32), sizes)))
         if not parts:
             return
         block, nth, times, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((nth, block))
         ids, first = np.unique(block[order], return_index=True)
         for b, own in zip(ids, np.split(order, first[1:]), strict=True):
-            row = [pa.array([int(b)], pa.int64()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (nth, times, logs))]
-            yield pa.RecordBatch.from_arrays(row, ["block", "nths", "counts", "logs"])
+            lists = (packed(np.diff(nth[own], prepend=np.int32(0))), packed(times[own]), logs[own].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), *(pa.array([x], pa.binary()) for x in lists)], ["block", "nths", "counts", "logs"])
 
-    return words.mapInArrow(sum_up, "block long, nths binary, counts binary, logs binary")
+    return words.select("words", "times", "ends", "blocks", "nths").mapInArrow(sum_up, "block long, nths binary, counts binary, logs binary")
 
 
 def summed(cut: DataFrame, values: DataFrame, corpus: tuple[int, int], end: tuple[int, float]) -> DataFrame:
@@ -337,11 +370,12 @@ def summed(cut: DataFrame, values: DataFrame, corpus: tuple[int, int], end: tupl
                     waiting.append((nths, counts, logs))
                     continue
                 if not tables:
-                    nth, count, log = (np.concatenate([np.frombuffer(x, t) for x in column]) for column, t in zip(zip(*waiting, strict=True), (np.int32, np.int64, np.float64), strict=True)) if waiting else (np.zeros(0, np.int64),) * 3
-                    times, logs_ = np.zeros(len(nth), np.int64), np.zeros(len(nth))
-                    times[nth], logs_[nth] = count, log
+                    found = [(np.cumsum(unpacked(a, np.int32)), unpacked(b_), np.frombuffer(c, np.float32)) for a, b_, c in waiting]
+                    times, logs_ = np.zeros(sum(len(x[0]) for x in found), np.int64), np.zeros(sum(len(x[0]) for x in found))
+                    for nth, count, log in found:
+                        times[nth], logs_[nth] = count, log
                     tables, waiting = (times > 0, base(times), whole(times, logs_) + word_log, logs_ + word_log), []
-                own = np.frombuffer(zlib.decompress(ids), np.int32)
+                own = unpacked(ids, np.int32)
                 known, bases, scores, pieces = (t[own] for t in tables)
                 rows.append((doc_id, held, n + 1, int(known.sum()) + int(end_count > 0), float(bases.sum() + base(end_count)), float(scores.sum() + end_log), float(pieces.sum() + end_log)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -360,7 +394,7 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     cut = materialise(blocks(docs), "blocks")
     words = materialise(corpus_words(cut), "words")
     ends = cut.filter("kind = 1 AND NOT held_out").count()
-    times, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.when(F.col("times") > 0, 1))).first()
+    times, distinct = (x or 0 for x in words.agg(F.sum("trained"), F.sum("distinct")).first())
     arcs, weights = learnt(words, path)
     end = (ends, math.log10((ends + 0.5) / (times + ends + 1)))
     out = summed(cut, materialise(marginals(words, arcs, weights), "marginals"), (times, distinct), end)
