@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as its own embedding beside the mean embedding of its character n-grams
-(3 to 5, with word marks), so that unseen words of a known build are recognised. Both
+A word enters as its own embedding beside the sum of its character n-grams' embeddings
+(3 to 5, with word marks) over the root of their number, so that unseen words of a known build are recognised. Both
 vocabularies are the 64-bit hashes that toxic training documents hold significantly more
 often than clean ones; any other word or n-gram is a zero vector, seen or not. The network reads windows of 32 words; attention pools a window's states
 to one logit. Every document is scored in all its windows, each overlapping the next by
@@ -44,8 +44,6 @@ DAMPING = 1e-4
 #: Words and n-grams that toxic documents hold more often by a likelihood-ratio statistic of at least this (a chance of 1 in
 #: 100,000) get an embedding, which begins at START in its first place.
 LEAST_G = 20.0
-#: And only if the share of toxic documents that hold them is at least so many times that of clean ones.
-LEAST_RATIO = 10.0
 START = 1.0
 #: Where the threshold lies between the neighbouring clean and toxic document.
 BORDER = 0.6
@@ -63,12 +61,12 @@ def tokens(text: bytes) -> list[bytes]:
 
 @dataclass
 class Words:
-    """Hashes of distinct words: word has one each, grams those of all words' n-grams, owner says whose, count how many."""
+    """Hashes of distinct words: word has one each, grams those of all words' n-grams, owner says whose, size is the root of how many."""
 
     word: np.ndarray
     grams: np.ndarray
     owner: np.ndarray
-    count: np.ndarray
+    size: np.ndarray
 
 
 def features(words: list[bytes]) -> Words:
@@ -93,14 +91,14 @@ def features(words: list[bytes]) -> Words:
     grams, owner = np.concatenate(rows or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int32)])
     order = np.argsort(owner, kind="stable")
     whole = np.array([zlib.crc32(w) << 32 | zlib.adler32(w) for w in bare], np.uint64)
-    return Words(whole, grams[order], owner[order], np.maximum(np.bincount(owner, minlength=len(bare)), 1))
+    return Words(whole, grams[order], owner[order], np.sqrt(np.maximum(np.bincount(owner, minlength=len(bare)), 1)))
 
 
 def features_of(words: list[bytes], at_once: int = 20_000) -> Words:
     """features() of many words, a part at a time."""
     parts = [features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
     owner = [p.owner + np.int32(i * at_once) for i, p in enumerate(parts)]
-    return Words(*(np.concatenate(x) for x in ([p.word for p in parts], [p.grams for p in parts], owner, [p.count for p in parts])))
+    return Words(*(np.concatenate(x) for x in ([p.word for p in parts], [p.grams for p in parts], owner, [p.size for p in parts])))
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -154,7 +152,7 @@ class Network:
         }, words, grams)
 
     def embed(self, f: Words) -> np.ndarray:
-        return self.embed_rows(found_rows(self.words, f.word), *self.known_grams(f), f.count)
+        return self.embed_rows(found_rows(self.words, f.word), *self.known_grams(f), f.size)
 
     def known_grams(self, f: Words) -> tuple[np.ndarray, np.ndarray]:
         """Rows and owners of those n-grams that have an embedding."""
@@ -162,12 +160,12 @@ class Network:
         hit = rows < len(self.grams)
         return rows[hit], f.owner[hit]
 
-    def embed_rows(self, word: np.ndarray, grams: np.ndarray, owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def embed_rows(self, word: np.ndarray, grams: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
         chars = np.zeros((len(word), DIM), np.float32)
         if len(grams):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             chars[owner[first]] = np.add.reduceat(self.p["gram"][grams], first, axis=0)
-        return np.concatenate([self.p["word"][word], chars / count[:, None].astype(np.float32)], 1)
+        return np.concatenate([self.p["word"][word], chars / size[:, None].astype(np.float32)], 1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of words: shape (words, 2, 3 * HIDDEN)."""
@@ -312,7 +310,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STE
 
     def judged() -> tuple[np.ndarray, np.ndarray]:
         """All windows' logits and every document's largest."""
-        found = all_logits(net, net.embed_rows(word, grams, owner, feats.count), windows, valid)
+        found = all_logits(net, net.embed_rows(word, grams, owner, feats.size), windows, valid)
         best = np.full(n_docs, -1e9)
         np.maximum.at(best, doc, found)
         return found, best
@@ -327,11 +325,11 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STE
         own, rows = np.unique(windows[take], return_inverse=True)
         lengths = spans[own + 1] - spans[own]
         places = np.repeat(spans[own] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        held, count = np.repeat(np.arange(len(own)), lengths), feats.count[own]
-        x = net.embed_rows(word[own], grams[places], held, count)
+        held, size = np.repeat(np.arange(len(own)), lengths), feats.size[own]
+        x = net.embed_rows(word[own], grams[places], held, size)
         grads, d_x, _ = gradients(net, x, rows.reshape(-1, WINDOW), valid[take].T, toxic[take].astype(np.float32))
         dense.step(net.p, grads)
-        d_gram = d_x[:, DIM:] / count[:, None]
+        d_gram = d_x[:, DIM:] / size[:, None]
         for name, hit, d in (("word", word[own], d_x[:, :DIM]), ("gram", grams[places], d_gram[held])):
             g = np.zeros_like(net.p[name])
             np.add.at(g, hit, d.astype(np.float32))
@@ -357,8 +355,7 @@ def telling(hashes: np.ndarray, owner: np.ndarray, docs: list[np.ndarray], label
     share = np.bincount(label, minlength=2) / len(label)
     expected = times.sum(0) * share[:, None]
     g = 2 * np.where(times > 0, times * np.log(np.maximum(times, 1) / np.maximum(expected, 1e-9)), 0).sum(0)
-    rate = times / np.bincount(label, minlength=2)[:, None]
-    return keys[(rate[1] >= LEAST_RATIO * rate[0]) & (g >= LEAST_G)]
+    return keys[(times[1] > expected[1]) & (g >= LEAST_G)]
 
 
 def all_logits(net: Network, x: np.ndarray, windows: np.ndarray, valid: np.ndarray) -> np.ndarray:

@@ -401,6 +401,13 @@ def test_op8_held_out_accuracy(spark, sf):
     assert all(r.score == 0 for r in got if r.doc_id in (200, 201, 202))
 
 
+def test_op8_significant_markers_of_rare_languages_are_embedded():
+    # held by 33 of 228 toxic and 15 of 900 clean documents: under ten times as often, yet far from chance
+    label = np.array([1] * 228 + [0] * 900)
+    docs = [np.array([int(i < 33 or 228 <= i < 243)]) for i in range(len(label))]
+    assert toxicity.telling(np.array([7, 9], np.uint64), np.arange(2), docs, label).tolist() == [9]
+
+
 # --- op9, op10 --------------------------------------------------------------------
 
 
