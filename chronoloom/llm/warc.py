@@ -174,11 +174,11 @@ def record_urn(archive: str, offset: int) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{offset}").urn
 
 
-def synthesised(archive: str, record: ArcRecord) -> WarcRecord:
-    """The WARC record that says what an ARC record says."""
+def synthesised(archive: str, record: ArcRecord, page: bool = False) -> WarcRecord:
+    """The WARC record that says what an ARC record says; page: it is not the version block, whatever its URL."""
     f, content = record.fields, record.content
     headers = {"WARC-Record-ID": f"<{record_urn(archive, record.offset)}>", "WARC-Date": iso_date(f["Archive-date"])}
-    if f["URL"].startswith("filedesc://"):
+    if not page and f["URL"].startswith("filedesc://"):
         block = b"software: chronoloom\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC/%d\r\n" % record.version
         headers |= {"WARC-Type": "warcinfo", "WARC-Filename": archive, "Content-Type": "application/warc-fields"}
     elif content.startswith(b"HTTP/"):
@@ -266,13 +266,13 @@ def convert_arcs(arcs: DataFrame, whole: bool = True) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for arc in read_arc(content.as_py()):
-                    if arc.fields["URL"].startswith("filedesc://"):
-                        continue
+                arcs_read = read_arc(content.as_py())
+                next(arcs_read, None)  # the version block; a page's own url may begin like it
+                for arc in arcs_read:
                     fields, payload = http_parts(arc.content)
                     key = fields.get(KEY.lower())
                     if whole:
-                        record = synthesised(name.as_py(), arc)
+                        record = synthesised(name.as_py(), arc, page=True)
                         rows.append((int(key) if key else None, record.headers["WARC-Record-ID"][1:-1], hashlib.sha256(payload).hexdigest(), member(warc_bytes(record))))
                     else:
                         rows.append((int(key) if key else None, record_urn(name.as_py(), arc.offset), hashlib.sha256(payload).hexdigest(), None))

@@ -322,6 +322,14 @@ def test_arc_versions(version, zipped):
             list(warc.read_arc(broken))
 
 
+def test_op6_pages_with_the_url_of_a_version_block(spark):
+    pages = spark.createDataFrame([(1, "filedesc://x", b"<p>a</p>"), (2, "http://h/2", b"<p>a</p>")], "key long, url string, payload binary")
+    for zipped in (False, True):
+        arcs = warc.write_arcs(pages.coalesce(1), zipped)
+        rows = warc.read_warcs(warc.convert(arcs)).collect()
+        assert sorted((r.key, r.record_type) for r in rows) == [(1, "revisit"), (2, "response")]
+
+
 # --- op7 --------------------------------------------------------------------------
 
 
