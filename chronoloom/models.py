@@ -135,7 +135,7 @@ def summarise(entries: DataFrame, factory: Callable[[], Callable[[list[str]], st
         for batch in lines:
             yield batch.map(one)
 
-    enough = F.size("speech") >= LEAST_LINES_TO_SUMMARISE
+    enough = F.coalesce(F.size("speech"), F.lit(0)) >= LEAST_LINES_TO_SUMMARISE
     asked = entries.filter(enough).withColumn("__s", sentence("speech"))
     asked = asked.withColumn("summary", F.coalesce("__s", "summary")).drop("__s")
     return asked.unionByName(entries.filter(~enough))

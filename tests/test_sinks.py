@@ -118,6 +118,12 @@ def test_ports_isolate_failures(spark):
     assert all(len(r.embedding) == 1 for r in out)
 
 
+def test_summarise_keeps_rows_without_speech(spark):
+    rows = spark.createDataFrame([(1, None, "s"), (2, ["a"] * models.LEAST_LINES_TO_SUMMARISE, None)], "ord int, speech array<string>, summary string")
+    out = models.summarise(rows, lambda: lambda x: "m").orderBy("ord").collect()
+    assert [(r.ord, r.summary) for r in out] == [(1, "s"), (2, "m")]
+
+
 def test_retry_on_timeouts_only():
     calls = []
 
