@@ -106,6 +106,30 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
+def has_map(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def kept_map(spark: SparkSession, sizes: list[int], shards: int, path: str | None) -> SlotMap:
+    """The last map stored at path, edited for these sizes if need be and stored as a new version; without one, slots are dealt anew."""
+    slots = len(sizes)
+    if path is None or not has_map(spark, path):
+        first = even_map(shards, slots)
+        dealt = balanced(first, sizes)
+        for m in (first, dealt) if path is not None else ():
+            save_map(spark, m, path)
+        return dealt
+    last = load_map(spark, path)
+    if len(last.owner) != slots or last.shards > shards:
+        raise ValueError(f"the map at {path} has {len(last.owner)} slots and {last.shards} shards")
+    edited = rebalanced(last, sizes, shards)
+    if (edited.shards, edited.owner) == (last.shards, last.owner):
+        return last
+    save_map(spark, edited, path)
+    return edited
+
+
 def placed(records: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
     """Add shard and the record's gapless position in it; records has virtual_slot, doc_id, size, text_crc32.
 
@@ -122,12 +146,12 @@ def placed(records: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
     return numbered.join(F.broadcast(where), "virtual_slot").withColumn("position", F.col("before") + F.col("nth"))
 
 
-def op10_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Every document's shard under law ``bytes``; slot is its position in the shard."""
-    return shard_documents(table(spark, sf_dir, "documents"), shards, slots)
+def op10_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """Every document's shard under law ``bytes``; slot is its position in the shard. maps: folder of the data set's stored maps."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards, slots, maps)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     records = docs.select(
         F.col("doc_id"),
@@ -137,7 +161,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("text_crc32").cast("string")))
     records = materialise(records.withColumn("virtual_slot", slot_of(key, slots)), "slots")
     sizes, rows = slot_loads(records, slots)
-    slot_map = balanced(even_map(shards, slots), sizes)
+    slot_map = kept_map(docs.sparkSession, sizes, shards, maps)
     return placed(records, slot_map, rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),

@@ -448,6 +448,16 @@ def test_op10_law(spark, sf):
     assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
 
 
+def test_op10_edits_the_stored_map(spark, tmp_path):
+    docs = lambda n: spark.createDataFrame([(i, "x" * (i % 90)) for i in range(n)], "doc_id long, text string")
+    path = str(tmp_path / "maps")
+    runs = [sharding.shard_documents(docs(n), 4, 64, path).collect() for n in (600, 600, 900)]
+    assert [{r.map_version for r in run} for run in runs] == [{2}, {2}, {3}]
+    one, _, grown = [{r.virtual_slot: r.shard for r in run} for run in runs]
+    assert sum(one[s] != grown[s] for s in one) <= 16
+    assert sharding.load_map(spark, path).version == 3 and sharding.load_map(spark, path, 1) == sharding.even_map(4, 64)
+
+
 def test_slot_maps(spark, tmp_path):
     rng = random.Random(1)
     sizes = [rng.randint(0, 1000) for _ in range(512)]
