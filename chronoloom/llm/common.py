@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +21,46 @@ BROADCAST_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The application's folder for intermediate tables, in the one that driver and executors share.
+
+    That is ``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder
+    serves a session on one machine (master ``local``); a cluster's session raises, as
+    each executor would write to a disk of its own.
+    """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not hasattr(context, "_chronoloom_scratch"):
-        context._chronoloom_scratch = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-    return context._chronoloom_scratch
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not hasattr(context, "_chronoloom_scratch"):
+            context._chronoloom_scratch = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
+        configured = context._chronoloom_scratch
+    return f"{configured.rstrip('/')}/chronoloom-{context.applicationId}"
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    """The intermediate tables that the application has written and not removed."""
+    return spark.sparkContext.__dict__.setdefault("_chronoloom_tables", [])
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df once into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    As results are lazy, the table stays until discard(), release() or the end of the
+    application, which removes its folder.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    if not _tables(spark):
+        files, where = _file(spark, shared_dir(spark))
+        files.deleteOnExit(where)
+    _tables(spark).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronoloom_path = path
     return out
@@ -43,10 +69,28 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that materialise() wrote and nothing will read again."""
     path = getattr(df, "_chronoloom_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _tables(df.sparkSession):
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, where = _file(spark, path)
+    files.delete(where, True)
+    _tables(spark).remove(path)
+
+
+def release(spark: SparkSession, keep: Sequence[str] = ()) -> None:
+    """Remove the intermediate tables of all results so far; for callers that have written or collected these."""
+    for path in [p for p in _tables(spark) if p not in keep]:
+        _remove(spark, path)
+
+
+def concluded(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns as a table, without the intermediate tables that were written on the way to it."""
+    before = list(_tables(spark))
+    out = materialise(make(), name)
+    release(spark, [*before, out._chronoloom_path])
+    return out
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
