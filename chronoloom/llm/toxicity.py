@@ -1,20 +1,35 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as its own embedding beside the sum of its character n-grams' embeddings
-(3 to 5, with word marks) over the root of their number, so that unseen words of a known build are recognised. Both
-vocabularies are the 64-bit hashes that toxic training documents hold significantly more
-often than clean ones; any other word or n-gram is a zero vector, seen or not. The network reads windows of 32 words; attention pools a window's states
-to one logit. Every document is scored in all its windows, each overlapping the next by
-half, and takes the largest logit, scaled to a probability on training documents that the
-gradient has not seen.
+Inputs. Every word and every character n-gram (3 to 7 bytes, with word marks) of the
+training sample has an evidence value: the log of how much oftener toxic documents hold
+it than its total would let expect, shrunk towards zero by PRIOR expected sightings, so
+that rare ones, seen once or never, count for nothing. A word enters the network as its
+own value, the sum over the root of their number, the largest and the least of its
+n-grams' values, and a learnt embedding; words of fewer than LEARNT_DOCS documents, seen
+or not, share one embedding. So unseen words of a known build are recognised, and
+harmless common words can tell by their order.
+
+Evidence is cross-fitted: documents are dealt into FOLDS parts, and a training document
+is read with values counted on the other parts, as it would otherwise vouch for its own
+words. Scoring uses the counts of all parts.
+
+The network reads windows of 128 words; attention pools a window's states to one logit.
+Every document is scored in all its windows, each overlapping the next by half, and
+takes the largest logit, scaled to a probability on the training documents as read with
+the other parts' values.
 
 Training is plain numpy on the driver, on at most SAMPLE labelled documents of either
-kind, the ones whose ids hash lowest, and none longer than SAMPLE_BYTES. As labels speak
-of documents, windows of toxic documents count as toxic at first; later only those that
-the network itself finds toxic, and each document's most toxic one.
-
-Edge cases: null and empty texts score 0; documents under 32 words are one short window;
-repeated rows score alike; without labels of both kinds every document scores 0; of
+kind, the ones whose ids hash lowest among those that the table holds with words in
+them. A document over SAMPLE_CHARS enters by EXCERPTS stretches of equal length, evenly
+spread. As labels speak of documents, windows of toxic documents count as toxic at
+first; later only those that the network itself finds toxic, and each document's most
+toxic one. In half of the windows a random share of the words is read as never seen, of
+toxic documents only words that do not speak for toxicity: else words unheard of would
+count as toxic where all rare training words are.
+
+Edge cases: null and empty texts score 0; documents under 128 words are one short
+window; repeated rows score alike, and train once; labels without a document are left
+out before the sample is taken; without labels of both kinds every document scores 0; of
 contradicting labels of one document toxic wins; empty tables give empty results.
 """
 
@@ -31,43 +46,54 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import shielded, table, utf8
 
-WINDOW = 32
-STRIDE = 16
+WINDOW = 128
+STRIDE = 64
 HIDDEN = 8
-DIM = 8
-SAMPLE = 1200
-SAMPLE_BYTES = 20_000
-STEPS = 300
-BATCH = 256
+#: Places of a word's learnt embedding, after its STATIC values.
+DIM = 4
+STATIC = 4
+GRAM_SIZES = (3, 4, 5, 6, 7)
+SAMPLE = 2400
+SAMPLE_CHARS = 16_000
+EXCERPTS = 8
+FOLDS = 4
+#: Sightings at the expected rate that every word and n-gram is given besides its own.
+PRIOR = 20.0
+LEARNT_DOCS = 30
+STEPS = 200
+#: Share of training windows in which some words are read as never seen.
+FORGETFUL = 0.5
+BATCH = 128
 RATE = 0.05
 DAMPING = 1e-4
-#: Words and n-grams that toxic documents hold more often by a likelihood-ratio statistic of at least this (a chance of 1 in
-#: 100,000) get an embedding, which begins at START in its first place.
-LEAST_G = 20.0
-START = 1.0
+#: How many missed toxic documents a flagged clean one weighs, by share, when the threshold is set.
+COST = 2.0
 #: Where the threshold lies between the neighbouring clean and toxic document.
 BORDER = 0.6
 THRESHOLD = 0.7
 #: Words whose projections a worker remembers at most; beyond it, it starts afresh.
 REMEMBERED = 125_000
 CHUNK_BYTES = 1 << 20
-WINDOWS_AT_ONCE = 2048
+#: Words of all windows that are read at once.
+WORDS_AT_ONCE = 65_536
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|+-=/\\_~`^@"
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    return text.decode("utf-8", "replace").lower().encode().split()
 
 
 @dataclass
 class Words:
-    """Hashes of distinct words: word has one each, grams those of all words' n-grams, owner says whose, size is the root of how many."""
+    """Hashes of distinct words: word has one each, grams those of all words' n-grams, by word; size says how many each word has."""
 
     word: np.ndarray
     grams: np.ndarray
-    owner: np.ndarray
     size: np.ndarray
 
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+
 
 def features(words: list[bytes]) -> Words:
     """The hashes of distinct words, taken without signs at their edges."""
@@ -76,29 +102,48 @@ def features(words: list[bytes]) -> Words:
     sizes = np.array([len(w) + 2 for w in bare], np.int32)
     owner = np.repeat(np.arange(len(bare), dtype=np.int32), sizes)
     left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(data), dtype=np.int32)  # bytes up to the word's end
-    rows, owners = [], []
-    h = data.copy()
-    for n in range(2, 6):
+    rows, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    h = data
+    for n in range(2, max(GRAM_SIZES) + 1):
         if len(data) < n:
             break
-        h = h[:-1] * np.uint64(0x100000001B3) + data[n - 1 :] if n > 1 else h
-        if n < 3:
-            continue
-        inside = left[: len(h)] >= n
-        mixed = (h[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        rows.append(mixed)
-        owners.append(owner[: len(h)][inside])
-    grams, owner = np.concatenate(rows or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int32)])
+        h = h[:-1] * np.uint64(0x100000001B3) + data[n - 1 :]
+        if n in GRAM_SIZES:
+            inside = left[: len(h)] >= n
+            rows.append((h[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15))
+            owners.append(owner[: len(h)][inside])
+    grams, owner = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     whole = np.array([zlib.crc32(w) << 32 | zlib.adler32(w) for w in bare], np.uint64)
-    return Words(whole, grams[order], owner[order], np.sqrt(np.maximum(np.bincount(owner, minlength=len(bare)), 1)))
+    return Words(whole, grams[order], np.bincount(owner, minlength=len(bare)))
 
 
 def features_of(words: list[bytes], at_once: int = 20_000) -> Words:
     """features() of many words, a part at a time."""
     parts = [features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
-    owner = [p.owner + np.int32(i * at_once) for i, p in enumerate(parts)]
-    return Words(*(np.concatenate(x) for x in ([p.word for p in parts], [p.grams for p in parts], owner, [p.size for p in parts])))
+    return Words(*(np.concatenate(x) for x in ([p.word for p in parts], [p.grams for p in parts], [p.size for p in parts])))
+
+
+def evidence(times: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Values from sightings, shape (FOLDS, 2, keys), and all sightings, (FOLDS, 2): a row without each part, then one of all parts."""
+    out = []
+    for part in range(FOLDS + 1):
+        held, whole = (times.sum(0) - times[part], totals.sum(0) - totals[part]) if part < FOLDS else (times.sum(0), totals.sum(0))
+        share = whole[1] / max(whole.sum(), 1)
+        out.append(np.log((held[1] + PRIOR * share + 1e-9) / (held.sum(0) * share + PRIOR * share + 1e-9)).astype(np.float32))
+    return np.stack(out)
+
+
+def static(word: np.ndarray, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The STATIC values of words, from their own values and those of their n-grams."""
+    out = np.zeros((len(word), STATIC), np.float32)
+    out[:, 0] = word
+    filled = np.flatnonzero(size)
+    if len(filled):
+        first = np.cumsum(size)[filled] - size[filled]
+        out[filled, 1] = np.add.reduceat(grams, first) / np.sqrt(size[filled])
+        out[filled, 2], out[filled, 3] = np.maximum.reduceat(grams, first), np.minimum.reduceat(grams, first)
+    return out
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -124,48 +169,48 @@ def found_rows(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Parameters by name; direction 1 of the recurrent ones reads backwards. The last row of an embedding is zero."""
+    """Parameters by name; direction 1 of the recurrent ones reads backwards.
+
+    words and grams are sorted hashes, word_value and gram_value their evidence (one entry
+    more: of any other); place is each word's row in the learnt embedding, where row 0 is of
+    all rare words; middle and spread bring static values to a common scale.
+    """
 
     p: dict[str, np.ndarray]
     words: np.ndarray
+    word_value: np.ndarray
     grams: np.ndarray
+    gram_value: np.ndarray
+    place: np.ndarray
+    middle: np.ndarray
+    spread: np.ndarray
     scale: float = 1.0
     shift: float = 0.0
     untrained: bool = False
 
     @classmethod
-    def fresh(cls, rng: np.random.Generator, words: np.ndarray, grams: np.ndarray) -> Network:
+    def fresh(cls, rng: np.random.Generator, common: int = 0) -> Network:
+        """A network that knows no word yet; common: rows of the learnt embedding besides that of rare words."""
+
         def normal(*shape: int, size: float) -> np.ndarray:
             return (rng.standard_normal(shape) * size).astype(np.float32)
 
-        def begun(keys: np.ndarray) -> np.ndarray:
-            rows = np.zeros((len(keys) + 1, DIM), np.float32)
-            rows[:-1, 0] = START
-            return rows
-
-        h, d = HIDDEN, 2 * DIM
+        h, d, keys, none = HIDDEN, STATIC + DIM, np.zeros(0, np.uint64), np.zeros(1, np.float32)
         return cls({
-            "word": begun(words), "gram": begun(grams),
+            "word": normal(common + 1, DIM, size=0.1),
             "w": normal(2, d, 3 * h, size=0.3), "b": np.zeros((2, 1, 3 * h), np.float32), "u": normal(2, h, 3 * h, size=0.3),
             "wa": normal(2 * h, 2 * h, size=0.3), "ba": np.zeros(2 * h, np.float32), "va": normal(2 * h, size=0.3),
             "wo": normal(2 * h, size=0.3), "bo": np.full(1, -1, np.float32),
-        }, words, grams)
+        }, keys, none, keys, none, np.zeros(1, np.int64), np.zeros(STATIC, np.float32), np.ones(STATIC, np.float32))
 
     def embed(self, f: Words) -> np.ndarray:
-        return self.embed_rows(found_rows(self.words, f.word), *self.known_grams(f), f.size)
+        """Input rows of words: scaled static values, then learnt ones."""
+        word = found_rows(self.words, f.word)
+        values = static(self.word_value[word], self.gram_value[found_rows(self.grams, f.grams)], f.size)
+        return self.inputs((values - self.middle) / self.spread, self.place[word])
 
-    def known_grams(self, f: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and owners of those n-grams that have an embedding."""
-        rows = found_rows(self.grams, f.grams)
-        hit = rows < len(self.grams)
-        return rows[hit], f.owner[hit]
-
-    def embed_rows(self, word: np.ndarray, grams: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
-        chars = np.zeros((len(word), DIM), np.float32)
-        if len(grams):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            chars[owner[first]] = np.add.reduceat(self.p["gram"][grams], first, axis=0)
-        return np.concatenate([self.p["word"][word], chars / size[:, None].astype(np.float32)], 1)
+    def inputs(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([values, self.p["word"][rows]], 1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of words: shape (words, 2, 3 * HIDDEN)."""
@@ -274,43 +319,42 @@ def pieces_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's windows as rows (windows, WINDOW), and which places hold words."""
     at = window_starts(len(ids))[:, None] + np.arange(WINDOW)
     valid = at < len(ids)
-    return np.where(valid, ids[np.minimum(at, len(ids) - 1)], 0), valid.astype(np.float32)
+    return np.where(valid, ids[np.minimum(at, len(ids) - 1)], 0).astype(np.int32), valid
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STEPS) -> Network:
     """The network fitted to labelled texts (1: toxic)."""
     rng = np.random.default_rng(seed)
-    docs = [(tokens(t), y) for t, y in zip(texts, labels, strict=True)]
-    docs = [(w, y) for w, y in docs if w]
-    if len({y for _, y in docs}) < 2:
-        none = np.zeros(0, np.uint64)
-        return Network(Network.fresh(rng, none, none).p, none, none, untrained=True)
     number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words, _ in docs]
-    label, n_docs = np.array([y for _, y in docs]), len(docs)
-    del docs
-    # every fourth document of a kind is kept from vocabulary and gradient, to set the scale by
-    aside = np.zeros(n_docs, bool)
+    coded, label = [], []
+    for t, y in zip(texts, labels, strict=True):
+        if words := tokens(t):
+            coded.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+            label.append(y)
+    label, n_docs = np.array(label), len(coded)
+    if len(set(label.tolist())) < 2:
+        out = Network.fresh(rng)
+        out.untrained = True
+        return out
+    part = np.zeros(n_docs, np.int64)
     for y in (0, 1):
-        aside[np.flatnonzero(label == y)[3::4]] = True
-    if len(set(label[aside])) < 2:
-        aside[:] = False
-    learning = [ids for ids, a in zip(coded, aside, strict=True) if not a]
-    feats = features_of(list(number))
-    net = Network.fresh(rng, telling(feats.word, np.arange(len(number)), learning, label[~aside]), telling(feats.grams, feats.owner, learning, label[~aside]))
-    word, (grams, owner) = found_rows(net.words, feats.word), net.known_grams(feats)
-    spans = np.searchsorted(owner, np.arange(len(number) + 1))
+        part[label == y] = np.arange((label == y).sum()) % FOLDS
+    net, coded, values, rows = known_words(rng, list(number), coded, label, part)
+    # a row for a word that was never seen, and the words that may become one in toxic documents too
+    unseen, harmless = len(values), (values * net.spread + net.middle)[:, :2].max(1) <= 0
+    values, rows, harmless = np.concatenate([values, -net.middle[None] / net.spread]), np.append(rows, 0), np.append(harmless, True)
+    del number
     cut = [pieces_of(ids) for ids in coded]
     windows, valid = np.concatenate([w for w, _ in cut]), np.concatenate([v for _, v in cut])
     doc = np.repeat(np.arange(n_docs), [len(w) for w, _ in cut])
+    del cut, coded
     toxic = label[doc] == 1
-    dense, seen = Adam(0.01), {k: np.full(len(net.p[k]), DAMPING, np.float32) for k in ("word", "gram")}
-    used = ~aside[doc]
-    positive, negative = np.flatnonzero(toxic & used), np.flatnonzero(~toxic & used)
+    dense, seen = Adam(0.01), np.full(len(net.p["word"]), DAMPING, np.float32)
+    positive, negative = np.flatnonzero(toxic), np.flatnonzero(~toxic)
 
     def judged() -> tuple[np.ndarray, np.ndarray]:
         """All windows' logits and every document's largest."""
-        found = all_logits(net, net.embed_rows(word, grams, owner, feats.size), windows, valid)
+        found = all_logits(net, net.inputs(values, rows), windows, valid)
         best = np.full(n_docs, -1e9)
         np.maximum.at(best, doc, found)
         return found, best
@@ -318,49 +362,79 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STE
     for step in range(steps):
         if step in (steps * 2 // 5, steps * 7 // 10):
             found, best = judged()
-            positive = np.flatnonzero(toxic & used & ((found > 0) | (found == best[doc])))
+            positive = np.flatnonzero(toxic & ((found > 0) | (found == best[doc])))
             hard = negative[np.argsort(-found[negative], kind="stable")[: max(64, len(negative) // 20)]]
-            negative = np.concatenate([np.flatnonzero(~toxic & used), *[hard] * 5])
+            negative = np.concatenate([np.flatnonzero(~toxic), *[hard] * 5])
         take = np.concatenate([rng.choice(positive, BATCH // 2), rng.choice(negative, BATCH // 2)])
-        own, rows = np.unique(windows[take], return_inverse=True)
-        lengths = spans[own + 1] - spans[own]
-        places = np.repeat(spans[own] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        held, size = np.repeat(np.arange(len(own)), lengths), feats.size[own]
-        x = net.embed_rows(word[own], grams[places], held, size)
-        grads, d_x, _ = gradients(net, x, rows.reshape(-1, WINDOW), valid[take].T, toxic[take].astype(np.float32))
+        words = windows[take]
+        rate = rng.random(len(take)) * (rng.random(len(take)) < FORGETFUL)
+        gone = (rng.random(words.shape) < rate[:, None]) & (harmless[words] | ~toxic[take][:, None])
+        own, held = np.unique(np.where(gone, unseen, words), return_inverse=True)
+        x = net.inputs(values[own], rows[own])
+        grads, d_x, _ = gradients(net, x, held.reshape(-1, WINDOW), valid[take].T.astype(np.float32), toxic[take].astype(np.float32))
         dense.step(net.p, grads)
-        d_gram = d_x[:, DIM:] / size[:, None]
-        for name, hit, d in (("word", word[own], d_x[:, :DIM]), ("gram", grams[places], d_gram[held])):
-            g = np.zeros_like(net.p[name])
-            np.add.at(g, hit, d.astype(np.float32))
-            g[-1] = 0
-            seen[name] += (g * g).mean(1)
-            net.p[name] -= RATE * g / np.sqrt(seen[name])[:, None]
-    best = judged()[1]
-    net.scale, net.shift = scaled(best[aside], label[aside]) if aside.any() else scaled(best, label)
+        g = np.zeros_like(net.p["word"])
+        np.add.at(g, rows[own], d_x[:, STATIC:].astype(np.float32))
+        seen += (g * g).mean(1)
+        net.p["word"] -= RATE * g / np.sqrt(seen)[:, None]
+    net.scale, net.shift = scaled(judged()[1], label)
     return net
 
 
-def telling(hashes: np.ndarray, owner: np.ndarray, docs: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """The hashes, sorted, that significantly more toxic than clean documents hold; owner: each hash's word."""
-    keys, ids = np.unique(hashes, return_inverse=True)
-    ids = ids.astype(np.int32)
-    order = np.argsort(owner, kind="stable")
-    ids, spans = ids[order], np.searchsorted(owner[order], np.arange(owner.max() + 2 if len(owner) else 1))
-    times = np.zeros((2, len(keys)), np.int64)
-    for words, y in zip(docs, label, strict=True):
-        own = [ids[spans[w] : spans[w + 1]] for w in np.unique(words) if w + 1 < len(spans)]
-        if own:
-            times[y, np.unique(np.concatenate(own))] += 1
-    share = np.bincount(label, minlength=2) / len(label)
-    expected = times.sum(0) * share[:, None]
-    g = 2 * np.where(times > 0, times * np.log(np.maximum(times, 1) / np.maximum(expected, 1e-9)), 0).sum(0)
-    return keys[(times[1] > expected[1]) & (g >= LEAST_G)]
+def known_words(rng: np.random.Generator, words: list[bytes], coded: list[np.ndarray], label: np.ndarray, part: np.ndarray) -> tuple[Network, list[np.ndarray], np.ndarray, np.ndarray]:
+    """A network that knows the training words, and the documents as the other parts' counts show them.
+
+    Documents come back as numbers of input rows, one for each word of each part; values are
+    those rows' static values and rows their places in the learnt embedding.
+    """
+    f = features_of(words)
+    # how many documents of each part and kind hold each word
+    held, totals = np.zeros((len(words), 2 * FOLDS), np.float32), np.zeros((FOLDS, 2))
+    for ids, y, p in zip(coded, label, part, strict=True):
+        own = np.unique(ids)
+        held[own, 2 * p + y] += 1
+        totals[p, y] += len(own)
+
+    def counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, ids = np.unique(hashes, return_inverse=True)
+        ids = ids.astype(np.int32)
+        times = np.stack([np.bincount(ids, held[owner, k], len(keys)) for k in range(2 * FOLDS)])
+        return keys, ids, times.reshape(FOLDS, 2, -1)
+
+    word_keys, word_ids, word_times = counted(f.word, np.arange(len(words)))
+    owner = f.owners()
+    gram_keys, gram_ids, times = counted(f.grams, owner)
+    word_values, gram_values = evidence(word_times, totals), evidence(times, totals)
+    common = np.flatnonzero(word_times.sum((0, 1)) >= LEARNT_DOCS)
+    net = Network.fresh(rng, len(common))
+    net.place = np.zeros(len(word_keys) + 1, np.int64)
+    net.place[common] = np.arange(1, len(common) + 1)
+    values, rows, out, begun = [], [], list(coded), 0
+    for p in range(FOLDS):
+        mine = np.flatnonzero(part == p)
+        if not len(mine):
+            continue
+        own = np.unique(np.concatenate([coded[i] for i in mine]))
+        chosen = np.zeros(len(words), bool)
+        chosen[own] = True
+        values.append(static(word_values[p][word_ids[own]], gram_values[p][gram_ids[chosen[owner]]], f.size[own]))
+        rows.append(net.place[word_ids[own]])
+        for i in mine:
+            out[i] = (np.searchsorted(own, coded[i]) + begun).astype(np.int32)
+        begun += len(own)
+    values = np.concatenate(values)
+    net.middle, net.spread = values.mean(0), values.std(0) + np.float32(1e-6)
+    # words and n-grams whose value is nothing need no entry
+    told = np.abs(gram_values[-1]) > 1e-3
+    net.grams, net.gram_value = gram_keys[told], np.append(gram_values[-1][told], np.float32(0))
+    told = (np.abs(word_values[-1]) > 1e-3) | (net.place[:-1] > 0)
+    net.words, net.word_value, net.place = word_keys[told], np.append(word_values[-1][told], np.float32(0)), np.append(net.place[:-1][told], 0)
+    return net, out, (values - net.middle) / net.spread, np.concatenate(rows)
 
 
 def all_logits(net: Network, x: np.ndarray, windows: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    projected = net.project(x)
-    parts = [net.logits(projected, windows[i : i + WINDOWS_AT_ONCE], valid[i : i + WINDOWS_AT_ONCE].T) for i in range(0, len(windows), WINDOWS_AT_ONCE)]
+    projected, n = net.project(x), WORDS_AT_ONCE // WINDOW
+    parts = [net.logits(projected, windows[i : i + n], valid[i : i + n].T.astype(np.float32)) for i in range(0, len(windows), n)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -368,11 +442,12 @@ def scaled(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Scale and shift of a logistic curve over documents' logits.
 
     THRESHOLD is put into the gap between neighbouring logits that parts the labels best;
-    of gaps that do about equally well the widest is taken.
+    of gaps that do about equally well the widest is taken. A flagged clean document weighs
+    COST missed toxic ones.
     """
     order = np.argsort(logit, kind="stable")
     x, y = logit[order], label[order]
-    parted = np.cumsum(np.where(y == 0, 1 / (y == 0).sum(), -1 / (y == 1).sum()))[:-1]
+    parted = np.cumsum(np.where(y == 0, COST / (y == 0).sum(), -1 / (y == 1).sum()))[:-1]
     gap = np.minimum(np.diff(x) / max(float(x[-1] - x[0]), 1e-6), 0.5)
     at = int(np.argmax(parted + 0.1 * gap))
     border = x[at] + BORDER * (x[at + 1] - x[at])
@@ -418,13 +493,20 @@ def score_texts(net: Network, texts: list[bytes], known: dict) -> np.ndarray:
         flat = np.concatenate([c for _, c in long])
         begin = np.concatenate([s + b for s, b in zip(starts, base, strict=False)])
         owner = np.repeat([i for i, _ in long], [len(s) for s in starts])
-        for a in range(0, len(begin), WINDOWS_AT_ONCE):
-            own = begin[a : a + WINDOWS_AT_ONCE]
-            np.maximum.at(best, owner[a : a + WINDOWS_AT_ONCE], net.logits(projected, flat[own[:, None] + np.arange(WINDOW)], None))
-    for a in range(0, len(short), WINDOWS_AT_ONCE):
-        part = short[a : a + WINDOWS_AT_ONCE]
-        cut = [pieces_of(c) for _, c in part]
-        best[[i for i, _ in part]] = net.logits(projected, np.concatenate([w for w, _ in cut]), np.concatenate([v for _, v in cut]).T)
+        n = WORDS_AT_ONCE // WINDOW
+        for a in range(0, len(begin), n):
+            own = begin[a : a + n]
+            np.maximum.at(best, owner[a : a + n], net.logits(projected, flat[own[:, None] + np.arange(WINDOW)], None))
+    # short ones by length, so that they need little filling
+    short.sort(key=lambda x: len(x[1]))
+    for a in range(0, len(short), 256):
+        part = short[a : a + 256]
+        size = len(part[-1][1])
+        ids, valid = np.zeros((len(part), size), np.int64), np.zeros((size, len(part)), np.float32)
+        for k, (_, c) in enumerate(part):
+            ids[k, : len(c)] = c
+            valid[: len(c), k] = 1
+        best[[i for i, _ in part]] = net.logits(projected, ids, valid)
     out[filled] = np.round(sigmoid(best[filled] * net.scale + net.shift), 6)
     return out
 
@@ -433,17 +515,29 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def excerpt(text: Column) -> Column:
+    """The text, or of one over SAMPLE_CHARS evenly spread stretches that come to so many."""
+    n = F.length(text)
+    stretch, gaps = SAMPLE_CHARS // EXCERPTS, EXCERPTS - 1
+    parts = [F.substring(text, (F.floor((n - stretch) * k / gaps) + 1).cast("int"), F.lit(stretch)) for k in range(EXCERPTS)]
+    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
-    """(text, toxic) of the training documents; only these reach the driver."""
+    """(text, toxic) of the training documents; only these reach the driver.
+
+    Ids are joined first, so that labels without a document take no place in the sample;
+    then at most 2 * sample ids fetch their texts.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(F.col("doc_id").alias("__id"), "toxic")
-    short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", utf8().alias("text"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).select(F.col("doc_id").alias("__id"), "__toxic")
+    filled = docs.filter(F.col("text").rlike(r"[^\s]")).select(F.col("doc_id").alias("__id"))
+    known = known.join(filled.distinct(), "__id", "left_semi")
     order = [F.xxhash64("__id"), F.col("__id")]
-    # more ids than rows wanted, as some have no document or a longer one
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(2 * sample).union(known.filter("toxic <> 1").orderBy(*order).limit(2 * sample))
-    rows = short.join(F.broadcast(chosen), short["doc_id"] == chosen["__id"])
-    found = [rows.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "toxic").collect() for c in ("toxic = 1", "toxic <> 1")]
-    return [(bytes(r["text"]), int(r["toxic"] == 1)) for part in found for r in part]
+    chosen = known.filter("__toxic = 1").orderBy(*order).limit(sample).union(known.filter("__toxic <> 1").orderBy(*order).limit(sample))
+    rows = docs.select("doc_id", excerpt(F.col("text")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    found = rows.groupBy("__id").agg(F.max("text").alias("text"), F.first("__toxic").alias("toxic")).orderBy(*order).collect()
+    return [((r["text"] or "").encode(), int(r["toxic"] == 1)) for r in found]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:

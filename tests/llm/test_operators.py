@@ -371,9 +371,9 @@ def test_lattice_sums_all_segmentations():
 
 def test_op8_gradients(monkeypatch):
     monkeypatch.setattr(toxicity.np, "float32", np.float64)
-    rng, none = np.random.default_rng(1), np.zeros(0, np.uint64)
-    net = toxicity.Network.fresh(rng, none, none)
-    x, windows = rng.standard_normal((5, 2 * toxicity.DIM)), rng.integers(0, 5, (3, 6))
+    rng = np.random.default_rng(1)
+    net = toxicity.Network.fresh(rng)
+    x, windows = rng.standard_normal((5, toxicity.STATIC + toxicity.DIM)), rng.integers(0, 5, (3, 6))
     valid = np.ones((6, 3))
     valid[4:, 1] = 0
     label = np.array([1.0, 0, 1])
@@ -389,7 +389,7 @@ def test_op8_gradients(monkeypatch):
 
 
 def test_op8_windows_cover_and_overlap():
-    for n in (1, 31, 32, 33, 48, 49, 500):
+    for n in (1, 63, 64, 127, 128, 129, 192, 193, 1000):
         starts = toxicity.window_starts(n)
         assert {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))} == set(range(n))
         assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:], strict=False))
@@ -409,11 +409,73 @@ def test_op8_held_out_accuracy(spark, sf):
     assert all(r.score == 0 for r in got if r.doc_id in (200, 201, 202))
 
 
-def test_op8_significant_markers_of_rare_languages_are_embedded():
-    # held by 33 of 228 toxic and 15 of 900 clean documents: under ten times as often, yet far from chance
-    label = np.array([1] * 228 + [0] * 900)
-    docs = [np.array([int(i < 33 or 228 <= i < 243)]) for i in range(len(label))]
-    assert toxicity.telling(np.array([7, 9], np.uint64), np.arange(2), docs, label).tolist() == [9]
+def test_op8_evidence_equals_a_loop():
+    rng = random.Random(6)
+    words = [f"w{i}".encode() for i in range(40)]
+    docs = [np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], np.int32) for _ in range(50)]
+    label = np.array([i % 3 == 0 for i in range(50)], int)
+    part = np.arange(50) % toxicity.FOLDS
+    net, coded, values, _ = toxicity.known_words(np.random.default_rng(0), words, docs, label, part)
+    values = values * net.spread + net.middle
+
+    def value(i, left_out):
+        held, total = [0, 0], [0, 0]
+        for d, y, p in zip(docs, label, part, strict=True):
+            if p != left_out:
+                own = set(d.tolist())
+                held[y] += i in own
+                total[y] += len(own)
+        share = total[1] / sum(total)
+        return math.log((held[1] + toxicity.PRIOR * share) / (sum(held) * share + toxicity.PRIOR * share))
+
+    for d in (0, 1, 7, 49):
+        for i, row in zip(docs[d], coded[d], strict=True):
+            assert math.isclose(values[row, 0], value(i, part[d]), abs_tol=1e-5)
+    whole = toxicity.features(words)
+    found = net.word_value[toxicity.found_rows(net.words, whole.word)]
+    assert all(math.isclose(found[i], value(i, None), abs_tol=2e-3) for i in range(40))
+
+
+def test_op8_rare_words_say_nothing_and_known_builds_do():
+    rng = random.Random(3)
+    clean = [prose(rng, 60) for _ in range(160)]
+    bad = [" ".join([*prose(rng, 30).split(), *(f"gru{rng.choice(['nk', 'mf', 'zt'])}{rng.randrange(900)}" for _ in range(4)), *prose(rng, 26).split()]) for _ in range(160)]
+    net = toxicity.train([t.encode() for t in clean + bad], [0] * 160 + [1] * 160, steps=80)
+    unseen = [" ".join(["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(60)]) for _ in range(30)]
+    new = [prose(rng, 50) + " grunk9999 grumf8888 gruzt7777" for _ in range(30)]
+    score = toxicity.score_texts(net, [t.encode() for t in unseen + new], {})
+    assert (score[:30] < 0.7).all() and (score[30:] >= 0.7).mean() > 0.9
+
+
+def test_op8_phrases_of_harmless_words():
+    rng = random.Random(4)
+
+    def doc(toxic):
+        out = prose(rng, 60).split()
+        for _ in range(4):
+            i = rng.randrange(0, 56)
+            out[i : i + 2] = ["go", "away"] if toxic else rng.choice([["away", "go"], ["go", "the"], ["the", "away"]])
+        return " ".join(out).encode()
+
+    net = toxicity.train([doc(i % 2) for i in range(600)], [i % 2 for i in range(600)], steps=300)
+    found = toxicity.score_texts(net, [doc(i % 2) for i in range(200)], {}) >= 0.7
+    assert sum(f == (i % 2) for i, f in enumerate(found)) >= 180
+
+
+def test_op8_labels_without_documents_change_nothing(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    strange = spark.range(10**6, 10**6 + 200_000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 9 = 0) AS toxic")
+    want = toxicity.training_rows(docs, labels)
+    assert toxicity.training_rows(docs, labels.unionByName(strange)) == want
+    assert {y for _, y in want} == {0, 1} and all(t.split() for t, _ in want)
+    assert toxicity.training_rows(docs.limit(0), labels) == []
+
+
+def test_op8_long_documents_train_by_excerpts(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    rows = toxicity.training_rows(spark.createDataFrame([(2, text), (3, "a b")], "doc_id long, text string"), spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int"))
+    long = next(t for t, y in rows if y)
+    assert len(long) == toxicity.SAMPLE_CHARS + toxicity.EXCERPTS - 1 and long.startswith(b"w0 ") and long.endswith(b"w19999")
 
 
 # --- op9, op10 --------------------------------------------------------------------
