@@ -18,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of at most this many rows may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 10_000
+#: The same for tables that are a single number a row.
+BROADCAST_IDS = 500_000
+#: A key with more than one in so many rows is joined by broadcast: there are fewer such keys than this.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,9 +97,22 @@ def concluded(spark: SparkSession, make: Callable[[], DataFrame], name: str) ->
     return out
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for tables whose row count is known to be small, else df as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def spread_join(rows: DataFrame, named: DataFrame, key: str, salt: Column, total: int | None = None) -> DataFrame:
+    """rows joined with named (one row a key, and how many of rows have it as __n), without a hot key in one task.
+
+    A key with more than one in HOT_SHARE of the rows is split into as many parts as bring
+    it down to that share; such keys and their parts are fewer than 2 * HOT_SHARE and
+    reach the rows by broadcast. salt deals a key's rows to its parts: it must differ
+    between them and come out the same when a task is repeated. total: the number of rows
+    or more, if known.
+    """
+    if total is None:
+        total = named.agg(F.sum("__n")).first()[0] or 0
+    parts = F.ceil(F.col("__n") * HOT_SHARE / F.lit(max(total, 1))).cast("long")
+    hot = F.broadcast(named.select(key, parts.alias("__parts")).filter("__parts > 1"))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.coalesce(F.pmod(salt, F.col("__parts")), F.lit(0).cast("long"))).drop("__parts")
+    right = named.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))).drop("__n")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:

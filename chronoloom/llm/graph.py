@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import discard, materialise
+from chronoloom.llm.common import discard, materialise, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node's larger neighbours, then its smaller ones, to the
     smallest node it knows. Only a count and a checksum of a round reach the driver,
     and its edges are written, so that lineage stays short. Hubs cost no task more than
-    its share: minima are pre-aggregated and the joins can be split. Self-loops, repeats
-    and null nodes are dropped; no edges give no rows.
+    its share: minima are pre-aggregated, and a hub's links are split into parts.
+    Self-loops, repeats and null nodes are dropped; no edges give no rows.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct()
     links, before = materialise(links, "links"), None
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = seen
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") > F.col("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n"))
+        large = spread_join(both, least, "a", F.xxhash64("b"), 2 * seen[0]).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n"))
+        small = spread_join(large, least, "a", F.xxhash64("b"), 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") > F.col("b"))
         following = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         discard(links)
         links = following
