@@ -18,6 +18,12 @@ fingerprints meet, they become a star round one that flipped at most one bit (k
 links; two that flipped two bits each need not be near), and each task passes on a
 spanning forest of its links only. So no group is ever expanded into pairs.
 
+Copies and large groups are hot keys (a fingerprint, a root); joins on them split a key
+that holds more than a thousandth of the rows.
+
+The radius is in bits of the fingerprint: copies with a few words changed are linked only
+if no more than three bits flip, which for short texts is about every other one.
+
 Edge cases: null and empty texts have fingerprint zero and link like any other; repeated
 rows share a fingerprint; null ids are ignored for a component's smallest id; an empty
 table gives an empty result; very long texts are counted in bounded steps.
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, shielded, table, utf8
+from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, spread_join, table, utf8
 from chronoloom.llm.graph import components
 
 SEED = 42
@@ -41,8 +47,9 @@ SHINGLE = 3
 RADIUS = 3
 #: Variants that one bucket holds on average; their number follows from the fingerprints'.
 BUCKET_VARIANTS = 2_000_000
-#: Fingerprints whose variants a task makes at once.
-BLOCK = 4096
+#: Fingerprints whose variants a task makes at once: so many for every 64 buckets, within these bounds. A bucket's share of a
+#: block travels as one row; beyond the upper bound its variants thin out to at most 12 bytes each.
+BLOCK, MOST_BLOCK = 4096, 16_384
 #: Shingles whose bits are counted at once.
 STEP = 1 << 18
 
@@ -153,13 +160,14 @@ def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(nodes: DataFrame, known: int) -> DataFrame:
     """(a, b) over distinct fingerprints fp (known: their number): enough links to connect all that are near."""
     buckets = max(1, -(-known * 560 // BUCKET_VARIANTS))
+    block = min(max(BLOCK, BLOCK * buckets // 64), MOST_BLOCK)
     binary = pa.binary()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), BLOCK):
-                columns = list(zip(*dealt_variants(fps[at : at + BLOCK], buckets), strict=True))
+            for at in range(0, len(fps), block):
+                columns = list(zip(*dealt_variants(fps[at : at + block], buckets), strict=True))
                 if columns:
                     arrays = [pa.array(columns[0], pa.int32()), *(pa.array(c, binary) for c in columns[1:])]
                     yield pa.RecordBatch.from_arrays(arrays, ["bucket", "fps", "counts", "numbers"])
@@ -181,12 +189,15 @@ def links(nodes: DataFrame, known: int) -> DataFrame:
 
 def grouped(rows: DataFrame, ident: str) -> DataFrame:
     """rows (fp and others) with group_id: the smallest ident reachable over links."""
-    nodes = materialise(rows.groupBy("fp").agg(F.min(ident).alias("first")), "fingerprints")
-    roots = components(links(nodes, nodes.count()))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("group_id"))
-    named = nodes.join(least, "root").select("fp", "group_id")
-    return rows.join(named, "fp")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(ident).alias("first"), F.count("*").alias("copies")), "fingerprints")
+    known, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    roots = components(links(nodes, known))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("group_id"), F.count("*").alias("__n"))
+    named = spread_join(rooted.select("fp", "copies", "root"), least, "root", F.xxhash64("fp"), known)
+    named = materialise(named.select("fp", "group_id", F.col("copies").alias("__n")), "named")
+    return spread_join(rows, named, "fp", F.monotonically_increasing_id(), total)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,13 +210,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without their near-duplicates: of each component the row with the smallest id (null last) stays.
 
-    Texts are written once, with a row number; the decision moves short rows only, and
-    the texts are filtered by row number.
+    Texts are written once, with a row number, and the decision moves short rows only. Up
+    to BROADCAST_IDS dropped rows are broadcast and the texts filtered in place; beyond
+    it, row numbers and texts meet in one shuffle.
     """
     inner = shielded(docs, "doc_id", "text")
     numbered = materialise(inner.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = fingerprints(numbered, "doc_id", "__row")
     rows = materialise(rows.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("ident")), "simhash")
-    kept = grouped(rows, "ident").filter(F.col("ident") == F.col("group_id")).select(F.col("ident")["__row"].alias("__kept"))
-    # a merge join at every size: a broadcast of kept rows has no bound
-    return numbered.join(kept.hint("merge"), numbered["__row"] == kept["__kept"], "left_semi").select(*inner.columns).toDF(*docs.columns)
+    dropped = grouped(rows, "ident").filter(F.col("ident") != F.col("group_id")).select(F.col("ident")["__row"].alias("__dropped"))
+    dropped = materialise(dropped, "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped.hint("merge")
+    return numbered.join(dropped, numbered["__row"] == dropped["__dropped"], "left_anti").select(*inner.columns).toDF(*docs.columns)
