@@ -3,8 +3,17 @@
 Tokens are summed per source, every source gets a target, and its repetition rate is
 target over size. A document is emitted floor(rate) times, plus one more copy with
 probability equal to the fraction. That draw compares the fraction with a number
-hashed from the seed and the document's id, so it needs no state, no shuffle and no
-order, and reruns agree.
+hashed from the seed and the document's id, once: it needs no state and no order, one
+document's copies never depend on another's, and reruns agree. So a source's words miss
+its target by chance, with the standard deviation
+
+    sqrt(f * (1 - f) * sum of squared sizes),    f the fraction of its rate,
+
+which is small against the target unless a few documents hold most of a source.
+
+Plan: words are counted once. Copies follow from a source's rate and the document's id
+alone, so emitting them reads no text but to hand it on; rates come to the rows by
+broadcast, and by a join without hot keys where sources are many.
 
 Edge cases: null or empty texts have size 0 and take nothing, yet are returned; null
 sources are one source, last in order; repeated rows are drawn alike; an empty table
@@ -16,15 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import WORD, materialise, maybe_broadcast, running, shielded, table
+from chronoloom.llm.common import BROADCAST_ROWS, WORD, materialise, running, shielded, spread_join, table
 
 WEIGHTS = (5, 2, 1)
 #: The mix takes three halves of all words, and no source more than twice its own.
 SHARE_HALVES = 3
 MOST = 2
 SEED = "mix-1"
-#: Turns of the hashed numbers that each source may choose from.
-TURNS = 32
 
 
 def words_in(column: str = "text") -> Column:
@@ -65,43 +72,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_halves:
     return ranked.withColumn("target", target)
 
 
-def drawn(size: Column, rate: Column, u: Column) -> Column:
+def drawn(rate: Column, u: Column) -> Column:
     """floor(rate) copies and one more if u is below the fraction."""
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def turned(u: Column, turn: Column) -> Column:
-    """u moved round the unit circle; exact, as both are multiples of 2^-52."""
-    moved = u + turn
-    return F.when(moved >= 1, moved - 1).otherwise(moved)
-
+def rates(docs: DataFrame) -> tuple[DataFrame, int]:
+    """__source, __source_size, __target, __rate and __n (documents) of every source, and the number of sources. docs has source and __size."""
+    sizes = docs.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__n"))
+    sizes = materialise(sizes, "source-sizes")
+    goal = targets(sizes.select("source", "source_size")).withColumnRenamed("source", "__source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.join(sizes.select(F.col("source").alias("__same"), "__n"), F.col("__source").eqNullSafe(F.col("__same")))
+    goal = goal.select("__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), rate.alias("__rate"), "__n")
+    return materialise(goal, "goals"), sizes.count()
 
-def with_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add __size, __source_size, __target and __copies to every document; other columns stay.
 
-    Each source draws with that one of TURNS turns of the hashed numbers whose words
-    come nearest to its target (the first of equals): few or very uneven documents
-    would else miss it by chance. A turn is one more sum in a per-source aggregate.
-    """
+def with_copies(docs: DataFrame, goals: tuple[DataFrame, int], seed: str = SEED) -> DataFrame:
+    """Add __source_size, __target and __copies to every document; other columns stay. docs must come from a scan, whose row order is fixed."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    sized = docs.withColumns({"__size": words_in(), "__u": draw(seed, key)})
-    small = materialise(sized.select("source", "__size", "__u"), "sizes")
-    sizes = materialise(small.groupBy("source").agg(F.sum("__size").alias("source_size")), "source-sizes")
-    known = sizes.count()
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = targets(sizes).withColumn("rate", rate).withColumnRenamed("source", "__source")
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    tries = small.join(maybe_broadcast(goal, known), same).groupBy("source").agg(
-        F.first("target").alias("target"), *[F.sum(F.col("__size") * drawn(F.col("__size"), F.col("rate"), turned(F.col("__u"), F.lit(k / TURNS)))).alias(f"t{k}") for k in range(TURNS)]
-    )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k / TURNS).alias("turn")) for k in range(TURNS)]))
-    chosen = tries.select(F.col("source").alias("__tried"), nearest["turn"].alias("__turn"))
-    goal = materialise(goal.join(chosen, F.col("__source").eqNullSafe(F.col("__tried"))), "goals").select(
-        "__source", "__turn", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate")
-    )
-    out = sized.join(maybe_broadcast(goal, known), same)
-    copies = drawn(F.col("__size"), F.col("__rate"), turned(F.col("__u"), F.col("__turn")))
-    return out.withColumn("__copies", copies).drop("__source", "__u", "__turn", "__rate")
+    rows = docs.withColumn("__u", draw(seed, key))
+    goal, known = goals
+    if known <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("__source")))
+    else:
+        named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+        out = spread_join(rows.withColumn("__key", named), goal.withColumn("source", F.col("__source")).withColumn("__key", named).drop("source"), "__key", F.monotonically_increasing_id()).drop("__key")
+    return out.withColumn("__copies", drawn(F.col("__rate"), F.col("__u"))).drop("__source", "__u", "__rate", "__n")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -110,12 +107,15 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Documents without words weigh nothing and are repeated like the others of their source.
     """
     inner = shielded(docs, "doc_id", "text", "source")
-    taken = with_copies(inner, seed).filter(F.col("__copies") > 0)
+    taken = with_copies(inner, rates(inner.select("source", words_in().alias("__size"))), seed).filter(F.col("__copies") > 0)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*inner.columns).toDF(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", words_in().alias("__size"))
+    # the id stands for the text, which only a row without id is drawn by
+    short = materialise(docs.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text"))), "sizes")
+    out = with_copies(short, rates(short))
     return out.select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
@@ -147,13 +147,7 @@ WITH d AS (
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END::DOUBLE AS rate,
          ('0x' || substr(md5('mix-1:' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), k AS (
-  SELECT r.*, turn, (size * (floor(rate) + CASE WHEN u + turn - floor(u + turn) < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-  FROM r, (SELECT range::DOUBLE / 32::DOUBLE AS turn FROM range(32))
-), c AS (
-  SELECT source, turn, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - first(target)), turn) AS nth
-  FROM k GROUP BY source, turn
 )
-SELECT k.doc_id, k.size, k.source_size, k.target, k.taken
-FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.turn = c.turn AND c.nth = 1
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
 """
