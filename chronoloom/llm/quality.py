@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, shielded, table, utf8
+from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, table, utf8
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -229,8 +229,10 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
 
 
 def corpus_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
-    # a merge join at every size: a broadcast of labels has no bound
-    trusted = docs.select("doc_id", "text").join(good.filter("good").hint("merge"), "doc_id", "left_semi")
+    """The ratio table. Up to BROADCAST_IDS trusted ids are broadcast, so that no text moves; beyond it ids and texts meet in one shuffle."""
+    ids = good.filter("good").select("doc_id")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    trusted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return log_ratios(ngram_counts(trusted), ngram_counts(docs))
 
 
