@@ -16,7 +16,8 @@ The length is trusted: a record's bytes are counted, never searched for. WARC id
 UUIDs of archive and offset, dates become ISO 8601, the type follows from scheme and
 content, digests are SHA-1 in base 32. Of records with equal payloads, the one with
 the largest key (then the largest record id) is the response; the others become
-revisits that keep their HTTP header and refer to it.
+revisits that keep their HTTP header and refer to it by its record id. Reading back
+resolves that id among the records read.
 
 Edge cases: null html is an empty payload; null urls become ``urn:none``; white space in
 urls is percent-encoded; a null key sorts first; of repeated rows one is the response;
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialise, table, utf8
+from chronoloom.llm.common import materialise, spread_join, table, utf8
 
 ARCHIVE_BYTES = 4 << 20
 LEVEL = 6
@@ -196,13 +197,11 @@ def synthesised(archive: str, record: ArcRecord, page: bool = False) -> WarcReco
     return WarcRecord(headers, block)
 
 
-def as_revisit(record: WarcRecord, refers_to: str, key: int | None) -> WarcRecord:
+def as_revisit(record: WarcRecord, refers_to: str) -> WarcRecord:
     """A response without its payload, referring to the record that has it."""
     block = record.block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
     headers = record.headers | {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{refers_to}>"}
     headers["WARC-Block-Digest"] = "sha1:" + sha1_base32(block)
-    if key is not None:
-        headers["WARC-X-Refers-To-Key"] = str(key)
     return WarcRecord(headers, block)
 
 
@@ -284,12 +283,12 @@ def convert_arcs(arcs: DataFrame, whole: bool = True) -> DataFrame:
 
 
 def write_warcs(records: DataFrame) -> DataFrame:
-    """WARC archives of converted records that know the response of their payload (first_key, first_record)."""
+    """WARC archives of converted records that know the response of their payload (first_record)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, name, out, size = TaskContext.get().partitionId(), 0, "", [], 0
         for batch in batches:
-            for record, warc, first_key, first_record in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for record, warc, first_record in zip(*batch.columns, strict=True):
                 if not out:
                     name = f"part-{part:05d}-{n:05d}.warc.gz"
                     info = synthesised(name, next(read_arc(arc_version_block(1, name))))
@@ -297,7 +296,7 @@ def write_warcs(records: DataFrame) -> DataFrame:
                     size = len(out[0])
                 data = warc.as_py()
                 if record.as_py() != first_record.as_py():
-                    data = member(warc_bytes(as_revisit(next(read_warc(data)), first_record.as_py(), first_key.as_py())))
+                    data = member(warc_bytes(as_revisit(next(read_warc(data)), first_record.as_py())))
                 out.append(data)
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -306,7 +305,7 @@ def write_warcs(records: DataFrame) -> DataFrame:
         if out:
             yield _archives([name], [b"".join(out)])
 
-    return records.select("record", "warc", "first_key", "first_record").mapInArrow(write, "archive string, content binary")
+    return records.select("record", "warc", "first_record").mapInArrow(write, "archive string, content binary")
 
 
 def convert(arcs: DataFrame) -> DataFrame:
@@ -315,17 +314,22 @@ def convert(arcs: DataFrame) -> DataFrame:
     The archives are parsed twice, first for digests alone: which record is the response
     is an aggregate over short rows, and payloads move once, compressed.
     """
-    first = convert_arcs(arcs, whole=False).groupBy("payload_sha256").agg(F.max(F.struct("key", "record")).alias("first"))
-    first = first.select("payload_sha256", F.col("first.key").alias("first_key"), F.col("first.record").alias("first_record"))
-    return write_warcs(convert_arcs(arcs).join(first, "payload_sha256"))
+    first = convert_arcs(arcs, whole=False).groupBy("payload_sha256").agg(F.max(F.struct("key", "record")).alias("first"), F.count("*").alias("__n"))
+    first = materialise(first.select("payload_sha256", F.col("first.record").alias("first_record"), "__n"), "responses")
+    return write_warcs(spread_join(convert_arcs(arcs), first, "payload_sha256", F.xxhash64("record")))
+
+
+def uuid_bytes(urn: str | None) -> bytes | None:
+    """The 16 bytes of <urn:uuid:...>."""
+    return uuid.UUID(urn.strip("<>")).bytes if urn else None
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
-    """What WARC archives say of each record but warcinfo: key, type, digest, payload length, the key it refers to."""
+    """What WARC archives say of each record but warcinfo: key, type, digest, payload length, its id and that of the record it refers to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        names = ["key", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "record_id"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["key", "record_type", "payload_digest", "payload_bytes", "record_id", "refers_to_id"]
         for batch in batches:
             for content in batch.column(1):
                 rows = []
@@ -336,20 +340,30 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                     fields, payload = http_parts(r.block)
                     if h["WARC-Type"] == "response" and "sha1:" + sha1_base32(payload) != h["WARC-Payload-Digest"]:
                         raise ValueError(f"digest of {h['WARC-Record-ID']}")
-                    key, refers, length = fields.get(KEY.lower()), h.get("WARC-X-Refers-To-Key"), fields.get("content-length")
-                    rows.append((int(key) if key else None, h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Payload-Digest"][5:], int(length) if length else len(payload), int(refers) if refers else None, h["WARC-Record-ID"]))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+                    key, length = fields.get(KEY.lower()), fields.get("content-length")
+                    rows.append((int(key) if key else None, h["WARC-Type"], h["WARC-Payload-Digest"][5:], int(length) if length else len(payload), uuid_bytes(h["WARC-Record-ID"]), uuid_bytes(h.get("WARC-Refers-To"))))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    schema = "key long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_id string"
+    schema = "key long, record_type string, payload_digest string, payload_bytes long, record_id binary, refers_to_id binary"
     return warcs.select("archive", "content").mapInArrow(read, schema)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """records of read_warcs() with refers_to, the key of the record that WARC-Refers-To names."""
+    records = materialise(records, "records")
+    revisits = records.filter("refers_to_id IS NOT NULL")
+    times = revisits.groupBy("refers_to_id").agg(F.count("*").alias("__n"))
+    found = times.join(records.select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")), "refers_to_id", "left")
+    whole = records.filter("refers_to_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    return whole.unionByName(spread_join(revisits, materialise(found, "referred"), "refers_to_id", F.xxhash64("record_id")))
+
+
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     arcs = materialise(write_arcs(pages.select(F.col("page_id").cast("long").alias("key"), "url", utf8("html").alias("payload"))), "arc", "zstd")
     warcs = materialise(convert(arcs), "warc")
-    return read_warcs(warcs).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolved(read_warcs(warcs)).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """
