@@ -10,18 +10,20 @@ The vocabulary's scores are merge ranks; rank r begins with a weight as 1 / (r +
 Forward and backward recursions over all training words then give every piece its
 expected count, which replaces the weight (an EM step; SMOOTHING pseudo-counts of the
 old weights stay, so that every byte keeps one). A text's end is a token with its own
-share. Besides the vocabulary's arcs the lattice holds one arc for each whole training
-word, with its discounted corpus share; what the discount frees weighs the pieces:
+share. ``score`` is the text's marginal over the vocabulary's pieces, and nothing else.
+
+``mixed_score`` is a second model beside it, whose lattice also holds one arc for each
+whole training word, with its discounted corpus share; what the discount frees weighs
+the pieces:
 
     p(word) = (max(count - 0.75, 0) + 0.75 * distinct words * marginal over pieces) / training words
 
-Shares and marginals sum to one over all words, so scores are proper log probabilities;
-``piece_score`` is the one over pieces alone.
+Shares and marginals sum to one over all words, so both are proper log probabilities.
 
 Plan: a task cuts its documents into blocks of some megabytes and keeps each block's
 distinct words once, so that what is shuffled is words per block, not occurrences.
 Words meet by hash, get their corpus count and marginal, and go back to their blocks,
-where documents are summed. All training counts follow from all documents. Lists of
+one block to a task, where documents are summed. All training counts follow from all documents. Lists of
 words and numbers travel compressed, many to a row.
 
 Edge cases: null and empty texts are the end token alone; repeated rows count each
@@ -336,7 +338,7 @@ def marginals(words: DataFrame, arcs: list, weights: np.ndarray) -> DataFrame:
 
 
 def summed(cut: DataFrame, values: DataFrame, corpus: tuple[int, int], end: tuple[int, float]) -> DataFrame:
-    """Every document's known tokens, base score and lattice score.
+    """Every document's known tokens, base score, lattice score and mixed score.
 
     corpus: training words and distinct ones; end: how often training texts end and the
     log10 probability of the end token; words share what it leaves.
@@ -374,20 +376,23 @@ def summed(cut: DataFrame, values: DataFrame, corpus: tuple[int, int], end: tupl
                     times, logs_ = np.zeros(sum(len(x[0]) for x in found), np.int64), np.zeros(sum(len(x[0]) for x in found))
                     for nth, count, log in found:
                         times[nth], logs_[nth] = count, log
-                    tables, waiting = (times > 0, base(times), whole(times, logs_) + word_log, logs_ + word_log), []
+                    tables, waiting = (times > 0, base(times), logs_ + word_log, whole(times, logs_) + word_log), []
                 own = unpacked(ids, np.int32)
-                known, bases, scores, pieces = (t[own] for t in tables)
-                rows.append((doc_id, held, n + 1, int(known.sum()) + int(end_count > 0), float(bases.sum() + base(end_count)), float(scores.sum() + end_log), float(pieces.sum() + end_log)))
+                known, bases, scores, mixed = (t[own] for t in tables)
+                rows.append((doc_id, held, n + 1, int(known.sum()) + int(end_count > 0), float(bases.sum() + base(end_count)), float(scores.sum() + end_log), float(mixed.sum() + end_log)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [batch.column(5).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "piece_score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "mixed_score"])
 
     none = F.lit(None)
     left = values.select("block", F.lit(0).alias("kind"), "nths", "counts", "logs", none.cast(key_kind).alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("long").alias("n_words"), none.cast("binary").alias("ids"))
     right = cut.filter("kind = 1").select("block", "kind", none.cast("binary").alias("nths"), none.cast("binary").alias("counts"), none.cast("binary").alias("logs"), "doc_id", "held_out", "n_words", "ids")
-    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = left.union(right).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(add, f"doc_id {key_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, piece_score double")
+    # block p << 32 | n is the n-th of partition p: one task for each
+    last = cut.agg(F.max(F.shiftright("block", 32)), F.max(F.col("block").bitwiseAND(0xFFFFFFFF))).first()
+    parts, each = (1, 1) if last[0] is None else (int(last[0]) + 1, int(last[1]) + 1)
+    task = (F.shiftright("block", 32) * each + F.col("block").bitwiseAND(0xFFFFFFFF)).cast("int")
+    both = left.union(right).repartitionById(parts * each, task).sortWithinPartitions("block", "kind")
+    return both.mapInArrow(add, f"doc_id {key_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, mixed_score double")
 
 
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -403,4 +408,4 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_documents(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
