@@ -9,7 +9,8 @@ the output already written.
 encode_gif() stores 8-bit samples losslessly as grey frames of 192 samples a row, a few
 hundred rows a frame, so that a payload of any length fits.
 
-Edge cases: a null or broken image gives no frames and its error text; null texts are
+Edge cases: a null or broken image, or one of more than MOST_PIXELS, gives the frames
+before the break and its error text; null texts are
 stored like empty ones; repeated rows stay; empty tables give empty results.
 """
 
@@ -31,6 +32,8 @@ ROW = 192
 FRAME_ROWS = 320
 DELAY_CS = 4
 BINS = 16
+#: Pixels of the largest canvas and frame that are decoded; a few bytes may declare four thousand million.
+MOST_PIXELS = 1 << 24
 #: Bytes of output that a task gathers before it hands them on.
 BATCH_BYTES = 16 << 20
 #: The passes of an interlaced image: first row and step.
@@ -190,15 +193,18 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def decode_gif(data: bytes) -> list[Frame]:
-    """All frames of a GIF, composed; raises ValueError where the file is broken."""
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames of a GIF one after the other, composed; raises ValueError where the file is broken.
+
+    A canvas or a frame of more than most_pixels is refused, whatever it holds.
+    """
     try:
-        return _decode(data)
+        yield from _decode(data, most_pixels)
     except (IndexError, struct.error) as e:
         raise ValueError(f"broken GIF: {e}") from e
 
 
-def _decode(data: bytes) -> list[Frame]:
+def _decode(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -206,8 +212,9 @@ def _decode(data: bytes) -> list[Frame]:
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
     # the cleared canvas is transparent, as all current decoders have it
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
+    if width * height > most_pixels:
+        raise ValueError(f"canvas of {width} x {height} pixels")
+    canvas, count = np.zeros((height, width, 4), np.uint8), 0
     clock, delay, disposal, hidden = 0, 0, 0, None
     while (kind := data[at]) != 0x3B:
         if kind == 0x21:
@@ -223,7 +230,11 @@ def _decode(data: bytes) -> list[Frame]:
                 palette, at = _palette(data, at, flags)
             if palette is None:
                 raise ValueError("no palette")
+            if w * h > most_pixels:
+                raise ValueError(f"frame of {w} x {h} pixels")
             bits = data[at]
+            if not 2 <= bits <= 8:
+                raise ValueError(f"code size {bits}")
             stream, at = _joined(data, at + 1)
             raw = lzw_decode(stream, bits, w * h)
             if len(raw) < w * h:
@@ -246,8 +257,8 @@ def _decode(data: bytes) -> list[Frame]:
                 shown = seen != hidden
                 view[..., :3][shown] = palette[np.where(shown, seen, 0)][shown]
                 view[..., 3][shown] = 255
-            frames.append(Frame(len(frames), clock, delay, left, top, disposal, samples, canvas.copy()))
-            clock += delay
+            yield Frame(count, clock, delay, left, top, disposal, samples, canvas.copy())
+            clock, count = clock + delay, count + 1
             if disposal == 2:
                 view[...] = 0
             elif before is not None:
@@ -255,7 +266,6 @@ def _decode(data: bytes) -> list[Frame]:
             delay, disposal, hidden = 0, 0, None
         else:
             raise ValueError(f"unknown block {kind}")
-    return frames
 
 
 def colour_histogram(rgba: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -277,7 +287,7 @@ FRAMES_SCHEMA = (
 def timed_frames(images: DataFrame, key: str, column: str) -> DataFrame:
     """One row per frame of each GIF in column, with start time, composed picture and histograms.
 
-    A null or broken image gives one row with its error and no frame.
+    A null or broken image gives the frames before the break, and then a row with its error.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,17 +305,15 @@ def timed_frames(images: DataFrame, key: str, column: str) -> DataFrame:
                 try:
                     if (data := image.as_py()) is None:
                         raise ValueError("no image")
-                    frames = decode_gif(data)
+                    for f in decode_gif(data):
+                        hist = colour_histogram(f.rgba).tolist()
+                        rows.append((key_.as_py(), f.index, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.disposal, f.samples.tobytes(), f.rgba.tobytes(), *hist, None))
+                        held += f.rgba.size
+                        if held >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 except ValueError as e:
                     rows.append((key_.as_py(), *[None] * 11, str(e)))
-                    continue
-                for f in frames:
-                    hist = colour_histogram(f.rgba).tolist()
-                    rows.append((key_.as_py(), f.index, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.disposal, f.samples.tobytes(), f.rgba.tobytes(), *hist, None))
-                    held += f.rgba.size
-                    if held >= BATCH_BYTES:
-                        yield batch_of(rows)
-                        rows, held = [], 0
             yield batch_of(rows)
 
     return images.select(images[key].cast("long").alias("key"), images[column].alias("image")).mapInArrow(decode, FRAMES_SCHEMA)
@@ -343,13 +351,15 @@ def digests(stored: DataFrame) -> DataFrame:
             rows = []
             for value in batch.column(2):
                 media = value.as_py()
-                frames = decode_gif(media)
-                payload = b"".join([f.samples.tobytes() for f in frames])
-                hist = sum(colour_histogram(f.rgba[: f.samples.shape[0]]) for f in frames)
-                feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};" + ";".join(
-                    f"{c}={','.join(map(str, h))}" for c, h in zip("rgb", hist.tolist(), strict=True)
-                )
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                payload, size, tail, frames, ms = hashlib.sha256(), 0, b"", 0, 0
+                hist = np.zeros((3, BINS), np.int64)
+                for f in decode_gif(media):
+                    samples = f.samples.tobytes()
+                    payload.update(samples)
+                    size, tail, frames, ms = size + len(samples), (tail + samples[-16:])[-16:], frames + 1, ms + f.delay_ms
+                    hist += colour_histogram(f.rgba[: f.samples.shape[0]])
+                feature = f"frames={frames};ms={ms};" + ";".join(f"{c}={','.join(map(str, h))}" for c, h in zip("rgb", hist.tolist(), strict=True))
+                rows.append((size, payload.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
