@@ -6,24 +6,33 @@ shard holds which slot. Rebalancing edits the map only: it moves whole slots and
 raises the version, so records never rehash. The map has one row per slot, so the
 driver holds ``slots`` entries whatever the data's size.
 
+The map is stored, one folder a version, and read back; a run edits the last version
+and stores the next one only if shards have drifted apart.
+
+Law ``bytes`` holds down to the size of single slots: one id whose rows or text outweigh a
+shard is one slot and stays whole. Equal texts are not kept together, as a large group of
+copies would break the law.
+
 Edge cases: null texts have no bytes (size 8); null ids hash by their text; repeated
 rows are rows of their own; an empty table gives an empty result and an even map.
 """
 
 from __future__ import annotations
 
-import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import materialise, table
+from chronoloom.llm.common import materialise, shared_dir, table
 
 SLOTS = 4096
 SHARDS = 24
 RECORD_OVERHEAD = 8
+#: How far above the mean a shard's bytes may lie before its slots are moved.
+TOLERANCE = 0.001
 
 
 @dataclass(frozen=True)
@@ -51,19 +60,7 @@ def even_map(shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(1, shards, tuple(s % shards for s in range(slots)))
 
 
-def balanced(slot_map: SlotMap, sizes: list[int], shards: int | None = None) -> SlotMap:
-    """The map with slots dealt anew: heaviest first, each to the lightest shard so far."""
-    shards = shards or slot_map.shards
-    heap = [(0, s) for s in range(shards)]
-    owner = list(slot_map.owner)
-    for slot in sorted(range(len(owner)), key=lambda s: (-sizes[s], s)):
-        load, shard = heap[0]
-        owner[slot] = shard
-        heapq.heapreplace(heap, (load + sizes[slot], shard))
-    return SlotMap(slot_map.version + 1, shards, tuple(owner))
-
-
-def rebalanced(slot_map: SlotMap, sizes: list[int], shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
+def rebalanced(slot_map: SlotMap, sizes: list[int], shards: int | None = None, tolerance: float = TOLERANCE) -> SlotMap:
     """The map with as few edits as bring every shard within tolerance of the mean, where slots allow it.
 
     Moves the largest slot that still helps from the heaviest to the lightest shard
@@ -111,15 +108,14 @@ def has_map(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def kept_map(spark: SparkSession, sizes: list[int], shards: int, path: str | None) -> SlotMap:
-    """The last map stored at path, edited for these sizes if need be and stored as a new version; without one, slots are dealt anew."""
+def kept_map(spark: SparkSession, sizes: list[int], shards: int, path: str) -> SlotMap:
+    """The data set's map: the last version stored at path, edited for these sizes and stored as a new version where that changes it.
+
+    A data set without a map begins with the even one, stored as version 1.
+    """
     slots = len(sizes)
-    if path is None or not has_map(spark, path):
-        first = even_map(shards, slots)
-        dealt = balanced(first, sizes)
-        for m in (first, dealt) if path is not None else ():
-            save_map(spark, m, path)
-        return dealt
+    if not has_map(spark, path):
+        save_map(spark, even_map(shards, slots), path)
     last = load_map(spark, path)
     if len(last.owner) != slots or last.shards > shards:
         raise ValueError(f"the map at {path} has {len(last.owner)} slots and {last.shards} shards")
@@ -127,7 +123,7 @@ def kept_map(spark: SparkSession, sizes: list[int], shards: int, path: str | Non
     if (edited.shards, edited.owner) == (last.shards, last.owner):
         return last
     save_map(spark, edited, path)
-    return edited
+    return load_map(spark, path, edited.version)
 
 
 def placed(records: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
@@ -147,11 +143,18 @@ def placed(records: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
-    """Every document's shard under law ``bytes``; slot is its position in the shard. maps: folder of the data set's stored maps."""
+    """Every document's shard under law ``bytes``; slot is its position in the shard."""
     return shard_documents(table(spark, sf_dir, "documents"), shards, slots, maps)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """Shard, position and size of every document.
+
+    maps: the folder of the data set's stored maps, which is read, edited and stored
+    again. Without one the documents are a new data set, whose maps are stored in the
+    application's shared folder, so that results do not hang on earlier runs.
+    """
+    maps = maps or f"{shared_dir(docs.sparkSession)}/slot-maps-{uuid.uuid4().hex}"
     text = F.coalesce(F.col("text"), F.lit(""))
     records = docs.select(
         F.col("doc_id"),
