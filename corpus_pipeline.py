@@ -7,11 +7,12 @@ columns of ``documents``. No stage has SQL; tests hold them against brute force.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import mixing, packing, quality, simhash, toxicity
-from chronoloom.llm.common import materialise, table
+from chronoloom.llm.common import concluded, discard, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's documents are written and read again."""
+    """All stages over ``documents``; each stage's documents are written and read again, and the tables of stages before it removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = concluded(spark, partial(stage, spark, before, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
