@@ -2,7 +2,7 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline
-from chronoloom.llm import quality, simhash, toxicity
+from chronoloom.llm import common, quality, simhash, toxicity
 
 
 def test_stages_take_effect(spark, sf, tmp_path):
@@ -36,5 +36,13 @@ def test_stages_take_effect(spark, sf, tmp_path):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in docs.collect()) and len(tokens) > 0
 
 
+def test_run_leaves_one_table(spark, sf):
+    import glob
+
+    common.release(spark)
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and len(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/*")) == 1
+
+
 def test_empty(spark, empty_sf):
     assert corpus_pipeline.run(spark, empty_sf).count() == 0
