@@ -100,28 +100,24 @@ def features(words: list[bytes]) -> Words:
     bare = [w.strip(EDGE) or w for w in words]
     data = np.frombuffer(b"".join([b"<" + w + b">" for w in bare]), np.uint8).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in bare], np.int32)
-    owner = np.repeat(np.arange(len(bare), dtype=np.int32), sizes)
     left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(data), dtype=np.int32)  # bytes up to the word's end
-    rows, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    # a row for each place, so that n-grams come by word
+    found, inside = np.zeros((len(data), len(GRAM_SIZES)), np.uint64), left[:, None] >= np.array(GRAM_SIZES, np.int32)
     h = data
     for n in range(2, max(GRAM_SIZES) + 1):
         if len(data) < n:
             break
         h = h[:-1] * np.uint64(0x100000001B3) + data[n - 1 :]
         if n in GRAM_SIZES:
-            inside = left[: len(h)] >= n
-            rows.append((h[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15))
-            owners.append(owner[: len(h)][inside])
-    grams, owner = np.concatenate(rows), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
+            found[: len(h), GRAM_SIZES.index(n)] = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
     whole = np.array([zlib.crc32(w) << 32 | zlib.adler32(w) for w in bare], np.uint64)
-    return Words(whole, grams[order], np.bincount(owner, minlength=len(bare)))
+    return Words(whole, found[inside], sum(np.maximum(sizes - (n - 1), 0) for n in GRAM_SIZES).astype(np.int64))
 
 
-def features_of(words: list[bytes], at_once: int = 20_000) -> Words:
-    """features() of many words, a part at a time."""
-    parts = [features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
-    return Words(*(np.concatenate(x) for x in ([p.word for p in parts], [p.grams for p in parts], [p.size for p in parts])))
+def in_parts(words: list[bytes], at_once: int = 20_000) -> Iterator[tuple[int, Words]]:
+    """features() of many words, a part at a time, each with its first word's number."""
+    for i in range(0, len(words), at_once):
+        yield i, features(words[i : i + at_once])
 
 
 def evidence(times: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -159,27 +155,43 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def found_rows(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The place of each hash among sorted keys; len(keys) where it is none."""
-    if not len(keys):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, at, len(keys))
+class Index:
+    """Sorted 64-bit hashes, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys; their number where it is none."""
+        out = np.full(len(hashes), len(self.keys), np.int32)
+        first = (hashes >> self.shift).astype(np.int64)
+        at, end = self.begins[first], self.begins[first + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.keys[here] == hashes[open_]
+            out[open_[hit]] = here[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
 
 
 @dataclass
 class Network:
     """Parameters by name; direction 1 of the recurrent ones reads backwards.
 
-    words and grams are sorted hashes, word_value and gram_value their evidence (one entry
+    words and grams are the known hashes, word_value and gram_value their evidence (one entry
     more: of any other); place is each word's row in the learnt embedding, where row 0 is of
     all rare words; middle and spread bring static values to a common scale.
     """
 
     p: dict[str, np.ndarray]
-    words: np.ndarray
+    words: Index
     word_value: np.ndarray
-    grams: np.ndarray
+    grams: Index
     gram_value: np.ndarray
     place: np.ndarray
     middle: np.ndarray
@@ -195,7 +207,7 @@ class Network:
         def normal(*shape: int, size: float) -> np.ndarray:
             return (rng.standard_normal(shape) * size).astype(np.float32)
 
-        h, d, keys, none = HIDDEN, STATIC + DIM, np.zeros(0, np.uint64), np.zeros(1, np.float32)
+        h, d, keys, none = HIDDEN, STATIC + DIM, Index(np.zeros(0, np.uint64)), np.zeros(1, np.float32)
         return cls({
             "word": normal(common + 1, DIM, size=0.1),
             "w": normal(2, d, 3 * h, size=0.3), "b": np.zeros((2, 1, 3 * h), np.float32), "u": normal(2, h, 3 * h, size=0.3),
@@ -205,8 +217,8 @@ class Network:
 
     def embed(self, f: Words) -> np.ndarray:
         """Input rows of words: scaled static values, then learnt ones."""
-        word = found_rows(self.words, f.word)
-        values = static(self.word_value[word], self.gram_value[found_rows(self.grams, f.grams)], f.size)
+        word = self.words.rows(f.word)
+        values = static(self.word_value[word], self.gram_value[self.grams.rows(f.grams)], f.size)
         return self.inputs((values - self.middle) / self.spread, self.place[word])
 
     def inputs(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -214,7 +226,10 @@ class Network:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of words: shape (words, 2, 3 * HIDDEN)."""
-        return (x @ self.p["w"] + self.p["b"]).transpose(1, 0, 2).copy()
+        out = np.empty((len(x), 2, 3 * HIDDEN), np.result_type(x, self.p["w"]))
+        for at in range(0, len(x), WORDS_AT_ONCE):
+            out[at : at + WORDS_AT_ONCE] = (x[at : at + WORDS_AT_ONCE] @ self.p["w"] + self.p["b"]).transpose(1, 0, 2)
+        return out
 
     def states(self, inputs: np.ndarray, valid: np.ndarray | None, tape: list | None = None) -> np.ndarray:
         """Both directions' states, shape (time, batch, 2 * HIDDEN); inputs: (time, batch, 2, 3 * HIDDEN)."""
@@ -387,7 +402,6 @@ def known_words(rng: np.random.Generator, words: list[bytes], coded: list[np.nda
     Documents come back as numbers of input rows, one for each word of each part; values are
     those rows' static values and rows their places in the learnt embedding.
     """
-    f = features_of(words)
     # how many documents of each part and kind hold each word
     held, totals = np.zeros((len(words), 2 * FOLDS), np.float32), np.zeros((FOLDS, 2))
     for ids, y, p in zip(coded, label, part, strict=True):
@@ -395,16 +409,24 @@ def known_words(rng: np.random.Generator, words: list[bytes], coded: list[np.nda
         held[own, 2 * p + y] += 1
         totals[p, y] += len(own)
 
-    def counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, ids = np.unique(hashes, return_inverse=True)
-        ids = ids.astype(np.int32)
-        times = np.stack([np.bincount(ids, held[owner, k], len(keys)) for k in range(2 * FOLDS)])
-        return keys, ids, times.reshape(FOLDS, 2, -1)
-
-    word_keys, word_ids, word_times = counted(f.word, np.arange(len(words)))
-    owner = f.owners()
-    gram_keys, gram_ids, times = counted(f.grams, owner)
+    def sighted(keys: np.ndarray, ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(ids, of[:, k], len(keys)) for k in range(2 * FOLDS)]).astype(np.float32).reshape(FOLDS, 2, -1)
+
+    # all n-grams of all words are many: their hashes are made twice, and only their rows kept
+    known = [(f.word, np.unique(f.grams)) for _, f in in_parts(words)]
+    word_keys, word_ids = np.unique(np.concatenate([w for w, _ in known]), return_inverse=True)
+    gram_keys = np.unique(np.concatenate([g for _, g in known]))
+    del known
+    index, times, rows_of, sizes = Index(gram_keys), np.zeros((FOLDS, 2, len(gram_keys)), np.float32), [], []
+    for first, f in in_parts(words):
+        rows_of.append(index.rows(f.grams))
+        sizes.append(f.size)
+        times += sighted(gram_keys, rows_of[-1], held[first : first + len(f.size)][f.owners()])
+    gram_ids, size = np.concatenate(rows_of), np.concatenate(sizes)
+    del rows_of, sizes
+    word_times = sighted(word_keys, word_ids, held)
     word_values, gram_values = evidence(word_times, totals), evidence(times, totals)
+    del times
     common = np.flatnonzero(word_times.sum((0, 1)) >= LEARNT_DOCS)
     net = Network.fresh(rng, len(common))
     net.place = np.zeros(len(word_keys) + 1, np.int64)
@@ -417,7 +439,7 @@ def known_words(rng: np.random.Generator, words: list[bytes], coded: list[np.nda
         own = np.unique(np.concatenate([coded[i] for i in mine]))
         chosen = np.zeros(len(words), bool)
         chosen[own] = True
-        values.append(static(word_values[p][word_ids[own]], gram_values[p][gram_ids[chosen[owner]]], f.size[own]))
+        values.append(static(word_values[p][word_ids[own]], gram_values[p][gram_ids[np.repeat(chosen, size)]], size[own]))
         rows.append(net.place[word_ids[own]])
         for i in mine:
             out[i] = (np.searchsorted(own, coded[i]) + begun).astype(np.int32)
@@ -425,10 +447,10 @@ def known_words(rng: np.random.Generator, words: list[bytes], coded: list[np.nda
     values = np.concatenate(values)
     net.middle, net.spread = values.mean(0), values.std(0) + np.float32(1e-6)
     # words and n-grams whose value is nothing need no entry
-    told = np.abs(gram_values[-1]) > 1e-3
-    net.grams, net.gram_value = gram_keys[told], np.append(gram_values[-1][told], np.float32(0))
-    told = (np.abs(word_values[-1]) > 1e-3) | (net.place[:-1] > 0)
-    net.words, net.word_value, net.place = word_keys[told], np.append(word_values[-1][told], np.float32(0)), np.append(net.place[:-1][told], 0)
+    told = gram_values[-1] != 0
+    net.grams, net.gram_value = Index(gram_keys[told]), np.append(gram_values[-1][told], np.float32(0))
+    told = (word_values[-1] != 0) | (net.place[:-1] > 0)
+    net.words, net.word_value, net.place = Index(word_keys[told]), np.append(word_values[-1][told], np.float32(0)), np.append(net.place[:-1][told], 0)
     return net, out, (values - net.middle) / net.spread, np.concatenate(rows)
 
 
