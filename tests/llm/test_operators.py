@@ -583,8 +583,26 @@ def test_op8_evidence_equals_a_loop():
         for i, row in zip(docs[d], coded[d], strict=True):
             assert math.isclose(values[row, 0], value(i, part[d]), abs_tol=1e-5)
     whole = toxicity.features(words)
-    found = net.word_value[toxicity.found_rows(net.words, whole.word)]
-    assert all(math.isclose(found[i], value(i, None), abs_tol=2e-3) for i in range(40))
+    found = net.word_value[net.words.rows(whole.word)]
+    assert all(math.isclose(found[i], value(i, None), abs_tol=1e-5) for i in range(40))
+
+
+def test_op8_index_and_ngrams():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2))
+    ask = np.concatenate([keys[::3], keys[:50] + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64)])
+    at = {int(k): i for i, k in enumerate(keys)}
+    assert toxicity.Index(keys).rows(ask).tolist() == [at.get(int(k), len(keys)) for k in ask]
+    assert toxicity.Index(keys[:0]).rows(ask[:3]).tolist() == [0, 0, 0]
+    words_ = [b"a", b"ab", b"(Worthless!)", "été".encode(), b"...", b"worth"]
+    f = toxicity.features(words_)
+    at, grams = np.cumsum(f.size) - f.size, []
+    for w, i, n in zip(words_, at, f.size, strict=True):
+        marked = b"<" + (w.strip(toxicity.EDGE) or w) + b">"
+        pieces = [marked[a : a + k] for a in range(len(marked)) for k in toxicity.GRAM_SIZES if a + k <= len(marked)]
+        assert n == len(pieces)
+        grams += zip(pieces, f.grams[i : i + n].tolist(), strict=True)
+    assert len({p for p, _ in grams}) == len({h for _, h in grams}) == len(set(grams))
 
 
 def test_op8_rare_words_say_nothing_and_known_builds_do():
