@@ -1,14 +1,17 @@
 """Ports to models: injected callables that Python workers run in Arrow batches.
 
-A port is a factory of a callable, so that a model loads once per worker and not per row.
+A port is a factory of a callable, so that a model loads once per worker and not per row;
+workers know a factory by its content, wherever it was unpickled.
 A model that fails gives its failure as data: other rows go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,27 +25,29 @@ RETRYABLE = ("TimeoutException", "TimeoutError")
 ATTEMPTS = 2
 LEAST_LINES_TO_SUMMARISE = 3
 
-_loaded: dict[int, Callable] = {}
+_loaded: dict[str, tuple[Callable, Callable]] = {}
 
 
-def loaded(factory: Callable[[], Callable]) -> Callable:
-    """The factory's callable, made once per worker."""
-    if id(factory) not in _loaded:
-        _loaded[id(factory)] = factory()
-    return _loaded[id(factory)]
+def content_key(factory: Callable) -> str:
+    """What a factory is: the digest of its code and of what it holds."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
 
-def is_retryable(error: BaseException) -> bool:
-    return any(c.__name__ in RETRYABLE for c in type(error).__mro__)
+def loaded(factory: Callable[[], Callable], key: str) -> Callable:
+    """The factory's callable, made once per worker for each key; the factory is held beside it."""
+    if key not in _loaded:
+        _loaded[key] = (factory, factory())
+    return _loaded[key][1]
 
 
-def attempted(call: Callable, *args):
-    """The call's result; time-outs are tried once more."""
-    for attempt in range(ATTEMPTS):
+def attempted(call: Callable, *args, attempts: int = ATTEMPTS, retry: Collection[str] = RETRYABLE):
+    """The call's result. An error whose class, or a base of it, bears a name in retry is tried again, attempts times in all."""
+    for left in reversed(range(attempts)):
         try:
             return call(*args)
         except Exception as e:
-            if attempt + 1 == ATTEMPTS or not is_retryable(e):
+            again = not set(retry).isdisjoint(kind.__name__ for kind in type(e).mro())
+            if not (left and again):
                 raise
     return None
 
@@ -50,9 +55,11 @@ def attempted(call: Callable, *args):
 def recognise(factory: Callable[[], Callable[[str], list[str]]]) -> Callable[[DataFrame], DataFrame]:
     """Adds lines to frames with a path; null where the model fails."""
 
+    key = content_key(factory)
+
     @F.pandas_udf("array<string>")
     def lines(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = loaded(factory)
+        model = loaded(factory, key)
 
         def one(path):
             try:
@@ -75,9 +82,11 @@ def prompt(template: str, lines: Column, speech: Column) -> Column:
 def describe(frames: DataFrame, factory: Callable[[], Callable[[str, str], str]]) -> DataFrame:
     """frames (path, prompt) with the five fields of the model's reply; a failed call is an action that says so."""
 
+    key = content_key(factory)
+
     @F.pandas_udf("content string, error string")
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = loaded(factory)
+        model = loaded(factory, key)
         for paths, prompts in batches:
             rows = []
             for path, text in zip(paths, prompts, strict=True):
@@ -100,10 +109,11 @@ def transcribe(chunks: DataFrame, factory: Callable[[], Callable[[str, int, int]
 
     A chunk that fails gives one row with failed set, so that lost ranges can be told.
     """
+    key = content_key(factory)
     schema = "video string, chunk_start long, chunk_end long, failed boolean, start_us long, end_us long, text string, no_speech_prob double, avg_logprob double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loaded(factory)
+        model = loaded(factory, key)
         for batch in batches:
             rows = []
             for c in batch.itertuples(index=False):
@@ -121,9 +131,11 @@ def transcribe(chunks: DataFrame, factory: Callable[[], Callable[[str, int, int]
 def summarise(entries: DataFrame, factory: Callable[[], Callable[[list[str]], str | None]]) -> DataFrame:
     """entries with a summary of their speech where there are lines enough; only those rows reach the model."""
 
+    key = content_key(factory)
+
     @F.pandas_udf("string")
     def sentence(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = loaded(factory)
+        model = loaded(factory, key)
 
         def one(x):
             try:
@@ -144,9 +156,11 @@ def summarise(entries: DataFrame, factory: Callable[[], Callable[[list[str]], st
 def embed(texts: DataFrame, column: str, factory: Callable[[], Callable[[list[str]], list]], prefix: str = DOCUMENT_PREFIX) -> DataFrame:
     """texts with embedding, a batch at a time."""
 
+    key = content_key(factory)
+
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = loaded(factory)
+        model = loaded(factory, key)
         for batch in batches:
             yield pd.Series([[float(y) for y in x] for x in model([prefix + t for t in batch])], index=batch.index, dtype=object)
 
