@@ -7,32 +7,37 @@ task holds one state and one batch, however long a video is, and no video is col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Frames that are compared with the last recognised one at once.
+LOOK_AHEAD = 256
 
-def ordered_fold(rows: DataFrame, step: Callable, out: str, out_type: str, order: tuple[str, ...] = ("t_us", "ord")) -> DataFrame:
-    """rows with the column out: step(state, row) -> (state, value) in order within each video; state starts as None."""
+
+def in_order(rows: DataFrame, fold: Callable, out: str, out_type: str, order: tuple[str, ...] = ("t_us", "ord")) -> DataFrame:
+    """rows with the column out: fold(state, batch) -> (state, values) over the batches of each video in order; state starts as None."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` {out_type}"])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, state = object(), None
         for batch in batches:
-            values = []
-            for row in batch.itertuples(index=False):
-                if row.video != video:
-                    video, state = row.video, None
-                state, value = step(state, row)
-                values.append(value)
+            values = np.empty(len(batch), object)
+            owner = batch["video"].to_numpy()
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(batch) else np.zeros(0, np.int64)
+            for a, b in zip(begins, [*begins[1:], len(batch)], strict=True):
+                if owner[a] != video:
+                    video, state = owner[a], None
+                state, values[a:b] = fold(state, batch.iloc[a:b])
             batch[out] = pd.Series(values, index=batch.index, dtype=object)
             yield batch
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "video").sortWithinPartitions("video", *order).mapInPandas(fold, schema)
+    return rows.repartition(parts, "video").sortWithinPartitions("video", *order).mapInPandas(run, schema)
 
 
 @dataclass(frozen=True)
@@ -45,47 +50,88 @@ class GateConfig:
     least_union: int = 3
 
 
-def should_describe(now_us: int, tokens: frozenset, last: tuple[int, frozenset] | None, config: GateConfig) -> bool:
-    if last is None:
-        return True
-    then, before = last
-    if now_us - then >= config.most_gap_us:
-        return True
-    if now_us - then < config.least_gap_us:
-        return False
-    if bool(tokens) != bool(before):
-        return True
-    union = len(tokens | before)
-    if union < config.least_union:
-        return False
-    return len(tokens & before) / union < config.skip_from_jaccard
+def gate_rules(elapsed_us: int, own: int, before: int, shared: int, config: GateConfig) -> Iterator[tuple[bool, bool]]:
+    """The gate's decision table, (applies, selects) by rank, from the time and the sizes of the two token sets and of what they share."""
+    union = own + before - shared
+    yield elapsed_us >= config.most_gap_us, True
+    yield elapsed_us < config.least_gap_us, False
+    yield min(own, before) == 0 < max(own, before), True
+    yield union < config.least_union, False
+    yield True, shared / max(union, 1) < config.skip_from_jaccard
+
+
+class ChangeGate:
+    """The last selected screen of one video."""
+
+    def __init__(self, config: GateConfig, at_us: int | None = None, tokens: Iterable[str] = ()):
+        self.config, self.at_us, self.tokens = config, at_us, frozenset(tokens)
+
+    def selects(self, at_us: int, tokens: Iterable[str]) -> bool:
+        """Whether the screen is selected; it then becomes the last one. The first one always is."""
+        tokens = frozenset(tokens)
+        rules = [(True, True)] if self.at_us is None else gate_rules(at_us - self.at_us, len(tokens), len(self.tokens), len(tokens & self.tokens), self.config)
+        chosen = next(selects for applies, selects in rules if applies)
+        if chosen:
+            self.at_us, self.tokens = at_us, tokens
+        return chosen
 
 
 def change_gate(keyframes: DataFrame, config: GateConfig = GateConfig()) -> DataFrame:  # noqa: B008  frozen
     """keyframes (video, t_us, ord, tokens) with selected: whether the screen changed since the last selected one."""
 
-    def step(last, row):
-        tokens = frozenset(row.tokens)
-        chosen = should_describe(row.t_us, tokens, last, config)
-        return ((row.t_us, tokens) if chosen else last), chosen
+    def fold(gate, batch):
+        gate = gate or ChangeGate(config)
+        return gate, [gate.selects(t, tokens) for t, tokens in zip(batch["t_us"], batch["tokens"], strict=True)]
 
-    return ordered_fold(keyframes, step, "selected", "boolean")
+    return in_order(keyframes, fold, "selected", "boolean")
 
 
 def memo_skip(frames: DataFrame, similar: Callable | None, value: str) -> DataFrame:
     """frames (video, t_us, ord, is_keyframe, value) with source_ord: the frame whose recognition each one reuses.
 
     A frame is recognised itself if it is the first, a keyframe, nothing compares, or it
-    is not similar(last recognised value, own value).
+    is not similar to the last recognised one. similar(value, values) answers for many
+    values at once, LOOK_AHEAD at most, so that a long run costs few calls.
     """
 
-    def step(last, row):
-        own = getattr(row, value)
-        if last is None or row.is_keyframe or similar is None or not similar(last[1], own):
-            last = (row.ord, own)
-        return last, last[0]
-
-    return ordered_fold(frames, step, "source_ord", "long")
+    def fold(last, batch):
+        ords, keys, values = batch["ord"].to_numpy(), batch["is_keyframe"].to_numpy(dtype=bool), batch[value].to_numpy()
+        out, at = np.empty(len(batch), object), 0
+        while at < len(batch):
+            if last is None or keys[at] or similar is None:
+                last = (ords[at], values[at])
+                out[at] = last[0]
+                at += 1
+                continue
+            end = min(at + LOOK_AHEAD, len(batch))
+            stops = np.flatnonzero(keys[at:end] | ~np.asarray(similar(last[1], values[at:end]), bool))
+            to = at + int(stops[0]) if len(stops) else end
+            out[at:to] = last[0]
+            if len(stops):
+                last = (ords[to], values[to])
+                out[to] = last[0]
+                to += 1
+            at = to
+        return last, out
+
+    return in_order(frames, fold, "source_ord", "long")
+
+
+def nearby(most: float) -> Callable:
+    """For memo_skip over vectors: mean absolute difference below most."""
+
+    def similar(one, many):
+        return np.abs(np.stack(many).astype(np.float64) - np.asarray(one, np.float64)).mean(1) < most
+
+    return similar
+
+
+def keyframes_only(frames: DataFrame, recognise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """frames with lines: keyframes are recognised, a failed one and all others get an empty array; the others never reach the model."""
+    key = F.coalesce(F.col("is_keyframe"), F.lit(False))
+    empty = F.array().cast("array<string>")
+    seen = recognise(frames.filter(key)).withColumn("lines", F.coalesce("lines", empty))
+    return seen.unionByName(frames.filter(~key).withColumn("lines", empty))
 
 
 def recognised(frames: DataFrame, recognise: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoloom.operators.folds import GateConfig, should_describe
+from chronoloom.operators.folds import ChangeGate, GateConfig
 from chronoloom.operators.runs import RUN_KEY
 
 OUT = "video string, ord long, t_us long, action string, resource string, location string"
@@ -43,15 +43,10 @@ def gated_stream(keyframes: DataFrame, config: GateConfig = GateConfig()) -> Dat
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["t_us", "ord"])
-        last = (state.get[0], frozenset(state.get[1])) if state.exists else None
-        kept = []
-        for row in rows.itertuples(index=False):
-            tokens = frozenset(row.tokens)
-            if should_describe(row.t_us, tokens, last, config):
-                last = (row.t_us, tokens)
-                kept.append((row.video, row.ord, row.t_us))
-        if last is not None:
-            state.update((int(last[0]), sorted(last[1])))
+        gate = ChangeGate(config, *(state.get if state.exists else ()))
+        kept = [(r.video, r.ord, r.t_us) for r in rows.itertuples(index=False) if gate.selects(r.t_us, r.tokens)]
+        if gate.at_us is not None:
+            state.update((int(gate.at_us), sorted(gate.tokens)))
         yield pd.DataFrame(kept, columns=["video", "ord", "t_us"])
 
     picked = keyframes.select("video", "ord", "t_us", "tokens")
