@@ -17,13 +17,11 @@ SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
 # Words, patterns and limits that results depend on.
-FILLERS = "えーと えっと あのー あの うーん ふーん なるほど はい うん ええ えー あー おー ほう まあ".split()
+FILLERS = ("えーと", "えっと", "あのー", "あの", "うーん", "ふーん", "なるほど", "はい", "うん", "ええ", "えー", "あー", "おー", "ほう", "まあ")
 PUNCTUATION = r"[、。，．,.!！?？\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
-EXTENSIONS = "xlsx? pptx? docx? pdf csv numbers key pages md txt py ts js json yaml yml html".split()
-DOMAINS = "com jp net org io dev ai".split()
-FILE = rf"(?iu)([\p{{L}}\p{{N}}_\-()（）&．.]+\.(?:{'|'.join(EXTENSIONS)}))"
+FILE = r"(?iu)([\p{L}\p{N}_\-()（）&．.]+\.(?:xlsx?|pptx?|docx?|pdf|csv|numbers|key|pages|md|txt|py|ts|js|json|yaml|yml|html))"
 TITLE_BAR = rf"^(.+?){SPACE}*[-–—]{SPACE}*([A-Za-z][\p{{L}}\p{{N}}_ .]*)$"
-URL = rf"(https?://[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|(?:[\p{{L}}\p{{N}}_-]+\.)+(?:{'|'.join(DOMAINS)})(?:/[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]*)?)"
+URL = r"(https?://[^\s\x{1c}-\x{1f}\x{85}\p{Z}]+|(?:[\p{L}\p{N}_-]+\.)+(?:com|jp|net|org|io|dev|ai)(?:/[^\s\x{1c}-\x{1f}\x{85}\p{Z}]*)?)"
 LOCATIONS = (
     rf"(スライド{SPACE}*\p{{Nd}}+{SPACE}*/{SPACE}*\p{{Nd}}+)",
     rf"(\p{{Nd}}+{SPACE}*/{SPACE}*\p{{Nd}}+{SPACE}*ページ)",
@@ -31,8 +29,8 @@ LOCATIONS = (
     r"^(Sheet\p{Nd}+)$",
 )
 BOILERPLATE = r"(?iu)^(?:a |the )?(?:web ?page|screenshot|untitled|unknown|browser (?:tab|window))(?![\p{L}\p{N}_])"
-NAME_DENIED = "MINOTETAKER AINOTETAKER NOTETAKER YOU あなた ミーティング 参加者 全員".split()
-INITIALS_DENIED = "AI HD CC ON PC TV OK NG".split()
+NAME_DENIED = ("MINOTETAKER", "AINOTETAKER", "NOTETAKER", "YOU", "あなた", "ミーティング", "参加者", "全員")
+INITIALS_DENIED = ("AI", "HD", "CC", "ON", "PC", "TV", "OK", "NG")
 UNKNOWN_APP = "（不明）"
 URL_LIMIT, FRAGMENT_LIMIT, TITLE_LIMIT = 60, 4, 40
 LEAST_LINE = 3
@@ -184,8 +182,8 @@ def person_name(line: Column) -> Column:
     plain = F.when(plain.endswith("さん") & (F.length(plain) > 2), F.regexp_replace(plain, "さん$", "")).otherwise(plain)
     letters = F.length(F.regexp_replace(plain, rf"(?:・|{SPACE})", ""))
     return (
-        F.when(F.upper(F.regexp_replace(line, SPACE, "")).isin(NAME_DENIED), None)
-        .when(plain.rlike("^[A-Z]{2}$"), F.when(~plain.isin(INITIALS_DENIED), plain))
+        F.when(F.upper(F.regexp_replace(line, SPACE, "")).isin(*NAME_DENIED), None)
+        .when(plain.rlike("^[A-Z]{2}$"), F.when(~plain.isin(*INITIALS_DENIED), plain))
         .when(plain.rlike(rf"^[一-鿿]{{1,4}}(?:・|{SPACE})?[一-鿿]{{1,4}}$") & letters.between(2, 5), plain)
     )
 

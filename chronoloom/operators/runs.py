@@ -1,8 +1,7 @@
 """Runs of equal rows on a timeline: collapse, end times, dwell times.
 
 A timeline is a DataFrame with ``video`` (its key), ``t_us`` (microseconds from its start)
-and ``ord`` (unique in the video, breaks ties). One window specification serves all
-operators here, so Catalyst sorts a video once.
+and ``ord`` (unique in the video, breaks ties). Videos are worked on in stretches.
 """
 
 from __future__ import annotations
@@ -11,37 +10,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
 
 from chronoloom.functions.text import UNKNOWN_APP, truthy
+from chronoloom.operators.stretches import beside
 
 RUN_KEY = ("action", "resource", "location")
 
 
-def timeline() -> WindowSpec:
-    return Window.partitionBy("video").orderBy("t_us", "ord")
-
-
 def collapse_runs(entries: DataFrame, key: Sequence[str] = RUN_KEY) -> DataFrame:
     """The first row of each run of equal keys; null equals null."""
-    same = F.lit(True)
-    marked = entries
-    for i, c in enumerate(key):
-        marked = marked.withColumn(f"__lag{i}", F.lag(c).over(timeline()))
-        same = same & F.col(c).eqNullSafe(F.col(f"__lag{i}"))
-    marked = marked.withColumn("__nth", F.row_number().over(timeline()))
-    return marked.filter((F.col("__nth") == 1) | ~same).drop("__nth", *[f"__lag{i}" for i in range(len(key))])
+    same = F.col("__before").isNotNull()
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__before.{c}"))
+    return beside(entries, before=key).filter(~same).drop("__before")
 
 
 def with_ends(entries: DataFrame, timeline_ends: DataFrame) -> DataFrame:
     """Add end_us and duration_us: the next entry's start; for the last one timeline_end_us, but not before its own start.
 
     timeline_ends has one row (video, timeline_end_us) per video that was observed at all;
-    without one the last end stays null.
+    without one the last end stays null. That row goes to the last entries only.
     """
-    out = entries.join(timeline_ends, "video", "left").withColumn("end_us", F.lead("t_us").over(timeline()))
-    last = F.when(F.col("timeline_end_us").isNotNull(), F.greatest("t_us", "timeline_end_us"))
-    out = out.withColumn("end_us", F.coalesce("end_us", last)).drop("timeline_end_us")
+    out = beside(entries, after=["t_us"]).withColumn("end_us", F.col("__after.t_us")).drop("__after")
+    last = out.filter("end_us IS NULL").join(timeline_ends, "video", "left")
+    end = F.when(F.col("timeline_end_us").isNotNull(), F.greatest("t_us", "timeline_end_us"))
+    out = out.filter("end_us IS NOT NULL").unionByName(last.withColumn("end_us", end).drop("timeline_end_us"))
     return out.withColumn("duration_us", F.col("end_us") - F.col("t_us"))
 
 

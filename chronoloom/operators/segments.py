@@ -23,8 +23,12 @@ def avg_logprob(tokens: Column) -> Column:
 
 def reliable(segments: DataFrame, remove_fillers: bool = True, most_no_speech: float = 0.6, least_logprob: float = -1.0) -> DataFrame:
     """Segments worth keeping; has text, no_speech_prob and avg_logprob."""
-    filler = text.is_filler_only(text.nfkc(F.col("text"))) if remove_fillers else None
-    return segments.filter(text.is_reliable(F.col("text"), F.col("no_speech_prob"), F.col("avg_logprob"), most_no_speech, least_logprob, filler))
+    kept = segments.filter(text.is_reliable(F.col("text"), F.col("no_speech_prob"), F.col("avg_logprob"), most_no_speech, least_logprob))
+    if not remove_fillers:
+        return kept
+    # only what is left, and may be nothing but fillers, goes to Python
+    asked = F.when(~F.col("text").rlike("[A-Za-z0-9]"), F.col("text"))
+    return kept.filter(~F.coalesce(text.is_filler_only(text.nfkc(asked)), F.lit(False)))
 
 
 CPP_SCHEMA = "struct<transcription: array<struct<offsets: struct<`from`: bigint, `to`: bigint>, text: string, tokens: array<struct<text: string, p: double>>>>>"

@@ -1,8 +1,8 @@
 """Joins of two timelines on time.
 
-Matches within a bounded distance meet in time buckets of that width, so a join's unit of
-work is a stretch of a video and never a whole one. As-of joins with unbounded look-back
-union both sides and carry the last right row over one sort per video.
+A join's unit of work is a stretch of a video and never a whole one: matches within a
+bounded distance meet in time buckets of that width, and as-of joins, whose look-back has
+no bound, union both sides, sort stretches and carry the last right row over their borders.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoloom.functions.text import without_adjacent_repeats
+from chronoloom.operators.stretches import FIRST, LAST, stretch
 
 
 def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int, right_cols: list[str]) -> DataFrame:
@@ -34,16 +35,21 @@ def overlapping(left: DataFrame, right: DataFrame, margin_us: int, value: Column
     """left with texts: value of every right interval that touches [t - margin, t + margin], in order of start.
 
     right has video, ord, start_us and end_us. Both sides fall into buckets twice the
-    margin wide; a pair counts in the first bucket that both share.
+    margin wide, or wider by powers of two for longer intervals; a pair counts in the
+    first bucket that both share. The driver gets the powers in use, 45 at most.
     """
-    width = 2 * margin_us
-    first = lambda a: F.floor(a / width)
-    l = left.select("video", "ord", "t_us", first(F.col("t_us") - margin_us).alias("__from"))
+    base = max(2 * margin_us, 1)
+    # an interval meets in buckets of about its own length, so that it falls into three at most
+    length = F.greatest(F.col("end_us") - F.col("start_us"), F.lit(1))
+    right = right.withColumn("__level", F.greatest(F.ceil(F.log2(length / F.lit(base))), F.lit(0)).cast("int"))
+    levels = sorted(r[0] for r in right.select("__level").distinct().collect() if r[0] is not None) or [0]
+    first = lambda a: F.floor(a / (F.lit(base) * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+    l = left.select("video", "ord", "t_us", F.explode(F.array(*map(F.lit, levels))).alias("__level")).withColumn("__from", first(F.col("t_us") - margin_us))
     l = l.withColumn("__bucket", F.explode(F.sequence(F.col("__from"), first(F.col("t_us") + margin_us))))
-    r = right.select("video", F.col("ord").alias("__ro"), "start_us", "end_us", value.alias("__v"), first(F.col("start_us")).alias("__rfrom"))
+    r = right.select("video", "__level", F.col("ord").alias("__ro"), "start_us", "end_us", value.alias("__v"), first(F.col("start_us")).alias("__rfrom"))
     r = r.withColumn("__bucket", F.explode(F.sequence(F.col("__rfrom"), F.greatest(first(F.col("end_us")), F.col("__rfrom")))))
     touch = (F.col("start_us") <= F.col("t_us") + margin_us) & (F.col("end_us") >= F.col("t_us") - margin_us)
-    pairs = l.join(r, ["video", "__bucket"]).filter(touch & (F.col("__bucket") == F.greatest("__from", "__rfrom")))
+    pairs = l.join(r, ["video", "__level", "__bucket"]).filter(touch & (F.col("__bucket") == F.greatest("__from", "__rfrom")))
     parts = F.array_sort(F.collect_list(F.struct("start_us", "__ro", "__v")))
     texts = pairs.groupBy("video", "ord").agg(F.transform(parts, lambda p: p["__v"]).alias("texts"))
     return left.join(texts, ["video", "ord"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
@@ -59,11 +65,18 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], forward_us: int
     l = left.select("video", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.col("ord").alias("__o"), F.struct(*kept).alias("__l"), F.lit(None).alias("__r"))
     payload = F.struct(F.col("t_us").alias("__rt"), *[F.col(c).alias(c) for c in columns])
     r = right.select("video", F.col("t_us").alias("__t"), F.lit(0).alias("__side"), F.col("ord").alias("__o"), F.lit(None).alias("__l"), payload.alias("__r"))
-    both = r.unionByName(l)
-    w = Window.partitionBy("video").orderBy("__t", "__side", "__o")
-    out = both.withColumn("__back", F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("__ahead", F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward_us is not None else F.lit(None))
-    out = out.filter(F.col("__side") == 1)
+    both = r.unionByName(l).withColumn("__stretch", stretch("__t"))
+    place, found = F.struct("__t", "__side", "__o"), F.col("__side") == 0
+    borders = both.groupBy("video", "__stretch").agg(F.max_by("__r", F.when(found, place)).alias("__last"), F.min_by("__r", F.when(found, place)).alias("__next"))
+    along = Window.partitionBy("video").orderBy("__stretch")
+    borders = borders.withColumn("__carried", F.last("__last", ignorenulls=True).over(along.rowsBetween(FIRST, -1)))
+    borders = borders.withColumn("__coming", F.first("__next", ignorenulls=True).over(along.rowsBetween(1, LAST))).drop("__last", "__next")
+    w = Window.partitionBy("video", "__stretch").orderBy("__t", "__side", "__o")
+    out = both.withColumn("__back", F.last("__r", ignorenulls=True).over(w.rowsBetween(FIRST, 0)))
+    out = out.withColumn("__ahead", F.first("__r", ignorenulls=True).over(w.rowsBetween(1, LAST)) if forward_us is not None else F.lit(None))
+    out = out.filter(F.col("__side") == 1).join(borders, ["video", "__stretch"]).withColumn("__back", F.coalesce("__back", "__carried"))
+    if forward_us is not None:
+        out = out.withColumn("__ahead", F.coalesce("__ahead", "__coming"))
     ahead = F.when(F.col("__ahead.__rt") <= F.col("__t") + forward_us, F.col("__ahead")).alias("__ahead") if forward_us is not None else F.lit(None).alias("__ahead")
     return out.select("__l.*", "__back", ahead)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoloom.functions import reply, text, vectors
-from chronoloom.operators import chunking, folds, runs, segments, temporal
+from chronoloom.operators import chunking, folds, runs, segments, stretches, temporal
 from chronoloom.sources import views
 from chronoloom.sources.views import DESCRIPTIONS, OBSERVED, SEGMENTS, literals, literals_sql
 
@@ -150,7 +150,7 @@ h AS (SELECT DISTINCT sc.video, (SELECT arg_min(idx, (abs(f.idx * 2000000 - scen
 SELECT f.video, f.idx, f.idx = 0 OR h.idx IS NOT NULL AS is_keyframe FROM f LEFT JOIN h ON f.video = h.video AND f.idx = h.idx""")
 def keyframe_mark(spark, sf_dir):
     docs = views.read(spark, sf_dir, "documents").select(F.col("source").alias("video"), "doc_id")
-    frames = docs.select("video", (F.row_number().over(Window.partitionBy("video").orderBy("doc_id")) - 1).cast("long").alias("idx"))
+    frames = stretches.numbered(docs, "idx", order=["doc_id"], width=stretches.STRETCH_IDS).select("video", "idx")
     most = frames.groupBy("video").agg(F.max("idx").alias("most"))
     scenes = docs.filter("doc_id % 7 = 0").join(most, "video").select("video", ((F.col("doc_id") * 700_001) % ((F.col("most") + 1) * 2_000_000)).alias("scene_us"))
     return temporal.nearest_keyframes(frames, scenes, 2_000_000)
@@ -195,19 +195,14 @@ MEMO_AT = 0.13
 ) SELECT video, ord, source_ord FROM g""")
 def memo_skip(spark, sf_dir):
     v = views.read(spark, sf_dir, "embeddings").select(F.col("label").alias("video"), F.col("vec_id").alias("t_us"), F.col("vec_id").alias("ord"), (F.col("vec_id") % 11 == 0).alias("is_keyframe"), "embedding")
-
-    def similar(a, b):
-        return sum(abs(float(x) - float(y)) for x, y in zip(a, b, strict=True)) / len(a) < MEMO_AT
-
-    return folds.memo_skip(v, similar, "embedding").select("video", "ord", "source_ord")
+    return folds.memo_skip(v, folds.nearby(MEMO_AT), "embedding").select("video", "ord", "source_ord")
 
 
 @query("""WITH p AS (SELECT label, vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
 SELECT label, vec_id, round(list_sum(list_transform(list_zip(v, b), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / len(v), 5) AS diff FROM p WHERE b IS NOT NULL""")
 def mean_abs_diff(spark, sf_dir):
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    v = views.read(spark, sf_dir, "embeddings").withColumn("before", before).filter("before IS NOT NULL")
-    return v.select("label", "vec_id", F.round(vectors.mean_abs_diff(F.col("embedding"), F.col("before")), 5).alias("diff"))
+    v = stretches.beside(views.read(spark, sf_dir, "embeddings"), before=["embedding"], key="label", order=["vec_id"], width=stretches.STRETCH_IDS).filter("__before IS NOT NULL")
+    return v.select("label", "vec_id", F.round(vectors.mean_abs_diff(F.col("embedding"), F.col("__before.embedding")), 5).alias("diff"))
 
 
 # --- chunks -------------------------------------------------------------------------
@@ -321,8 +316,8 @@ def ocr_tokens(spark, sf_dir):
 SELECT ord, round(CASE WHEN len(t) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(t, b))::DOUBLE / len(list_distinct(list_concat(t, b))) END, 6)::DOUBLE AS jaccard FROM p WHERE b IS NOT NULL""")
 def token_jaccard(spark, sf_dir):
     out = views.observed(spark, sf_dir).select("video", "ord", text.line_tokens(F.col("lines")).alias("t"))
-    out = out.withColumn("b", F.lag("t").over(Window.partitionBy("video").orderBy("ord"))).filter("b IS NOT NULL")
-    return out.select("ord", F.round(text.token_jaccard(F.col("t"), F.col("b")), 6).alias("jaccard"))
+    out = stretches.beside(out, before=["t"], order=["ord"], width=stretches.STRETCH_IDS).filter("__before IS NOT NULL")
+    return out.select("ord", F.round(text.token_jaccard(F.col("t"), F.col("__before.t")), 6).alias("jaccard"))
 
 
 # --- urls and resources ---------------------------------------------------------------
@@ -470,20 +465,20 @@ def avg_logprob(spark, sf_dir):
 
 
 @query(f"""{ENTRIES} SELECT e.ord, concat_ws(chr(10), '作業: ' || action, 'アプリ: ' || app, '対象: ' || resource::VARCHAR || CASE WHEN location IS NULL THEN '' ELSE '（' || location || '）' END,
- '発話: ' || nullif(substr(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), '。'), 1, 400), ''), '画面: ' || nullif(substr(array_to_string(string_split(text, chr(10)), ' / '), 1, 200), '')) AS text
+ '発話: ' || nullif(substr(array_to_string(string_split(text, chr(10)), '。'), 1, 400), ''), '画面: ' || nullif(substr(array_to_string(string_split(text, chr(10)), ' / '), 1, 200), '')) AS text
 FROM e LEFT JOIN documents ON doc_id = ord""")
 def search_document(spark, sf_dir):
     o = views.observed(spark, sf_dir).select("ord", "lines")
     e = entries(spark, sf_dir).join(o, "ord", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
-    out = text.search_text(F.col("action"), F.col("app"), F.col("resource").cast("string"), F.col("location"), F.lit(None).cast("string"), F.slice("lines", 1, 3), F.col("lines"))
+    out = text.search_text(F.col("action"), F.col("app"), F.col("resource").cast("string"), F.col("location"), F.lit(None).cast("string"), F.col("lines"), F.col("lines"))
     return e.select("ord", out.alias("text"))
 
 
 @query("SELECT source || '/worklog.jsonl:' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR AS id, doc_id FROM documents WHERE trim(text) <> ''")
 def doc_ids(spark, sf_dir):
     docs = views.read(spark, sf_dir, "documents").filter("trim(text) <> ''")
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs.select(F.concat("source", F.lit("/worklog.jsonl:"), nth.cast("string")).alias("id"), "doc_id")
+    docs = stretches.numbered(docs, "nth", key="source", order=["doc_id"], width=stretches.STRETCH_IDS)
+    return docs.select(F.concat("source", F.lit("/worklog.jsonl:"), F.col("nth").cast("string")).alias("id"), "doc_id")
 
 
 @query("SELECT vec_id, round(v[1] / n, 5) AS first, round(v[-1] / n, 5) AS last FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12) AS n FROM embeddings)")

@@ -15,21 +15,27 @@ from chronoloom.operators.temporal import nearest_keyframes
 FPS, SCENE_THRESHOLD, LONG_EDGE = 0.5, 0.08, 1024
 TIMEOUTS = {"probe": 60, "frames": 3600, "audio": 1800}
 PTS = r"pts_time:([0-9]+(?:\.[0-9]+)?)"
-SAMPLE_RATE = 16_000
+SAMPLE_RATE, TAIL = 16_000, 600
 
 
 class ProgramFailed(RuntimeError):
-    """An external program that timed out or ended badly, with the end of what it said."""
+    """An external program that ended with a code other than 0, or with none as its time was up; tail is the end of what it said."""
+
+    def __init__(self, program: str, code: int | None, tail: str = ""):
+        super().__init__(f"{program} ran out of time" if code is None else f"{program} ended with {code}: {tail}")
+        self.program, self.code, self.tail = program, code, tail
 
 
 def run_program(command: list[str], timeout: float) -> subprocess.CompletedProcess:
-    try:
-        done = subprocess.run(command, capture_output=True, timeout=timeout, check=False)
-    except subprocess.TimeoutExpired as e:
-        raise ProgramFailed(f"{command[0]} took more than {timeout:g} s") from e
-    if done.returncode:
-        raise ProgramFailed(f"{command[0]} ended with {done.returncode}: {done.stderr.decode('utf-8', 'replace')[-600:]}")
-    return done
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as process:
+        try:
+            out, said = process.communicate(timeout=timeout)
+        except subprocess.TimeoutExpired:
+            process.kill()
+            raise ProgramFailed(command[0], None) from None
+    if process.returncode:
+        raise ProgramFailed(command[0], process.returncode, said.decode("utf-8", "replace")[-TAIL:])
+    return subprocess.CompletedProcess(command, 0, out, said)
 
 
 def scene_times(log: Column) -> Column:

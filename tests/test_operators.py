@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from chronoloom.functions import reply, text
-from chronoloom.operators import chunking, folds, runs, segments, temporal
+from chronoloom.operators import chunking, folds, runs, segments, stretches, temporal
 
 S = 1_000_000
 
@@ -59,7 +59,7 @@ def test_speaker_guard_comes_after_choice(spark):
 
 def test_gate_truth_table():
     c, a, b = folds.GateConfig(), frozenset("abc"), frozenset("xyz")
-    case = lambda now, tokens, last: folds.should_describe(now * S, tokens, last, c)
+    case = lambda now, tokens, last: folds.ChangeGate(c, *((last[0] * S, last[1]) if last else ())).selects(now * S, tokens)
     assert case(0, a, None)
     assert case(125, a, (0, a))
     assert not case(5, b, (0, a))
@@ -75,11 +75,20 @@ def test_folds_equal_a_loop(spark):
     df = spark.createDataFrame(rows, "video string, ord long, t_us long, tokens array<string>, is_keyframe boolean").repartition(5)
     state, want = {}, {}
     for v, i, t, k, _ in rows:
-        want[i] = folds.should_describe(t, frozenset(k), state.get(v), folds.GateConfig())
+        k = set(k)
+        if v not in state or t - state[v][0] >= 120 * S:
+            want[i] = True
+        elif t - state[v][0] < 10 * S:
+            want[i] = False
+        elif not k or not state[v][1]:
+            want[i] = bool(k) != bool(state[v][1])
+        else:
+            both = k | state[v][1]
+            want[i] = len(both) >= 3 and len(k & state[v][1]) / len(both) < 0.85
         if want[i]:
-            state[v] = (t, frozenset(k))
+            state[v] = (t, k)
     assert {r.ord: r.selected for r in folds.change_gate(df).collect()} == want
-    got = folds.memo_skip(df, lambda a, b: len(a) == len(b), "tokens")
+    got = folds.memo_skip(df, lambda one, many: [len(one) == len(x) for x in many], "tokens")
     last, source = {}, {}
     for v, i, _, k, key in rows:
         if v not in last or key or len(last[v][1]) != len(k):
@@ -139,3 +148,44 @@ def test_formats(spark):
 def test_replies(spark):
     got = pick(spark, reply.parsed, "string", '```json\n{"app_guess": " X ", "action": "none"}\n```', '{"focus": "f", "action": "do', "text", "[1]", None)
     assert [(r.app_guess, r.focus, r.action) for r in got] == [("X", None, reply.FALLBACK_ACTION), (None, "f", reply.FALLBACK_ACTION), (None, None, "text"), (None, None, "[1]"), (None, None, reply.FALLBACK_ACTION)]
+
+
+def test_stretches_equal_whole_videos(spark):
+    rng = random.Random(7)
+    rows = sorted({("v" if rng.random() < 0.7 else "w", rng.randrange(40) * 1000 * S) for _ in range(300)})
+    rows = [(v, i, t, rng.choice("ab")) for i, (v, t) in enumerate(rows)] + [(None, 900, 5, "a")]
+    df = spark.createDataFrame(rows, "video string, ord long, t_us long, x string")
+    got = {r.ord: (r["__before"], r["__after"]) for r in stretches.beside(df, before=["ord", "x"], after=["ord"], width=3_000 * S).filter("video IS NOT NULL").collect()}
+    nth = {r.ord: r.n for r in stretches.numbered(df, "n", width=3_000 * S).collect()}
+    for v in "vw":
+        own = [r for r in rows if r[0] == v]
+        for n, r in enumerate(own):
+            before, after = got[r[1]]
+            assert nth[r[1]] == n
+            assert (before and tuple(before)) == ((own[n - 1][1], own[n - 1][3]) if n else None)
+            assert (after and after.ord) == (own[n + 1][1] if n + 1 < len(own) else None)
+    assert nth[900] == 0 and len(nth) == len(rows)
+
+
+def test_as_of_over_empty_stretches(spark):
+    left = spark.createDataFrame([("v", 1, 0), ("v", 2, 9 * 3600 * S), ("v", 3, 9 * 3600 * S + 5), ("w", 4, 1)], "video string, ord long, t_us long")
+    right = spark.createDataFrame([("v", 7, 10, "a"), ("v", 8, 3600 * S - 1, "b"), ("v", 9, 20 * 3600 * S, "c")], "video string, ord long, t_us long, x string")
+    out = temporal.as_of(left, right, ["x"], forward_us=11 * 3600 * S - 3).orderBy("ord").collect()
+    assert [(r["__back"] and r["__back"].x, r["__ahead"] and r["__ahead"].x) for r in out] == [(None, "a"), ("b", None), ("b", "c"), (None, None)]
+
+
+def test_overlap_without_margin_and_with_long_intervals(spark):
+    left = spark.createDataFrame([("v", i, t) for i, t in enumerate([0, 5, 10**9, 10**12])], "video string, ord long, t_us long")
+    spans = [(0, 0), (5, 4), (3, 10**12), (0, 10**15), (10**9, 10**9 + 1), (6, 10**9 - 1)]
+    right = spark.createDataFrame([("v", i, a, b) for i, (a, b) in enumerate(spans)], "video string, ord long, start_us long, end_us long")
+    for margin in (0, 1, 1000):
+        out = temporal.overlapping(left, right, margin, F.col("ord").cast("string")).orderBy("ord").collect()
+        for r in out:
+            want = sorted((a, i) for i, (a, b) in enumerate(spans) if a <= r.t_us + margin and b >= r.t_us - margin)
+            assert r.texts == [str(i) for _, i in want]
+
+
+def test_keyframes_only(spark):
+    frames = spark.createDataFrame([("v", 1, True), ("v", 2, False), ("v", 3, None)], "video string, ord long, is_keyframe boolean")
+    out = folds.keyframes_only(frames, lambda f: f.withColumn("lines", F.array(F.lit("x")))).orderBy("ord").collect()
+    assert [r.lines for r in out] == [["x"], [], []]

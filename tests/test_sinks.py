@@ -124,6 +124,15 @@ def test_summarise_keeps_rows_without_speech(spark):
     assert [(r.ord, r.summary) for r in out] == [(1, "s"), (2, "m")]
 
 
+def test_each_port_gets_its_own_model(spark):
+    def port(n):
+        return lambda: lambda texts: [[float(n)] for _ in texts]
+
+    row = spark.createDataFrame([("a",)], "t string").coalesce(1)
+    assert [models.embed(row, "t", port(n)).first().embedding for n in range(12)] == [[float(n)] for n in range(12)]
+    assert all(models.loaded(f, models.content_key(f))(["x"]) == [[float(n)]] for n in range(200) for f in [port(n)])
+
+
 def test_retry_on_timeouts_only():
     calls = []
 
@@ -149,7 +158,7 @@ def test_media(spark):
         worklogs.check_stems(spark.createDataFrame([("/a/x.mp4",), ("/b/x.mov",)], "path string"))
     with pytest.raises(media.ProgramFailed, match="ended with 3"):
         media.run_program(["sh", "-c", "echo oh >&2; exit 3"], 5)
-    with pytest.raises(media.ProgramFailed, match="more than"):
+    with pytest.raises(media.ProgramFailed, match="out of time"):
         media.run_program(["sleep", "5"], 0.1)
 
 
