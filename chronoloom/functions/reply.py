@@ -54,3 +54,17 @@ def parsed(content: Column) -> Column:
         return out.alias(name)
 
     return F.struct(*[pick(f) for f in FIELDS])
+
+
+def reply_content(reply: Column) -> Column:
+    """What a chat server's reply (JSON) says, stripped: of ``message`` or of the first of ``choices``; null where it is blank or missing."""
+    variant = F.try_parse_json(reply)
+    said = [F.try_variant_get(variant, f"$.{path}.content", "string") for path in ("message", "choices[0].message")]
+    bare = strip(F.coalesce(*said))
+    return F.when(bare != "", bare)
+
+
+def recognised_lines(result: Column) -> Column:
+    """The lines of a recogniser's result (JSON): the first page's ``rec_texts`` as strings; none without a page."""
+    pages = F.from_json(result, "array<struct<rec_texts: array<string>>>")
+    return F.coalesce(F.get(pages, F.lit(0))["rec_texts"], F.array().cast("array<string>"))

@@ -26,6 +26,19 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda n, x: n + x) / F.size(a)
 
 
+def difference_histogram(a: Column, b: Column) -> Column:
+    """How often each of the 256 possible differences stands between two arrays of 8-bit samples."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.size(F.filter(apart, lambda x: x == v)))
+
+
+def histogram_mean(histogram: Column) -> Column:
+    """The mean difference, 0 to 1, of a histogram of differences."""
+    total = F.aggregate(histogram, F.lit(0).cast("long"), lambda n, x: n + x)
+    weighed = F.aggregate(F.transform(histogram, lambda x, i: x.cast("long") * i), F.lit(0).cast("long"), lambda n, x: n + x)
+    return F.when(total > 0, weighed / (total * 255))
+
+
 def top_k(documents: DataFrame, queries: DataFrame, k: int, doc_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact cosine top k of documents for each query (query_id, query_vector); ties by document id.
 

@@ -79,6 +79,11 @@ def prompt(template: str, lines: Column, speech: Column) -> Column:
     return F.format_string(template, F.when(seen != "", seen).otherwise(NO_TEXT), F.when(said != "", said).otherwise(NO_SPEECH))
 
 
+def summary_prompt(task: str, lines: Column) -> Column:
+    """What a summariser is asked: its task, then the lines."""
+    return F.concat(F.lit(f"{task}\n\n"), F.array_join(lines, "\n"))
+
+
 def describe(frames: DataFrame, factory: Callable[[], Callable[[str, str], str]]) -> DataFrame:
     """frames (path, prompt) with the five fields of the model's reply; a failed call is an action that says so."""
 

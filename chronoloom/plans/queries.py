@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.functions import reply, text, vectors
-from chronoloom.operators import chunking, folds, runs, segments, stretches, temporal
+from chronoloom.functions import text, vectors
+from chronoloom.operators import chunking, folds, labels, runs, segments, stretches, temporal
 from chronoloom.sources import views
-from chronoloom.sources.views import DESCRIPTIONS, OBSERVED, SEGMENTS, literals, literals_sql
+from chronoloom.sources.views import DESCRIPTIONS, OBSERVED, SEGMENTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,12 +124,41 @@ def speaker_asof(spark, sf_dir):
     return speakers(spark, sf_dir).select("video", "ord", "speaker")
 
 
-@query(f"""{SPEAKERS} SELECT video, count(*) AS n, count(speaker) AS n_named, count_if(speaker = 'n' || (k % 5)::VARCHAR)::BIGINT AS n_right,
-round(count_if(speaker = 'n' || (k % 5)::VARCHAR)::DOUBLE / count(speaker), 6) AS precision FROM z GROUP BY video HAVING count(speaker) > 0""")
+#: Who really spoke, as a record tells: a name with its reading, every now and then another one.
+LABELS = f"""l AS (SELECT video, t_us, ord, CASE WHEN k % 4 = 0 THEN ' n' || (k % 5)::VARCHAR || '（よみ）' WHEN k % 4 = 1 THEN 'n' || ((k + 1) % 5)::VARCHAR ELSE 'x' || (k % 5)::VARCHAR END AS name FROM d WHERE action = 'purchase' OR k % 6 = 0)"""
+
+
+def official(spark, sf_dir):
+    k = F.col("k")
+    name = lambda head, n, tail="": F.concat(F.lit(head), (n % 5).cast("string"), F.lit(tail))
+    names = F.when(k % 4 == 0, name(" n", k, "（よみ）")).when(k % 4 == 1, name("n", k + 1)).otherwise(name("x", k))
+    return views.descriptions(spark, sf_dir).filter("action = 'purchase' OR k % 6 = 0").select("video", "t_us", "ord", names.alias("name"))
+
+
+MATCHED = f"""{SPEAKERS}, {LABELS}, m AS (
+  SELECT z.video, z.ord, z.speaker, (SELECT arg_max(name, (l.t_us, l.ord)) FROM l WHERE l.video = z.video AND l.t_us <= s.t_us + 2000000) AS label FROM z JOIN d s ON s.video = z.video AND s.ord = z.ord
+), b AS (SELECT *, split_part(regexp_replace(label, '\\s+', '', 'g'), '（', 1) AS bare FROM m),
+w AS (SELECT *, speaker IS NOT NULL AND label IS NOT NULL AS aligned, contains(speaker, bare) OR contains(bare, speaker) OR left(speaker, 2) = left(bare, 2) AS same FROM b)"""
+
+
+@query(f"{MATCHED} SELECT video, ord, speaker, label FROM w")
+def label_alignment(spark, sf_dir):
+    said = speakers(spark, sf_dir)
+    return labels.labelled(said, official(spark, sf_dir)).select("video", "ord", "speaker", "label")
+
+
+@query(f"""{MATCHED} SELECT video, count(*) AS n, count(speaker) AS n_named, count_if(aligned)::BIGINT AS n_aligned, count_if(aligned AND same)::BIGINT AS n_matched,
+round(CASE WHEN count_if(aligned) > 0 THEN count_if(aligned AND same)::DOUBLE / count_if(aligned) ELSE 0 END, 6)::DOUBLE AS precision FROM w GROUP BY video""")
 def attribution_precision(spark, sf_dir):
-    right = F.col("speaker") == F.concat(F.lit("n"), (F.col("k") % 5).cast("string"))
-    out = speakers(spark, sf_dir).groupBy("video").agg(F.count("*").alias("n"), F.count("speaker").alias("n_named"), F.count_if(right).alias("n_right"))
-    return out.filter("n_named > 0").withColumn("precision", F.round(F.col("n_right") / F.col("n_named"), 6))
+    out = labels.precision(labels.labelled(speakers(spark, sf_dir), official(spark, sf_dir)), "video")
+    return out.withColumn("precision", F.round("precision", 6))
+
+
+@query(f"""WITH {DESCRIPTIONS}, r AS (SELECT app, k::DOUBLE / nullif(k % 10, 0) AS ratio FROM d) SELECT coalesce(nullif(app, ''), '（不明）') AS app, round(median(ratio), 6) AS median_ratio, count(ratio) AS n FROM r GROUP BY 1""")
+def median_ratio(spark, sf_dir):
+    d = views.descriptions(spark, sf_dir).withColumn("ratio", F.when(F.col("k") % 10 != 0, F.col("k") / (F.col("k") % 10)))
+    app = F.coalesce(text.truthy(F.col("app")), F.lit(text.UNKNOWN_APP)).alias("app")
+    return d.groupBy(app).agg(F.round(F.median("ratio"), 6).alias("median_ratio"), F.count("ratio").alias("n"))
 
 
 HMS = "printf('%02d:%02d:%02d', ({0}) // 3600, ({0}) // 60 % 60, ({0}) % 60)"
@@ -158,29 +187,6 @@ def keyframe_mark(spark, sf_dir):
 
 # --- folds --------------------------------------------------------------------------
 
-TOKENS = "list_distinct(list_filter(regexp_split_to_array(substr(text, 1, 14), '\\s+'), lambda x: x <> ''))"
-
-
-@query(f"""WITH RECURSIVE {OBSERVED}, k AS (
-  SELECT video, ord, t_us, CASE WHEN ord % 4 = 0 THEN ['panel', 'left', 'right', 'x' || (ord % 8)::VARCHAR] WHEN ord % 20 = 7 THEN []::VARCHAR[] ELSE ['panel', 'left', 'right', 'down', 'a', 'b', 'c', 'y' || (ord % 2)::VARCHAR] END AS tokens,
-         row_number() OVER (PARTITION BY video ORDER BY t_us, ord) AS nth FROM o WHERE is_keyframe
-), g AS (
-  SELECT video, ord, nth, true AS selected, t_us AS lt, tokens AS lk FROM k WHERE nth = 1
-  UNION ALL
-  SELECT video, ord, nth, selected, CASE WHEN selected THEN t_us ELSE lt END, CASE WHEN selected THEN tokens ELSE lk END FROM (
-    SELECT k.video, k.ord, k.nth, k.t_us, k.tokens, g.lt, g.lk,
-           CASE WHEN k.t_us - g.lt >= 120000000 THEN true WHEN k.t_us - g.lt < 10000000 THEN false WHEN (len(k.tokens) = 0) <> (len(g.lk) = 0) THEN true
-                WHEN len(list_distinct(list_concat(k.tokens, g.lk))) < 3 THEN false
-                ELSE len(list_intersect(k.tokens, g.lk))::DOUBLE / len(list_distinct(list_concat(k.tokens, g.lk))) < 0.85 END AS selected
-    FROM g JOIN k ON k.video = g.video AND k.nth = g.nth + 1)
-) SELECT video, ord, selected FROM g""")
-def change_gate(spark, sf_dir):
-    o = views.observed(spark, sf_dir).filter("is_keyframe")
-    lines = F.when(F.col("ord") % 4 == 0, F.array(F.lit("panel left right"), F.concat(F.lit("x"), (F.col("ord") % 8).cast("string"), F.lit(" right"))))
-    lines = lines.when(F.col("ord") % 20 == 7, F.array(F.lit("12:30"), F.lit("ab"))).otherwise(F.array(F.lit("panel left right down"), F.concat(F.lit("a b c y"), (F.col("ord") % 2).cast("string"))))
-    return folds.change_gate(o.select("video", "t_us", "ord", text.line_tokens(lines).alias("tokens"))).select("video", "ord", "selected")
-
-
 MEMO_AT = 0.13
 
 
@@ -250,34 +256,33 @@ def segment_normalize(spark, sf_dir):
     return segments.normalized(views.segments(spark, sf_dir)).select("video", "ord", "start_us", "end_us", F.length("text").cast("long").alias("n"))
 
 
-SAID = ["はい", "はい、はい。", "あのー、えっと", "なるほど？", "なるほどですね", "会議を始めます", "!", "。。。", "", "えーと資料です", "うん うん", "OK", "１２３", "ー", "thank you", "まあまあ", "ほう！"]
 FILLER_SQL = "regexp_matches(regexp_replace({0}, '[、。，．,.!！?？\\s　]+', '', 'g'), '^(?:えーと|えっと|あのー|あの|うーん|ふーん|なるほど|はい|うん|ええ|えー|あー|おー|ほう|まあ)+$')"
 VERBAL_SQL = "regexp_matches({0}, '[\\p{{L}}\\p{{N}}]')"
+#: Turns as a recogniser would hear them: every seventh is nothing but fillers, every eleventh only signs.
+HEARD = "CASE WHEN (video + ord) % 7 = 0 THEN 'はい、' || repeat('うん', ((video + ord) % 3)::INT) || '。' WHEN (video + ord) % 11 = 0 THEN regexp_replace(text, '[\\p{L}\\p{N}]+', '', 'g') ELSE text END"
+
 
+def heard(spark, sf_dir):
+    at = F.col("video") + F.col("ord")
+    fillers = F.concat(F.lit("はい、"), F.repeat(F.lit("うん"), (at % 3).cast("int")), F.lit("。"))
+    said = F.when(at % 7 == 0, fillers).when(at % 11 == 0, F.regexp_replace("text", r"[\p{L}\p{N}]+", "")).otherwise(F.col("text"))
+    return views.segments(spark, sf_dir).withColumn("text", said)
 
-@query(f"""WITH {SEGMENTS}, u AS (
-  SELECT video, ord, text, no_speech_prob, avg_logprob FROM s
-  UNION ALL SELECT -1 - doc_id AS video, 0 AS ord, said AS text, CASE WHEN doc_id % 2 = 0 THEN 0.6 + (doc_id % 3)::DOUBLE / 10 END::DOUBLE, CASE WHEN doc_id % 5 <> 0 THEN -0.9 - (doc_id % 3)::DOUBLE / 10 END::DOUBLE FROM ({"WITH " + literals_sql(said=SAID)} SELECT * FROM l)
-) SELECT video, ord FROM u WHERE {VERBAL_SQL.format("text")} AND NOT {FILLER_SQL.format("text")} AND CASE
+
+@query(f"""WITH {SEGMENTS}, u AS (SELECT * REPLACE ({HEARD} AS text) FROM s) SELECT video, ord FROM u WHERE {VERBAL_SQL.format("text")} AND NOT {FILLER_SQL.format("text")} AND CASE
   WHEN no_speech_prob IS NOT NULL AND avg_logprob IS NOT NULL THEN NOT (no_speech_prob > 0.6 AND avg_logprob < -1.0) WHEN avg_logprob IS NOT NULL THEN avg_logprob >= -1.0 ELSE true END""")
 def segment_filter(spark, sf_dir):
-    s = views.segments(spark, sf_dir).select("video", "ord", "text", "no_speech_prob", "avg_logprob")
-    i = F.col("doc_id")
-    l = literals(spark, sf_dir, said=SAID).select(
-        (-1 - i).alias("video"), F.lit(0).cast("long").alias("ord"), F.col("said").alias("text"), F.when(i % 2 == 0, F.lit(0.6) + (i % 3) / 10).alias("no_speech_prob"),
-        F.when(i % 5 != 0, F.lit(-0.9) - (i % 3) / 10).alias("avg_logprob"),
-    )
-    return segments.reliable(s.unionByName(l)).select("video", "ord")
+    return segments.reliable(heard(spark, sf_dir)).select("video", "ord")
 
 
-@query(f"WITH {literals_sql(said=SAID)} SELECT doc_id, {VERBAL_SQL.format('said')} AS verbal FROM l")
+@query(f"WITH {SEGMENTS}, u AS (SELECT * REPLACE ({HEARD} AS text) FROM s) SELECT video, ord, {VERBAL_SQL.format('text')} AS verbal FROM u")
 def verbal_filter(spark, sf_dir):
-    return literals(spark, sf_dir, said=SAID).select("doc_id", text.has_verbal_content(F.col("said")).alias("verbal"))
+    return heard(spark, sf_dir).select("video", "ord", text.has_verbal_content(F.col("text")).alias("verbal"))
 
 
-@query(f"WITH {literals_sql(said=SAID)} SELECT doc_id, {FILLER_SQL.format('said')} AS filler FROM l")
+@query(f"WITH {SEGMENTS}, u AS (SELECT * REPLACE ({HEARD} AS text) FROM s) SELECT video, ord, {FILLER_SQL.format('text')} AS filler FROM u")
 def filler_filter(spark, sf_dir):
-    return literals(spark, sf_dir, said=SAID).select("doc_id", text.is_filler_only(text.nfkc(F.col("said"))).alias("filler"))
+    return heard(spark, sf_dir).select("video", "ord", text.is_filler_only(text.nfkc(F.col("text"))).alias("filler"))
 
 
 @query(f"WITH {SEGMENTS} SELECT video, ord, CASE WHEN length(speaker) > 0 THEN speaker || ': ' || text ELSE text END AS line FROM s")
@@ -312,6 +317,23 @@ def ocr_tokens(spark, sf_dir):
     return out.select("ord", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens"))
 
 
+@query(f"""WITH RECURSIVE {OBSERVED}, k AS (
+  SELECT video, ord, t_us, {TOKEN_SQL} AS tokens, row_number() OVER (PARTITION BY video ORDER BY t_us, ord) AS nth FROM o WHERE is_keyframe
+), g AS (
+  SELECT video, ord, nth, true AS selected, t_us AS lt, tokens AS lk FROM k WHERE nth = 1
+  UNION ALL
+  SELECT video, ord, nth, selected, CASE WHEN selected THEN t_us ELSE lt END, CASE WHEN selected THEN tokens ELSE lk END FROM (
+    SELECT k.video, k.ord, k.nth, k.t_us, k.tokens, g.lt, g.lk,
+           CASE WHEN k.t_us - g.lt >= 120000000 THEN true WHEN k.t_us - g.lt < 10000000 THEN false WHEN (len(k.tokens) = 0) <> (len(g.lk) = 0) THEN true
+                WHEN len(list_distinct(list_concat(k.tokens, g.lk))) < 3 THEN false
+                ELSE len(list_intersect(k.tokens, g.lk))::DOUBLE / len(list_distinct(list_concat(k.tokens, g.lk))) < 0.85 END AS selected
+    FROM g JOIN k ON k.video = g.video AND k.nth = g.nth + 1)
+) SELECT video, ord, selected FROM g""")
+def change_gate(spark, sf_dir):
+    o = views.observed(spark, sf_dir).filter("is_keyframe")
+    return folds.change_gate(o.select("video", "t_us", "ord", text.line_tokens(F.col("lines")).alias("tokens"))).select("video", "ord", "selected")
+
+
 @query(f"""WITH {OBSERVED}, t AS (SELECT video, ord, {TOKEN_SQL} AS t FROM o), p AS (SELECT ord, t, lag(t) OVER (PARTITION BY video ORDER BY ord) AS b FROM t)
 SELECT ord, round(CASE WHEN len(t) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(t, b))::DOUBLE / len(list_distinct(list_concat(t, b))) END, 6)::DOUBLE AS jaccard FROM p WHERE b IS NOT NULL""")
 def token_jaccard(spark, sf_dir):
@@ -335,117 +357,6 @@ def url_domain(spark, sf_dir):
     return views.read(spark, sf_dir, "pages").select("page_id", text.url_domain(F.col("url")).alias("domain"))
 
 
-RESOURCES = ["Web page titled x", "web page", "A screenshot of it", "the browser tab list", "Untitled", "unknown", "unknowns", "IRW", "EZEO", "a.py", "売上", "Report 2024", "", "abcd", "abcde", None, "webpages", "Screenshot_1"]
-
-
-@query(f"""WITH {literals_sql(resource=RESOURCES)} SELECT doc_id, CASE WHEN regexp_matches(resource, '(?i)^(?:a |the )?(?:web ?page|screenshot|untitled|unknown|browser (?:tab|window))([^\\p{{L}}\\p{{N}}_]|$)')
- OR regexp_matches(resource, '^[A-Za-z0-9]{{1,4}}$') THEN NULL ELSE resource END AS resource FROM l""")
-def resource_gate(spark, sf_dir):
-    return literals(spark, sf_dir, resource=RESOURCES).select("doc_id", text.clean_resource(F.col("resource")).alias("resource"))
-
-
-SUFFIXED = ["売上 (Sheet1)", "売上（Sheet1）", "売上 (Sheet2)", "a.pdf", "plan (p1) ", "x（p1）"]
-WHERE = ["Sheet1", "Sheet1", "Sheet1", None, "p1", ""]
-
-
-@query(f"""WITH {literals_sql(resource=SUFFIXED, location=WHERE)} SELECT doc_id, CASE WHEN coalesce(location, '') = '' THEN resource
- WHEN ends_with(rtrim(resource), '(' || location || ')') OR ends_with(rtrim(resource), '（' || location || '）') THEN rtrim(left(rtrim(resource), length(rtrim(resource)) - length(location) - 2)) ELSE resource END AS resource FROM l""")
-def strip_suffix(spark, sf_dir):
-    return literals(spark, sf_dir, resource=SUFFIXED, location=WHERE).select("doc_id", text.strip_location_suffix(F.col("resource"), F.col("location")).alias("resource"))
-
-
-LINES = ["report.xlsx - Excel", "https://example.com/a/4410.html?x=1", "main.py — VS Code|https://example.com/x", "スライド 3 / 10", "Page 2 of 9|docs.example.org/guide.", "Sheet12", "12:30", "config.json", "memo|計画書.pdf|Sheet1", "3 / 7 ページ", "see https://example.com/q.html and notes.md - Word", ""]
-# What the rules say of LINES, worked out by hand: application, resource, location.
-SEEN_APP = ["Excel", None, "VS Code", None, None, None, None, None, None, None, None, None]
-SEEN_RESOURCE = ["report.xlsx", "https://example.com/a/4410.html", "main.py", None, "docs.example.org/guide", None, None, "config.js", "計画書.pdf", None, "https://example.com/q.html", None]
-SEEN_LOCATION = [None, None, None, "スライド 3 / 10", "Page 2 of 9", "Sheet12", None, None, "Sheet1", "3 / 7 ページ", None, None]
-
-
-def seen_lines(spark, sf_dir, **more):
-    return literals(spark, sf_dir, joined=LINES, **more).withColumn("lines", F.split("joined", r"\|"))
-
-
-@query(f"WITH {literals_sql(app=SEEN_APP, resource=SEEN_RESOURCE, location=SEEN_LOCATION)} SELECT doc_id, app::VARCHAR AS app, resource, location FROM l")
-def screen_context(spark, sf_dir):
-    return seen_lines(spark, sf_dir).select("doc_id", text.screen_context(F.col("lines")).alias("c")).select("doc_id", "c.app", "c.resource", "c.location")
-
-
-@query(f"WITH {literals_sql(joined=LINES)} SELECT doc_id, list_filter(list_transform(string_split(joined, '|'), lambda x: coalesce(nullif(regexp_extract(x, 'スライド\\s*\\d+\\s*/\\s*\\d+'), ''), nullif(regexp_extract(x, '\\d+\\s*/\\s*\\d+\\s*ページ'), ''), nullif(regexp_extract(x, '(?i)Page\\s+\\d+\\s+of\\s+\\d+'), ''), nullif(regexp_extract(trim(x), '^Sheet\\d+$'), ''))), lambda x: x IS NOT NULL)[1] AS location FROM l")
-def find_location(spark, sf_dir):
-    return seen_lines(spark, sf_dir).select("doc_id", text.find_location(F.col("lines")).alias("location"))
-
-
-LABELS = ["田中太郎", "二村紀花(ニムラノリカ)", "田中さん", "佐藤　花子", "AB", "OK", "A", "ABC", "You", "参加者", "会議資料の確認", "12:30", "山田・太郎", "MINO Notetaker", "さん", "田", "東", "鈴木さん|高橋"]
-NAMES = ["田中太郎", "二村紀花", "田中", "佐藤　花子", "AB", "", "", "", "", "", "", "", "山田・太郎", "", "", "", "", "鈴木,高橋"]
-
-
-@query(f"WITH {literals_sql(names=NAMES)} SELECT doc_id, names FROM l")
-def name_labels(spark, sf_dir):
-    out = literals(spark, sf_dir, joined=LABELS).withColumn("lines", F.split("joined", r"\|"))
-    return out.select("doc_id", F.array_join(text.name_labels(F.col("lines")), ",").alias("names"))
-
-
-GUESSED = ["Web page titled a", "Title example.com/a", "main", "計画（スライド 3 / 10）", "guide at docs.example.org", None, "notes (here)", "x", "計画書", "doc (3 / 7 ページ)", "Title https://example.com", "abcde"]
-GUESSED_AT = [None, "top", "here", None, None, "there", "here", None, "Sheet9", None, None, ""]
-# Worked out by hand from LINES and these guesses.
-ENRICHED = ["report.xlsx", "Title example.com/a", "main.py", "計画", "guide at docs.example.org", None, "notes", "config.js", "計画書.pdf", "doc", "Title https://example.com", "abcde"]
-ENRICHED_AT = [None, "top", "here", "スライド 3 / 10", "Page 2 of 9", "Sheet12", "here", None, "Sheet1", "3 / 7 ページ", None, ""]
-ENRICHED_APP = ["Excel", "guess", "VS Code", "guess", "guess", "guess", "guess", "guess", "guess", "guess", "guess", "guess"]
-ENRICH_SQL = f"WITH {literals_sql(app=ENRICHED_APP, resource=ENRICHED, location=ENRICHED_AT, guess=GUESSED, guess_at=GUESSED_AT)}"
-
-
-def enriched_rows(spark, sf_dir):
-    rows = seen_lines(spark, sf_dir, guess=GUESSED, guess_at=GUESSED_AT)
-    return rows.withColumn("seen", text.screen_context(F.col("lines"))).withColumn("e", text.enriched(F.col("seen"), F.lit("guess"), F.col("guess"), F.col("guess_at")))
-
-
-@query(f"{ENRICH_SQL} SELECT doc_id, app, resource, location FROM l")
-def enrich(spark, sf_dir):
-    return enriched_rows(spark, sf_dir).select("doc_id", "e.app", "e.resource", "e.location")
-
-
-@query(f"{ENRICH_SQL} SELECT doc_id % 20 AS part, count(*) AS n, count_if(resource IS DISTINCT FROM guess OR location IS DISTINCT FROM guess_at)::BIGINT AS n_changed, count_if(coalesce(contains(resource, '?'), false))::BIGINT AS n_symptoms FROM l GROUP BY 1")
-def replay_diff(spark, sf_dir):
-    changed = ~F.col("e.resource").eqNullSafe(F.col("guess")) | ~F.col("e.location").eqNullSafe(F.col("guess_at"))
-    return enriched_rows(spark, sf_dir).groupBy((F.col("doc_id") % 20).alias("part")).agg(
-        F.count("*").alias("n"), F.count_if(changed).alias("n_changed"), F.count_if(F.col("e.resource").contains("?")).alias("n_symptoms")
-    )
-
-
-# --- replies ----------------------------------------------------------------------------
-
-REPLIES = ['{"app_guess": "Excel", "resource": "a.xlsx", "location": null, "focus": "none", "action": "入力している"}', '```json\n{"action": "見ている", "app_guess": "Chrome"}\n```', '{"action": "null"}', '{"app_guess": "VS Code", "action": "編集して', '{"app_guess": "Zoom", "action": "話す", "action": "聞く", "focus": "x', "ただの文", "", "   ", "123", '{"action": 5, "resource": " b "}', '{"focus": "a\\"b", "action": "c", ', "null"]
-FALL = reply.FALLBACK_ACTION
-# Worked out by hand from REPLIES: the fields of each.
-R_APP = ["Excel", "Chrome", None, "VS Code", "Zoom", None, None, None, None, None, None, None]
-R_RESOURCE = ["a.xlsx", None, None, None, None, None, None, None, None, "b", None, None]
-R_FOCUS = [None, None, None, None, None, None, None, None, None, None, 'a\\"b', None]
-R_ACTION = ["入力している", "見ている", FALL, FALL, "聞く", "ただの文", FALL, FALL, "123", FALL, "c", "null"]
-
-
-@query(f"WITH {literals_sql(app_guess=R_APP, resource=R_RESOURCE, focus=R_FOCUS, action=R_ACTION)} SELECT doc_id, app_guess, resource, NULL::VARCHAR AS location, focus, action FROM l")
-def parse_reply(spark, sf_dir):
-    out = literals(spark, sf_dir, content=REPLIES).select("doc_id", reply.parsed(F.col("content")).alias("r"))
-    return out.select("doc_id", *[f"r.{f}" for f in reply.FIELDS])
-
-
-SALVAGE_SQL = "(list_filter(list_zip(regexp_extract_all(c, '\"(app_guess|resource|location|focus|action)\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)\"', 1), regexp_extract_all(c, '\"(app_guess|resource|location|focus|action)\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)\"', 2)), lambda p: p[1] = '{0}')[-1])[2]"
-
-
-@query(f"WITH {literals_sql(c=REPLIES)} SELECT doc_id, CASE WHEN lower(trim(a)) IN ('', 'null', 'none') THEN NULL ELSE trim(a) END AS app_guess, coalesce(CASE WHEN lower(trim(b)) IN ('', 'null', 'none') THEN NULL ELSE trim(b) END, '{FALL}') AS action FROM (SELECT doc_id, {SALVAGE_SQL.format('app_guess')} AS a, {SALVAGE_SQL.format('action')} AS b FROM l)")
-def salvage_json(spark, sf_dir):
-    out = literals(spark, sf_dir, content=REPLIES).select("doc_id", reply.salvaged(F.col("content")).alias("r"))
-    return out.select("doc_id", "r.app_guess", "r.action")
-
-
-NULLISH = ["null", "None", " NONE ", "", "  ", "x", " y ", "nullable", None]
-
-
-@query(f"WITH {literals_sql(v=NULLISH)} SELECT doc_id, CASE WHEN lower(trim(v)) IN ('', 'null', 'none') THEN NULL ELSE trim(v) END AS value FROM l")
-def normalize_null(spark, sf_dir):
-    return literals(spark, sf_dir, v=NULLISH).select("doc_id", reply.normalize_null(F.col("v")).alias("value"))
-
-
 @query("SELECT conv_id AS video, turn * 1000000 AS start_us, turn * 1000000 + 720000 AS end_us, text FROM conversations")
 def asr_json_flatten(spark, sf_dir):
     c = views.read(spark, sf_dir, "conversations")
@@ -524,19 +435,6 @@ def md_heading(spark, sf_dir):
     return entries(spark, sf_dir).select("ord", heading.alias("heading"))
 
 
-ACTIONS = ["資料を開く。確認する。", "短い", "とても長い操作の説明がここに続いて四十文字を超えるまで書かれているので最後は省略記号になるはずである", "入力する。", "", "A。B"]
-TITLE_SQL = "CASE WHEN length(trim(split_part(a, '。', 1))) <= 40 THEN trim(split_part(a, '。', 1)) ELSE substr(trim(split_part(a, '。', 1)), 1, 39) || '…' END"
-
-
-@query(f"WITH {literals_sql(a=ACTIONS)} SELECT doc_id, '## Step ' || row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id)::VARCHAR || ': ' || {TITLE_SQL} AS title, CASE WHEN rtrim(a, '。') <> rtrim({TITLE_SQL}, '…') THEN a END AS body FROM l")
-def manual_steps(spark, sf_dir):
-    l = literals(spark, sf_dir, a=ACTIONS)
-    n = F.row_number().over(Window.partitionBy(F.col("doc_id") % 20).orderBy("doc_id"))
-    title = text.step_title(F.col("a"))
-    body = F.when(F.regexp_replace("a", "。+$", "") != F.regexp_replace(title, "…+$", ""), F.col("a"))
-    return l.select("doc_id", F.concat(F.lit("## Step "), n.cast("string"), F.lit(": "), title).alias("title"), body.alias("body"))
-
-
 @query("SELECT stem, count(*) AS n FROM (SELECT regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM pages) GROUP BY 1 HAVING count(*) > 1")
 def dup_stems(spark, sf_dir):
     stem = F.regexp_replace(F.regexp_extract("url", "[^/]*$", 0), r"\.[^.]*$", "")

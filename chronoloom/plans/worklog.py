@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import shutil
+from collections.abc import Callable
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom import models
 from chronoloom.functions import text
 from chronoloom.operators import folds, runs, temporal
+from chronoloom.operators.segments import reliable
+from chronoloom.schemas import DESCRIPTIONS
+from chronoloom.schemas import names as schema_names
+from chronoloom.sinks.scratch import written
+from chronoloom.sinks.worklogs import frame_name
 
 TOLERANCE_US, MARGIN_US = 2_000_000, 15_000_000
 
@@ -44,3 +55,63 @@ def to_describe(frames: DataFrame, ocr: DataFrame, segments: DataFrame, gate: fo
     if gate is not None:
         keys = folds.change_gate(keys.withColumn("tokens", text.line_tokens(F.col("lines"))), gate).filter("selected").drop("tokens", "selected")
     return temporal.overlapping(keys, segments, MARGIN_US, F.col("text"))
+
+
+def with_images(entries: DataFrame, frames: DataFrame) -> DataFrame:
+    """entries with frame: the name that the copy of their own frame's image bears; null without one."""
+    named = frames.filter("path IS NOT NULL").select("video", F.col("idx").alias("ord"), frame_name(F.col("t_us"), F.col("idx")).alias("__image"))
+    return entries.join(named, ["video", "ord"], "left").withColumn("frame", F.col("__image")).drop("__image")
+
+
+def copied(entries: DataFrame, frames: DataFrame, directory: str) -> DataFrame:
+    """entries whose images lie in directory/<video>/<frame>; where copying fails the entry stays without one, and warning says why."""
+    source = frames.select("video", F.col("idx").alias("ord"), F.col("path").alias("__path"))
+
+    @F.pandas_udf("string")
+    def copy(videos: pd.Series, paths: pd.Series, names: pd.Series) -> pd.Series:
+        def one(video, path, name):
+            if name is None:
+                return None
+            try:
+                target = Path(directory) / str(video) / name
+                target.parent.mkdir(parents=True, exist_ok=True)
+                shutil.copyfile(path, target)
+            except OSError as e:
+                return f"{path}: {type(e).__name__}"
+            return None
+
+        return pd.Series([one(*x) for x in zip(videos, paths, names, strict=True)], dtype=object)
+
+    out = entries.join(source, ["video", "ord"], "left").withColumn("warning", copy("video", "__path", "frame")).drop("__path")
+    return out.withColumn("frame", F.when(F.col("warning").isNull(), F.col("frame")))
+
+
+def generate(
+    frames: DataFrame, segments: DataFrame, recognise: Callable, describe: Callable, *, template: str = "%s\n%s", summarise: Callable | None = None,
+    gate: folds.GateConfig | None = None, keyframes_only: bool = False, similar: Callable | None = None, value: str = "path", attribute: bool = False, remove_fillers: bool = True,
+) -> DataFrame:
+    """Work logs of all recordings in frames (schemas.FRAMES) and segments (schemas.SEGMENTS), as entries.
+
+    The model ports are factories (see models). Lines are recognised for keyframes only,
+    or for frames that similar(value, values) tells from the last recognised one.
+    Unreliable speech is left out, speakers are taken from the screen if attribute, and
+    keyframes that pass the gate are described, enriched, merged, pictured, summarised.
+    What the models say is written to the shared folder, so that none is asked twice.
+    """
+    frames = frames.withColumn("ord", F.col("idx"))
+    seen = models.recognise(recognise)
+    lines = folds.keyframes_only(frames, seen) if keyframes_only else folds.recognised(folds.memo_skip(frames, similar, value), seen)
+    ocr = written(lines.select("video", "ord", "t_us", "lines"), "lines")
+    said = reliable(segments, remove_fillers)
+    if attribute:
+        said = temporal.attributed(said, observations(frames, ocr))
+    asked = to_describe(frames, ocr, said, gate).withColumn("prompt", models.prompt(template, F.col("lines"), F.col("texts")))
+    told = models.describe(asked, describe).withColumnRenamed("app_guess", "app").select(*schema_names(DESCRIPTIONS))
+    told = written(enriched(written(told, "described"), ocr), "enriched")
+    entries = written(with_images(merged(told, ocr, said), frames), "entries")
+    return models.summarise(entries, summarise) if summarise else entries
+
+
+def without_frames(videos: DataFrame, frames: DataFrame) -> DataFrame:
+    """videos whose decoding gave no frame, and so no work log; callers report them."""
+    return videos.join(frames.select("video").distinct(), "video", "left_anti")

@@ -2,15 +2,15 @@
 
 The data of a generation is Parquet written by Spark; the manifest names the generation,
 the embedding model, dimension, row count and the SHA-256 of every data file. A reader
-sees the old generation or the new one, whole.
+sees the old generation or the new one, whole. The folder may lie in any file system that
+Spark reaches: files are hashed in tasks, and only names, sizes and digests come to the
+driver.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-import shutil
 import uuid
 from pathlib import Path
 
@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.vectors import l2_normalize, top_k
-from chronoloom.sinks.files import write_atomic
+from chronoloom.sinks.files import Folder
 
 MANIFEST = "manifest.json"
 GENERATION = re.compile(r"gen-[0-9a-f]{32}")
+#: Vectors in a data file at most, so that one task can hash it.
+ROWS_A_FILE = 200_000
 
 
 def build(documents: DataFrame) -> DataFrame:
@@ -29,47 +31,58 @@ def build(documents: DataFrame) -> DataFrame:
     return documents.withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>"))
 
 
+def digests(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """Size and SHA-256 of the Parquet files in a folder, by name; hashed in tasks."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    rows = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length", F.sha2("content", 256).alias("digest")).collect()
+    return {r["name"]: {"sha256": r["digest"], "size": r["length"]} for r in sorted(rows)}
+
+
+def names(spark: SparkSession, directory: str | Path) -> list[str]:
+    """What lies in an index's folder."""
+    return Folder(spark, directory).names()
+
+
 def save(index: DataFrame, directory: str | Path, model: str) -> str:
     """Write a generation and commit it; older ones are removed after the commit, a failed one at once."""
-    directory = Path(directory)
-    name = f"gen-{uuid.uuid4().hex}"
-    target = directory / name
+    spark = index.sparkSession
+    folder, name = Folder(spark, directory), f"gen-{uuid.uuid4().hex}"
+    target = f"{folder.path}/{name}"
     try:
-        index.write.parquet(str(target))
-        stored = index.sparkSession.read.schema(index.schema).parquet(str(target))
+        index.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(target)
+        stored = spark.read.schema(index.schema).parquet(target)
         facts = stored.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("least")).first()
         if facts["d"] != facts["least"]:
             raise ValueError("vectors of several dimensions")
-        files = {p.name: {"sha256": hashlib.sha256(p.read_bytes()).hexdigest(), "size": p.stat().st_size} for p in sorted(target.glob("*.parquet"))}
-        manifest = {"model": model, "generation": name, "count": facts["n"], "dimension": facts["d"] or 0, "files": files}
-        write_atomic(directory / MANIFEST, json.dumps(manifest, ensure_ascii=False))
+        manifest = {"model": model, "generation": name, "count": facts["n"], "dimension": facts["d"] or 0, "files": digests(spark, target)}
+        folder.replace(MANIFEST, json.dumps(manifest, ensure_ascii=False))
     except BaseException:
-        shutil.rmtree(target, ignore_errors=True)
+        folder.delete(name)
         raise
-    for old in directory.iterdir():
-        if GENERATION.fullmatch(old.name) and old.name != name:
-            shutil.rmtree(old, ignore_errors=True)
+    for old in folder.names():
+        if GENERATION.fullmatch(old) and old != name:
+            folder.delete(old)
     return name
 
 
 def load(spark: SparkSession, directory: str | Path, model: str | None = None) -> DataFrame:
     """The committed generation; ValueError where it is of another model, incomplete, altered or points elsewhere."""
-    directory = Path(directory)
-    if not (directory / MANIFEST).exists():
+    folder = Folder(spark, directory)
+    if MANIFEST not in folder.names():
         raise FileNotFoundError(f"no index in {directory}")
-    manifest = json.loads((directory / MANIFEST).read_text())
+    manifest = json.loads(folder.read(MANIFEST))
     name = manifest["generation"]
     if not GENERATION.fullmatch(name):
         raise ValueError(f"generation {name!r} leads out of the index")
     if model is not None and manifest["model"] != model:
         raise ValueError(f"the index is of model {manifest['model']}, not {model}")
+    found = digests(spark, f"{folder.path}/{name}") if name in folder.names() else {}
     for file, facts in manifest["files"].items():
-        path = directory / name / file
-        if "/" in file or not path.is_file():
+        if file not in found:
             raise ValueError(f"data file {file} is missing")
-        if path.stat().st_size != facts["size"] or hashlib.sha256(path.read_bytes()).hexdigest() != facts["sha256"]:
+        if found[file] != facts:
             raise ValueError(f"data file {file} was altered")
-    out = spark.read.parquet(str(directory / name))
+    out = spark.read.parquet(f"{folder.path}/{name}")
     if out.count() != manifest["count"]:
         raise ValueError("row count differs from the manifest's")
     return out

@@ -7,14 +7,16 @@ write_partitioned(), which stays distributed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoloom.functions import text
 from chronoloom.operators.runs import dwell_by_app
+from chronoloom.operators.stretches import numbered
 from chronoloom.sinks.files import write_atomic
 
 SECOND = 1e6
@@ -48,7 +50,7 @@ def _section() -> Column:
 
 def _step() -> Column:
     title = text.step_title(F.col("action"))
-    n = F.row_number().over(Window.partitionBy("video").orderBy("t_us", "ord"))
+    n = F.col("nth")
     more = F.when(F.regexp_replace("action", "。+$", "") != F.regexp_replace(title, "…+$", ""), F.col("action"))
     return F.concat_ws(
         "\n", F.concat(F.lit("## Step "), n.cast("string"), F.lit(": "), title), F.lit(""), _image(), text.target_line(F.col("app"), F.col("resource"), F.col("location")),
@@ -56,12 +58,20 @@ def _step() -> Column:
     )
 
 
-def _in_order(entries: DataFrame, line: Column) -> list[str]:
-    return [r[0] for r in entries.select("t_us", "ord", line.alias("line")).orderBy("t_us", "ord").select("line").toLocalIterator()]
+def _in_order(entries: DataFrame, line: Column) -> Iterator[str]:
+    """The lines one after the other; the driver holds one partition of them."""
+    rows = entries.select("t_us", "ord", line.alias("line")).orderBy("t_us", "ord").select("line").toLocalIterator()
+    return (r[0] for r in rows)
+
+
+def _parted(lines: Iterator[str]) -> Iterator[str]:
+    """Lines with line feeds between them."""
+    for i, line in enumerate(lines):
+        yield f"\n{line}" if i else line
 
 
 def write_jsonl(entries: DataFrame, path: str | Path) -> None:
-    write_atomic(path, "\n".join(_in_order(entries, json_line())) + "\n")
+    write_atomic(path, chain(_parted(_in_order(entries, json_line())), ["\n"]))
 
 
 def app_table(entries: DataFrame) -> str:
@@ -70,11 +80,12 @@ def app_table(entries: DataFrame) -> str:
 
 
 def write_markdown(entries: DataFrame, path: str | Path) -> None:
-    write_atomic(path, "# 作業ログ\n\n" + "\n".join(_in_order(entries, _section())) + app_table(entries))
+    write_atomic(path, chain(["# 作業ログ\n\n"], _parted(_in_order(entries, _section())), [app_table(entries)]))
 
 
 def write_manual(entries: DataFrame, path: str | Path, source: str) -> None:
-    write_atomic(path, f"# {source} 手順書\n\n" + "\n".join(_in_order(entries, _step())))
+    steps = numbered(entries, "nth").withColumn("nth", F.col("nth") + 1)
+    write_atomic(path, chain([f"# {source} 手順書\n\n"], _parted(_in_order(steps, _step()))))
 
 
 def frame_name(t_us: Column, idx: Column) -> Column:
@@ -98,4 +109,4 @@ def write_partitioned(entries: DataFrame, path: str) -> None:
 
 def hit_line(rank: Column, score: Column, t: Column, end: Column, source: Column, app: Column, action: Column) -> Column:
     span = F.concat(t, F.coalesce(F.concat(F.lit("〜"), end), F.lit("")))
-    return F.concat(rank.cast("string"), F.format_string(". [%.3f] ", score), span, F.lit(" "), source, F.lit(" "), F.coalesce(app, F.lit("")), F.lit("\n   "), action)
+    return F.concat(rank.cast("string"), F.format_string(". [%.3f] ", score), span, F.lit("  "), source, F.coalesce(F.concat(F.lit("  "), text.truthy(app)), F.lit("")), F.lit("\n   "), action)

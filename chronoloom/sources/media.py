@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators.stretches import STRETCH_IDS, numbered
 from chronoloom.operators.temporal import nearest_keyframes
 
 # Defaults of the decoders.
@@ -60,21 +63,58 @@ def audio_command(path: str, out: str, start: float | None = None, length: float
 def probed(videos: DataFrame, run=run_program) -> DataFrame:
     """videos (video, path) with has_audio (false where probing fails) and duration_us (null then)."""
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("streams string, duration string")
+    def asked(paths: pd.Series) -> pd.DataFrame:
+        def one(path: str, *show: str) -> str | None:
+            try:
+                return run(["ffprobe", "-v", "error", *show, "-of", "csv=p=0", path], TIMEOUTS["probe"]).stdout.decode("utf-8", "replace")
+            except (ProgramFailed, OSError):
+                return None
+
+        streams = [one(p, "-select_streams", "a", "-show_entries", "stream=codec_type") for p in paths]
+        return pd.DataFrame({"streams": streams, "duration": [one(p, "-show_entries", "format=duration") for p in paths]})
+
+    out = videos.select("video", "path", asked("path").alias("__said"))
+    return out.select("video", "path", tells_audio(F.col("__said.streams")).alias("has_audio"), told_duration(F.col("__said.duration")).alias("duration_us"))
+
+
+def tells_audio(streams: Column) -> Column:
+    """Whether a probe names an audio stream; a failed one does not."""
+    return F.coalesce(streams.contains("audio"), F.lit(False))
+
+
+def told_duration(said: Column) -> Column:
+    """Microseconds of the seconds that a probe tells, null where it tells none."""
+    return F.round(F.trim(said).try_cast("double") * 1_000_000).cast("long")
+
+
+def listed_frames(files: DataFrame, fps: float = FPS) -> DataFrame:
+    """Frames of files (video, path) as a decoder numbers them: by the number in their names, from 0, with their times."""
+    number = F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("long")
+    out = numbered(files.withColumn("__number", number), "idx", order=["__number", "path"], width=STRETCH_IDS).drop("__number")
+    return out.withColumn("t_us", F.round(F.col("idx") * (1e6 / fps)).cast("long"))
+
+
+def decoded_frames(videos: DataFrame, directory: str, fps: float = FPS, run=run_program) -> DataFrame:
+    """Frames (video, idx, t_us, path) of videos (video, path): a decoder writes each one's into a folder under directory, which all tasks share.
+
+    Files of earlier runs are removed first. A video that fails has no frames.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            audio, length = [], []
-            for path in batch["path"]:
+            for video, path in zip(batch["video"], batch["path"], strict=True):
+                place = Path(directory) / hashlib.sha256(str(video).encode()).hexdigest()[:16]
+                place.mkdir(parents=True, exist_ok=True)
+                for old in place.glob("frame_*.png"):
+                    old.unlink()
                 try:
-                    kinds = run(["ffprobe", "-v", "error", "-select_streams", "a", "-show_entries", "stream=codec_type", "-of", "csv=p=0", path], TIMEOUTS["probe"]).stdout
-                    seconds = run(["ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "csv=p=0", path], TIMEOUTS["probe"]).stdout
-                    audio.append(b"audio" in kinds)
-                    length.append(round(float(seconds) * 1e6))
-                except (ProgramFailed, OSError, ValueError):
-                    audio.append(False)
-                    length.append(None)
-            yield pd.DataFrame({"video": batch["video"], "path": batch["path"], "has_audio": audio, "duration_us": pd.array(length, "Int64")})
-
-    return videos.select("video", "path").mapInPandas(probe, "video string, path string, has_audio boolean, duration_us long")
+                    run(frames_command(path, str(place / "frame_%06d.png"), fps), TIMEOUTS["frames"])
+                except (ProgramFailed, OSError):
+                    continue
+                yield pd.DataFrame({"video": video, "path": sorted(map(str, place.glob("frame_*.png")))}).astype({"path": "object"})
+
+    return listed_frames(videos.select("video", "path").mapInPandas(decode, f"video {videos.schema['video'].dataType.simpleString()}, path string"), fps)
 
 
 def frame_grid(videos: DataFrame, fps: float = FPS) -> DataFrame:

@@ -56,15 +56,16 @@ SEGMENTS = """s AS (
 )"""
 
 
-def literals(spark: SparkSession, sf_dir: str, **columns: list) -> DataFrame:
-    """documents' ids with one of the given texts each, by id; columns of equal lengths are picked together."""
-    docs = read(spark, sf_dir, "documents").select("doc_id")
-    pick = {n: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("doc_id") % len(v) + 1).cast("int")) for n, v in columns.items()}
-    return docs.select("doc_id", *[c.alias(n) for n, c in pick.items()])
-
-
-def literals_sql(**columns: list) -> str:
-    """The same as a common table expression l."""
-    quoted = {n: ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in v) for n, v in columns.items()}
-    picks = ", ".join(f"([{q}])[1 + doc_id % {len(columns[n])}] AS {n}" for n, q in quoted.items())
-    return f"l AS (SELECT doc_id, {picks} FROM documents)"
+def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as screens: a line that a window would show (by turns a title bar, the address, a note of both, a place), then the page's own lines."""
+    i, stem = F.col("page_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    shown = (
+        F.when(i % 4 == 0, F.concat(stem, F.lit(".pdf - Preview"))).when(i % 4 == 1, F.col("url"))
+        .when(i % 4 == 2, F.concat(F.lit("see "), F.col("url"), F.lit(" and "), stem, F.lit(".md - Word")))
+        .otherwise(F.concat(F.lit("Page "), (i % 9).cast("string"), F.lit(" of 9")))
+    )
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.array(shown), F.split("html", "\n")).alias("lines"))
+
+
+SCREENS = """s AS (SELECT page_id, url, list_concat([CASE page_id % 4 WHEN 0 THEN 'p' || page_id::VARCHAR || '.pdf - Preview' WHEN 1 THEN url
+  WHEN 2 THEN 'see ' || url || ' and p' || page_id::VARCHAR || '.md - Word' ELSE 'Page ' || (page_id % 9)::VARCHAR || ' of 9' END], string_split(html, chr(10))) AS lines FROM pages)"""

@@ -19,11 +19,21 @@ def read_worklogs(spark: SparkSession, *paths: str) -> DataFrame:
     numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("value")))
     lines = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.inline(numbered))
     lines = lines.filter(F.trim("value") != "")
-    bad = lines.filter(F.try_parse_json("value").isNull()).orderBy("file", "line").select("file", "line").first()
+    bad = malformed(lines).orderBy("file", "line").select("file", "line").first()
     if bad:
         raise ValueError(f"malformed record at {bad['file']}:{bad['line']}")
-    parsed = lines.withColumn("r", F.from_json("value", WORKLOG))
-    return parsed.select("file", "line", *[f"r.{c}" for c in names(WORKLOG)])
+    return parsed_lines(lines)
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Records of lines (value, and others, which stay); blank ones must be gone."""
+    parsed = lines.withColumn("__r", F.from_json("value", WORKLOG)).drop("value")
+    return parsed.select(*[c for c in parsed.columns if c != "__r"], *[f"__r.{c}" for c in names(WORKLOG)])
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """Those of lines (value) that are no JSON."""
+    return lines.filter(F.try_parse_json("value").isNull())
 
 
 def search_documents(records: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from chronoloom.plans import queries
+from chronoloom.plans import catalog as queries
 from tests.parity import assert_same
 
 SF = "/root/testdata/sf0.001"

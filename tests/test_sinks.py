@@ -61,10 +61,18 @@ def test_index_generations(spark, tmp_path, monkeypatch):
     assert [(r.rank, r.doc_id) for r in found] == [(1, "a"), (2, "c")]
     with pytest.raises(ValueError, match="model"):
         index_store.load(spark, tmp_path, "other")
-    monkeypatch.setattr(index_store, "write_atomic", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    monkeypatch.setattr(files.Folder, "_rename", lambda *a: (_ for _ in ()).throw(OSError("crash")))
     with pytest.raises(OSError):
         index_store.save(index_store.build(docs.limit(1)), tmp_path, "m")
-    assert index_store.load(spark, tmp_path).count() == 3
+    assert index_store.load(spark, tmp_path).count() == 3 and len(list(tmp_path.iterdir())) == 2
+    part = next(tmp_path.glob("gen-*/*.parquet"))
+    kept = part.read_bytes()
+    for changed, what in ((kept[:-1] + b"x", "altered"), (None, "missing")):
+        part.unlink() if changed is None else part.write_bytes(changed)
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(ValueError, match=what):
+            index_store.load(spark, tmp_path)
+    part.write_bytes(kept)
     monkeypatch.undo()
     index_store.save(index_store.build(docs.limit(0)), tmp_path, "m")
     assert index_store.load(spark, tmp_path).count() == 0 and len(list(tmp_path.glob("gen-*"))) == 1
