@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoloom.functions import text, vectors
 from chronoloom.operators import chunking, folds, labels, runs, segments, stretches, temporal
