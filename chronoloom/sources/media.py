@@ -68,7 +68,7 @@ def probed(videos: DataFrame, run=run_program) -> DataFrame:
         def one(path: str, *show: str) -> str | None:
             try:
                 return run(["ffprobe", "-v", "error", *show, "-of", "csv=p=0", path], TIMEOUTS["probe"]).stdout.decode("utf-8", "replace")
-            except (ProgramFailed, OSError):
+            except Exception:  # whatever the program or its stand-in raises
                 return None
 
         streams = [one(p, "-select_streams", "a", "-show_entries", "stream=codec_type") for p in paths]
@@ -110,13 +110,29 @@ def decoded_frames(videos: DataFrame, directory: str, fps: float = FPS, run=run_
                     old.unlink()
                 try:
                     run(frames_command(path, str(place / "frame_%06d.png"), fps), TIMEOUTS["frames"])
-                except (ProgramFailed, OSError):
+                except Exception:  # whatever the program or its stand-in raises
                     continue
                 yield pd.DataFrame({"video": video, "path": sorted(map(str, place.glob("frame_*.png")))}).astype({"path": "object"})
 
     return listed_frames(videos.select("video", "path").mapInPandas(decode, f"video {videos.schema['video'].dataType.simpleString()}, path string"), fps)
 
 
+def scene_logs(videos: DataFrame, threshold: float = SCENE_THRESHOLD, run=run_program) -> DataFrame:
+    """What a decoder says of the scene changes in videos (video, path); null where it fails."""
+
+    @F.pandas_udf("string")
+    def said(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> str | None:
+            try:
+                return run(scene_command(path, threshold), TIMEOUTS["frames"]).stderr.decode("utf-8", "replace")
+            except Exception:  # whatever the program or its stand-in raises
+                return None
+
+        return paths.map(one)
+
+    return videos.select("video", said("path").alias("log"))
+
+
 def frame_grid(videos: DataFrame, fps: float = FPS) -> DataFrame:
     """The uniform frames of videos (video, duration_us): idx and t_us."""
     step = 1e6 / fps
