@@ -40,8 +40,10 @@ def sf(spark, tmp_path_factory):
     docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long")
     extra = docs.selectExpr("*", "'x' AS score", "1 AS size", "2 AS kept", "3 AS fp", "'t' AS target", "4 AS __size")
     extra.repartition(3).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame(labels(), "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    marks = spark.createDataFrame(labels(), "doc_id long, quality int, toxic int")
+    marks.selectExpr("*", "'x' AS text", "1 AS score", "true AS good", "2 AS __toxic").write.parquet(f"{d}/labels.parquet")
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    pages.selectExpr("*", "1 AS key", "'z' AS payload", "'r' AS record", "3 AS refers_to").write.parquet(f"{d}/pages.parquet")
     return d
 
 

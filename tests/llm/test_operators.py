@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import common, gif, graph, lattice, lengths, mixing, packing, quality, registry, sharding, simhash, toxicity, warc
-from tests.llm.conftest import PAGES, documents, prose
+from tests.llm.conftest import PAGES, documents, labels, prose
 from tests.parity import assert_same
 
 DOCS = documents()
@@ -363,6 +363,69 @@ def test_op5_parts_labelled_documents(spark, tmp_path):
     assert all(r.kept != r.base_failed for r in quality.judged(docs, labels.limit(0)).collect())
 
 
+def test_op5_ratio_and_threshold_equal_brute_force(spark, sf):
+    known = {}
+
+    def bucket(*tokens):
+        if tokens not in known:
+            single, pairs, _ = quality.ngram_buckets([b" ".join(tokens)])
+            known[tokens] = int(single[0] if len(tokens) == 1 else pairs[0])
+        return known[tokens]
+
+    def grams(t):
+        found = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0D]+", (t or "").encode())
+        return [bucket(x) for x in found] + [bucket(a, b) for a, b in zip(found, found[1:], strict=False)]
+
+    marks = defaultdict(list)
+    for i, q, _ in labels():
+        if i is not None and q is not None:
+            marks[i].append(q)
+    good = {i: min(q) == 1 for i, q in marks.items()}
+    corpus, trusted, own = Counter(), Counter(), []
+    for i, t, *_ in DOCS:
+        own.append((i, grams(t)))
+        corpus.update(own[-1][1])
+        if good.get(i):
+            trusted.update(own[-1][1])
+    size = 1 << quality.BUCKET_BITS
+    share = lambda c, b: (c[b] + quality.SMOOTHING) / (sum(c.values()) + quality.SMOOTHING * size)
+    ratio = {b: math.log(share(trusted, b)) - math.log(share(corpus, b)) for b in corpus}
+    score = defaultdict(list)
+    for i, g in own:
+        score[i].append(sum(ratio[b] for b in g) / max(len(g), 1))
+    got = quality.judged(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert all(any(math.isclose(r.score, s, abs_tol=1e-7) for s in score[r.doc_id]) for r in got)
+    # the threshold: every step tried, the middle of the longest run of best ones
+    rated = [(r.score, good[r.doc_id]) for r in got if not r.base_failed and r.doc_id in good]
+    if {g for _, g in rated} == {True, False}:
+        steps = [math.floor(s * quality.STEPS_PER_UNIT) for s, _ in rated]
+        n = Counter(g for _, g in rated)
+        value = {k: sum((s >= k) / n[True] if g else (s < k) / n[False] for s, (_, g) in zip(steps, rated, strict=True)) for k in range(min(steps), max(steps) + 2)}
+        best = {k for k, v in value.items() if math.isclose(v, max(value.values()))}
+        assert round(got[0].threshold * quality.STEPS_PER_UNIT) in best
+        assert all(r.kept == (not r.base_failed and r.score >= r.threshold) for r in got)
+
+
+def test_threshold_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.gauss(0.5 if i % 3 else -0.2, 0.3), i % 11 == 0) for i in range(400)]
+    scores = spark.createDataFrame(rows, "doc_id long, score double, base_failed boolean")
+    marks = spark.createDataFrame([(i, bool(i % 3)) for i in range(0, 400, 2)], "doc_id long, good boolean")
+    rated = [(math.floor(s * quality.STEPS_PER_UNIT), bool(i % 3)) for i, s, f in rows if not f and i % 2 == 0]
+    n = Counter(g for _, g in rated)
+    value = {k: round(sum((s >= k) / n[True] if g else (s < k) / n[False] for s, g in rated), 9) for k in range(min(rated)[0], max(rated)[0] + 2)}
+    runs, run = [], []
+    for k in sorted(value):
+        if value[k] == max(value.values()):
+            run.append(k)
+        elif run:
+            runs.append(run)
+            run = []
+    run = max([*runs, run], key=len)
+    assert quality.best_threshold(scores, marks) == run[len(run) // 2] / quality.STEPS_PER_UNIT
+    assert quality.best_threshold(scores, marks.filter("good")) is None
+
+
 def test_ngram_counts_equal_a_loop(spark, sf):
     texts = [(t or "").encode() for _, t, *_ in DOCS]
     want = Counter()
@@ -635,7 +698,7 @@ def test_op8_labels_without_documents_change_nothing(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     strange = spark.range(10**6, 10**6 + 200_000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 9 = 0) AS toxic")
     want = toxicity.training_rows(docs, labels)
-    assert toxicity.training_rows(docs, labels.unionByName(strange)) == want
+    assert toxicity.training_rows(docs, labels.unionByName(strange, allowMissingColumns=True)) == want
     assert {y for _, y in want} == {0, 1} and all(t.split() for t, _ in want)
     assert toxicity.training_rows(docs.limit(0), labels) == []
 
@@ -647,6 +710,29 @@ def test_op8_long_documents_train_by_excerpts(spark):
     assert len(long) == toxicity.SAMPLE_CHARS + toxicity.EXCERPTS - 1 and long.startswith(b"w0 ") and long.endswith(b"w19999")
 
 
+# --- a text of megabytes -----------------------------------------------------------
+
+
+def test_very_long_text(spark, tmp_path):
+    rng = random.Random(11)
+    text = prose(rng, 400_000)
+    d = str(tmp_path)
+    spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short one", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    raw = text.encode()
+    row = next(r for r in gif.op1_gif(spark, d).collect() if r.doc_id == 1)
+    assert (row.n_bytes, row.payload_sha256) == (len(raw), hashlib.sha256(gif.padded(raw)).hexdigest())
+    assert next(r for r in simhash.op2_simhash(spark, d).collect() if r.doc_id == 1).fingerprint == f"{brute_fingerprint(text):016x}"
+    assert next(r for r in mixing.op3_mixing(spark, d).collect() if r.doc_id == 1)["size"] == 400_000
+    pieces = [r for r in packing.op4_packing(spark, d).collect() if r.doc_id == 1]
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 400_000
+    assert next(r for r in quality.op5_quality(spark, d).collect() if r.doc_id == 1).n_words == 400_000
+    assert next(r for r in lattice.op7_lattice(spark, d).collect() if r.doc_id == 1).n_tokens == 400_001
+    assert next(r for r in toxicity.op8_toxicity(spark, d).collect() if r.doc_id == 1).score == 0  # labels of one kind train nothing
+    assert max(r.length for r in lengths.op9_length_histogram(spark, d).collect()) > 400_000
+    assert next(r for r in sharding.op10_virtual_slots(spark, d).collect() if r.doc_id == 1)["size"] == len(raw) + 8
+
+
 # --- op9, op10 --------------------------------------------------------------------
 
 
