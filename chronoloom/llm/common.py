@@ -52,6 +52,17 @@ def _file(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed like an intermediate table."""
+    files, where = _file(spark, shared_dir(spark))
+    if not _tables(spark):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables(spark).append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once into the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -59,12 +70,8 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     application, which removes its folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path, compression=compression)
-    if not _tables(spark):
-        files, where = _file(spark, shared_dir(spark))
-        files.deleteOnExit(where)
-    _tables(spark).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronoloom_path = path
     return out

@@ -19,14 +19,13 @@ rows are rows of their own; an empty table gives an empty result and an even map
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import materialise, shared_dir, table
+from chronoloom.llm.common import materialise, scratch_path, table
 
 SLOTS = 4096
 SHARDS = 24
@@ -154,7 +153,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     again. Without one the documents are a new data set, whose maps are stored in the
     application's shared folder, so that results do not hang on earlier runs.
     """
-    maps = maps or f"{shared_dir(docs.sparkSession)}/slot-maps-{uuid.uuid4().hex}"
+    maps = maps or scratch_path(docs.sparkSession, "slot-maps")
     text = F.coalesce(F.col("text"), F.lit(""))
     records = docs.select(
         F.col("doc_id"),
