@@ -102,9 +102,9 @@ def check_stems(videos: DataFrame) -> None:
 
 
 def write_partitioned(entries: DataFrame, path: str) -> None:
-    """All recordings' lines, a folder each: <path>/video=<video>/part-*.txt in order."""
+    """All recordings' lines, a folder each: <path>/video=<video>/part-*.txt, in order within and between files; a long one has several."""
     lines = entries.select("video", "t_us", "ord", json_line().alias("value"))
-    lines.repartition("video").sortWithinPartitions("video", "t_us", "ord").select("video", "value").write.partitionBy("video").text(path)
+    lines.repartitionByRange("video", "t_us", "ord").sortWithinPartitions("video", "t_us", "ord").select("video", "value").write.partitionBy("video").text(path)
 
 
 def hit_line(rank: Column, score: Column, t: Column, end: Column, source: Column, app: Column, action: Column) -> Column:
