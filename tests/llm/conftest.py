@@ -32,6 +32,8 @@ def labels():
 
 PAGES = [(i, f"http://h/{i} x", f"<p>{i % 7}</p>") for i in range(30)] + [(100, None, None), (101, "u", ""), (102, "u", None), (5, "http://h/5 x", "<p>5</p>"), (None, "u", "<p>5</p>"), (103, "u", "é\n\r\n\r\n" * 4000)]
 
+ITEMS = [(1, "the having WAS, the the One"), (2, None), (3, ""), (4, "one two"), (5, "日本語 テキスト no-such-term"), (None, "id here"), (4, "xx b a"), (6, "it's 3.14 ünï Ünï ☃"), (7, "... ---")]
+
 
 @pytest.fixture(scope="session")
 def sf(spark, tmp_path_factory):
@@ -44,12 +46,14 @@ def sf(spark, tmp_path_factory):
     marks.selectExpr("*", "'x' AS text", "1 AS score", "true AS good", "2 AS __toxic").write.parquet(f"{d}/labels.parquet")
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     pages.selectExpr("*", "1 AS key", "'z' AS payload", "'r' AS record", "3 AS refers_to").write.parquet(f"{d}/pages.parquet")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    items.selectExpr("*", "'x' AS term", "1 AS score", "2 AS doc_id", "3 AS rank").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
 @pytest.fixture(scope="session")
 def empty_sf(spark, sf, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
