@@ -10,7 +10,7 @@ The map is stored, one folder a version, and read back; a run edits the last ver
 and stores the next one only if shards have drifted apart.
 
 Law ``bytes`` holds down to the size of single slots: one id whose rows or text outweigh a
-shard is one slot and stays whole. Equal texts are not kept together, as a large group of
+shard is one slot and stays whole; the other shards share the rest nearly equally. Equal texts are not kept together, as a large group of
 copies would break the law.
 
 Edge cases: null texts have no bytes (size 8); null ids hash by their text; repeated
@@ -19,6 +19,7 @@ rows are rows of their own; an empty table gives an empty result and an even map
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,7 @@ from chronoloom.llm.common import materialise, scratch_path, table
 SLOTS = 4096
 SHARDS = 24
 RECORD_OVERHEAD = 8
-#: How far above the mean a shard's bytes may lie before its slots are moved.
+#: How far from the mean a shard's bytes may lie before slots are moved.
 TOLERANCE = 0.001
 
 
@@ -59,11 +60,24 @@ def even_map(shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(1, shards, tuple(s % shards for s in range(slots)))
 
 
+def traded(high: set[int], low: set[int], sizes: list[int], gap: int) -> tuple[int | None, int | None]:
+    """The slots of a heavy and a light shard that, changing places, come nearest to halving the gap between them; None where none narrows it."""
+    lighter = sorted((sizes[s], s) for s in low)
+    best = (gap / 2, None, None)
+    for given in sorted(high):
+        at = bisect.bisect(lighter, (sizes[given] - gap / 2, -1))
+        for size, taken in lighter[max(at - 1, 0) : at + 1]:
+            best = min(best, (abs(sizes[given] - size - gap / 2), given, taken), key=lambda b: b[0])
+    return best[1:]
+
+
 def rebalanced(slot_map: SlotMap, sizes: list[int], shards: int | None = None, tolerance: float = TOLERANCE) -> SlotMap:
     """The map with as few edits as bring every shard within tolerance of the mean, where slots allow it.
 
-    Moves the largest slot that still helps from the heaviest to the lightest shard
-    until none does. New shards start empty and so only receive.
+    Moves the slot that helps most from the heaviest to the lightest shard, or, where each
+    is too large, changes one for a smaller one of the lightest, until none helps. New shards start empty and so only receive. A shard that is too
+    heavy and has no slot to give, as one slot alone outweighs the mean, is set aside,
+    and the others go on towards the mean of what they hold.
     """
     shards = shards or slot_map.shards
     owner, loads = list(slot_map.owner), [0] * shards
@@ -71,19 +85,31 @@ def rebalanced(slot_map: SlotMap, sizes: list[int], shards: int | None = None, t
     for slot, shard in enumerate(owner):
         loads[shard] += sizes[slot]
         members[shard].add(slot)
-    limit = sum(loads) / shards * (1 + tolerance)
-    while max(loads) > limit:
-        high, low = loads.index(max(loads)), loads.index(min(loads))
-        gap = loads[high] - loads[low]
-        fits = [s for s in members[high] if 0 < sizes[s] < gap]
-        if not fits:
+    going = set(range(shards))
+
+    def move(slot: int, source: int, to: int) -> None:
+        members[source].remove(slot)
+        members[to].add(slot)
+        owner[slot] = to
+        loads[source] -= sizes[slot]
+        loads[to] += sizes[slot]
+
+    while going:
+        high, low = max(going, key=lambda i: (loads[i], -i)), min(going, key=lambda i: (loads[i], i))
+        gap, mean = loads[high] - loads[low], sum(loads[i] for i in going) / len(going)
+        if loads[high] <= mean * (1 + tolerance) and loads[low] >= mean * (1 - tolerance):
             break
-        slot = min(fits, key=lambda s: (abs(gap / 2 - sizes[s]), s))
-        members[high].remove(slot)
-        members[low].add(slot)
-        owner[slot] = low
-        loads[high] -= sizes[slot]
-        loads[low] += sizes[slot]
+        fits = [s for s in members[high] if 0 < sizes[s] < gap]
+        given = min(fits, key=lambda s: (abs(gap / 2 - sizes[s]), s), default=None)
+        taken = None
+        if given is None:
+            given, taken = traded(members[high], members[low], sizes, gap)
+        if given is None:
+            going.remove(high)
+            continue
+        move(given, high, low)
+        if taken is not None:
+            move(taken, low, high)
     return replace(slot_map, version=slot_map.version + 1, shards=shards, owner=tuple(owner))
 
 

@@ -20,8 +20,8 @@ the other parts' values.
 
 Training is plain numpy on the driver, on at most SAMPLE labelled documents of either
 kind, the ones whose ids hash lowest among those that the table holds with words in
-them. A document over SAMPLE_CHARS enters by EXCERPTS stretches of equal length, evenly
-spread. As labels speak of documents, windows of toxic documents count as toxic at
+them, and on no more of either kind than have SAMPLE_BYTES together: a document that
+does not fit is passed over, the others are read whole. As labels speak of documents, windows of toxic documents count as toxic at
 first; later only those that the network itself finds toxic, and each document's most
 toxic one. In half of the windows a random share of the words is read as never seen, of
 toxic documents only words that do not speak for toxicity: else words unheard of would
@@ -53,9 +53,8 @@ HIDDEN = 8
 DIM = 4
 STATIC = 4
 GRAM_SIZES = (3, 4, 5, 6, 7)
-SAMPLE = 2400
-SAMPLE_CHARS = 16_000
-EXCERPTS = 8
+#: Labelled documents of either kind in the training sample, and bytes of their whole texts.
+SAMPLE, SAMPLE_BYTES = 2000, 10 << 20
 FOLDS = 4
 #: Sightings at the expected rate that every word and n-gram is given besides its own.
 PRIOR = 20.0
@@ -537,29 +536,28 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def excerpt(text: Column) -> Column:
-    """The text, or of one over SAMPLE_CHARS evenly spread stretches that come to so many."""
-    n = F.length(text)
-    stretch, gaps = SAMPLE_CHARS // EXCERPTS, EXCERPTS - 1
-    parts = [F.substring(text, (F.floor((n - stretch) * k / gaps) + 1).cast("int"), F.lit(stretch)) for k in range(EXCERPTS)]
-    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
-    """(text, toxic) of the training documents; only these reach the driver.
+    """(text, toxic) of the training documents; only these reach the driver, each with its whole text.
 
-    Ids are joined first, so that labels without a document take no place in the sample;
-    then at most 2 * sample ids fetch their texts.
+    Ids are joined first, so that labels without a document take no place in the sample.
+    Of the sample ids of either kind that hash lowest, those are taken one after the other
+    whose texts still fit into SAMPLE_BYTES; then only these fetch their texts.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).select(F.col("doc_id").alias("__id"), "__toxic")
-    filled = docs.filter(F.col("text").rlike(r"[^\s]")).select(F.col("doc_id").alias("__id"))
-    known = known.join(filled.distinct(), "__id", "left_semi")
+    filled = docs.filter(F.col("text").rlike(r"[^\s]")).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.octet_length("text")).alias("__bytes"))
+    known = known.join(filled, "__id")
     order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = known.filter("__toxic = 1").orderBy(*order).limit(sample).union(known.filter("__toxic <> 1").orderBy(*order).limit(sample))
-    rows = docs.select("doc_id", excerpt(F.col("text")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    found = rows.groupBy("__id").agg(F.max("text").alias("text"), F.first("__toxic").alias("toxic")).orderBy(*order).collect()
-    return [((r["text"] or "").encode(), int(r["toxic"] == 1)) for r in found]
+    chosen, ids = known.filter("__toxic = 1").orderBy(*order).limit(sample).union(known.filter("__toxic <> 1").orderBy(*order).limit(sample)), []
+    room = {True: SAMPLE_BYTES, False: SAMPLE_BYTES}
+    for r in chosen.select("__id", (F.col("__toxic") == 1).alias("toxic"), "__bytes", F.xxhash64("__id").alias("h")).orderBy("h", "__id").collect():
+        if r["__bytes"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["__bytes"]
+            ids.append((r["__id"], int(r["toxic"])))
+    wanted = docs.sparkSession.createDataFrame(ids, f"__id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"))
+    found = rows.groupBy("__id").agg(F.max(F.struct(F.octet_length("text").alias("n"), "text"))["text"].alias("text"), F.first("toxic").alias("toxic")).orderBy(*order).collect()
+    return [((r["text"] or "").encode(), r["toxic"]) for r in found]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
