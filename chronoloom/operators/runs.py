@@ -29,12 +29,11 @@ def with_ends(entries: DataFrame, timeline_ends: DataFrame) -> DataFrame:
     """Add end_us and duration_us: the next entry's start; for the last one timeline_end_us, but not before its own start.
 
     timeline_ends has one row (video, timeline_end_us) per video that was observed at all;
-    without one the last end stays null. That row goes to the last entries only.
+    without one the last end stays null. That row meets one row a stretch.
     """
-    out = beside(entries, after=["t_us"]).withColumn("end_us", F.col("__after.t_us")).drop("__after")
-    last = out.filter("end_us IS NULL").join(timeline_ends, "video", "left")
-    end = F.when(F.col("timeline_end_us").isNotNull(), F.greatest("t_us", "timeline_end_us"))
-    out = out.filter("end_us IS NOT NULL").unionByName(last.withColumn("end_us", end).drop("timeline_end_us"))
+    out = beside(entries, after=["t_us"], past=timeline_ends.select("video", F.col("timeline_end_us").alias("__end")))
+    last = F.when(F.col("__end").isNotNull(), F.greatest("t_us", "__end"))
+    out = out.withColumn("end_us", F.when(F.col("__after").isNull(), last).otherwise(F.col("__after.t_us"))).drop("__after", "__end")
     return out.withColumn("duration_us", F.col("end_us") - F.col("t_us"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoloom.functions.text import without_adjacent_repeats
-from chronoloom.operators.stretches import FIRST, LAST, stretch
+from chronoloom.operators.stretches import FIRST, LAST, place_of
 
 
 def nearest_within(left: DataFrame, right: DataFrame, tolerance_us: int, right_cols: list[str]) -> DataFrame:
@@ -59,22 +59,24 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], forward_us: int
     """left with __back and, if asked for, __ahead: structs of right's columns, null where there is no such row.
 
     __back is the last right row not after ``at``; __ahead the first one in (at, at +
-    forward_us]. right has video, t_us and ord.
+    forward_us]. right has video, t_us and ord; rows of it without a time are never found,
+    and rows of left without one find nothing. A null video is a timeline like others.
     """
     kept = left.columns
     l = left.select("video", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.col("ord").alias("__o"), F.struct(*kept).alias("__l"), F.lit(None).alias("__r"))
     payload = F.struct(F.col("t_us").alias("__rt"), *[F.col(c).alias(c) for c in columns])
-    r = right.select("video", F.col("t_us").alias("__t"), F.lit(0).alias("__side"), F.col("ord").alias("__o"), F.lit(None).alias("__l"), payload.alias("__r"))
-    both = r.unionByName(l).withColumn("__stretch", stretch("__t"))
+    r = right.filter(F.col("t_us").isNotNull()).select("video", F.col("t_us").alias("__t"), F.lit(0).alias("__side"), F.col("ord").alias("__o"), F.lit(None).alias("__l"), payload.alias("__r"))
+    both = r.unionByName(l).withColumn("__at", place_of("video", "__t"))
     place, found = F.struct("__t", "__side", "__o"), F.col("__side") == 0
-    borders = both.groupBy("video", "__stretch").agg(F.max_by("__r", F.when(found, place)).alias("__last"), F.min_by("__r", F.when(found, place)).alias("__next"))
-    along = Window.partitionBy("video").orderBy("__stretch")
+    borders = both.groupBy("__at").agg(F.max_by("__r", F.when(found, place)).alias("__last"), F.min_by("__r", F.when(found, place)).alias("__next"))
+    along = Window.partitionBy("__at.key").orderBy("__at.stretch")
     borders = borders.withColumn("__carried", F.last("__last", ignorenulls=True).over(along.rowsBetween(FIRST, -1)))
     borders = borders.withColumn("__coming", F.first("__next", ignorenulls=True).over(along.rowsBetween(1, LAST))).drop("__last", "__next")
-    w = Window.partitionBy("video", "__stretch").orderBy("__t", "__side", "__o")
+    w = Window.partitionBy("__at").orderBy("__t", "__side", "__o")
     out = both.withColumn("__back", F.last("__r", ignorenulls=True).over(w.rowsBetween(FIRST, 0)))
     out = out.withColumn("__ahead", F.first("__r", ignorenulls=True).over(w.rowsBetween(1, LAST)) if forward_us is not None else F.lit(None))
-    out = out.filter(F.col("__side") == 1).join(borders, ["video", "__stretch"]).withColumn("__back", F.coalesce("__back", "__carried"))
+    out = out.filter(F.col("__side") == 1).join(borders, "__at").withColumn("__back", F.coalesce("__back", "__carried"))
+    out = out.withColumn("__back", F.when(F.col("__t").isNotNull(), F.col("__back")))
     if forward_us is not None:
         out = out.withColumn("__ahead", F.coalesce("__ahead", "__coming"))
     ahead = F.when(F.col("__ahead.__rt") <= F.col("__t") + forward_us, F.col("__ahead")).alias("__ahead") if forward_us is not None else F.lit(None).alias("__ahead")
@@ -90,11 +92,13 @@ def attach_speech(entries: DataFrame, segments: DataFrame, line: Column) -> Data
     starts = segments.select("video", "ord", F.col("start_us").alias("t_us"), line.alias("__line"))
     placed = as_of(starts, entries.select("video", "t_us", "ord"), ["ord"])
     first = entries.groupBy("video").agg(F.min_by("ord", F.struct("t_us", "ord")).alias("__first"))
-    placed = placed.join(first, "video").select("video", F.coalesce("__back.ord", "__first").alias("__entry"), "t_us", "ord", "__line")
+    first = first.withColumnRenamed("video", "__video")
+    placed = placed.join(first, F.col("video").eqNullSafe(F.col("__video"))).select("video", F.coalesce("__back.ord", "__first").alias("__entry"), "t_us", "ord", "__line")
     parts = F.array_sort(F.collect_list(F.struct("t_us", "ord", "__line")))
     speech = placed.groupBy("video", "__entry").agg(F.transform(parts, lambda p: p["__line"]).alias("__lines"))
     speech = speech.select("video", F.col("__entry").alias("ord"), without_adjacent_repeats(F.col("__lines")).alias("speech"))
-    return entries.join(speech, ["video", "ord"], "left").withColumn("speech", F.coalesce("speech", F.array().cast("array<string>")))
+    speech = speech.select(F.struct("video", "ord").alias("__at"), "speech")
+    return entries.withColumn("__at", F.struct("video", "ord")).join(speech, "__at", "left").drop("__at").withColumn("speech", F.coalesce("speech", F.array().cast("array<string>")))
 
 
 def attributed(segments: DataFrame, observations: DataFrame, grace_us: int = 3_000_000, most_lines: int = 8) -> DataFrame:

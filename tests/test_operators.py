@@ -1,6 +1,8 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoloom.functions import reply, text
 from chronoloom.operators import chunking, folds, runs, segments, stretches, temporal
@@ -97,6 +99,62 @@ def test_folds_equal_a_loop(spark):
     assert {r.ord: r.source_ord for r in got.collect()} == source
 
 
+@pytest.mark.parametrize("step", [1, 7, 55, 130, 900])
+def test_gate_of_a_long_video_in_stretches_equals_one_loop(spark, step):
+    rng, t, rows = random.Random(step), 0, []
+    for i in range(400):
+        t += rng.randint(0, 2 * step) * S
+        rows.append((None if i % 2 else "v", i, t, [rng.choice("abcd") for _ in range(rng.randint(0, 5))]))
+    rows += [("v", 500, None, ["a"]), ("v", 501, None, None), (None, 502, 3 * S, None)]
+    df = spark.createDataFrame(rows, "video string, ord long, t_us long, tokens array<string>").repartition(5)
+    want, gates = {}, {}
+    for v, i, at, tokens in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[1])):
+        gate = gates.setdefault(v, folds.ChangeGate(folds.GateConfig()))
+        want[i] = at is not None and gate.selects(at, tokens or ())
+    assert {r.ord: r.selected for r in folds.change_gate(df, width=120 * S).collect()} == want
+    assert {r.ord: r.selected for r in folds.change_gate(df).collect()} == want
+
+
+def test_folds_of_one_video_use_many_tasks(spark):
+    df = spark.range(4000).select(F.lit("v").alias("video"), F.col("id").alias("ord"), (F.col("id") * 30 * S).alias("t_us"), F.array(F.col("id").cast("string")).alias("tokens"), (F.col("id") % 100 == 0).alias("is_keyframe"))
+    gate = folds.change_gate(df).withColumn("task", F.spark_partition_id())
+    memo = folds.memo_skip(df, lambda one, many: [True] * len(many), "tokens").withColumn("task", F.spark_partition_id())
+    assert gate.select("task").distinct().count() == memo.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize(("alike", "keys"), [(lambda i: i, 10**9), (lambda i: 0, 10**9), (lambda i: i // 37, 10**9), (lambda i: 0, 2), (lambda i: i // 3, 50)])
+def test_memo_compares_each_frame_a_few_times(spark, alike, keys):
+    rows = [("v", i, i * S, i % keys == 0, alike(i)) for i in range(1, 2000)]
+    compared = spark.sparkContext.accumulator(0)
+
+    def similar(one, many):
+        compared.add(len(many))
+        return many == one
+
+    got = folds.memo_skip(spark.createDataFrame(rows, "video string, ord long, t_us long, is_keyframe boolean, x long").repartition(5), similar, "x").collect()
+    last, want = None, {}
+    for _, i, _, key, x in rows:
+        last = (i, x) if last is None or key or x != last[1] else last
+        want[i] = last[0]
+    assert {r.ord: r.source_ord for r in got} == want and compared.value < 3 * len(rows)
+
+
+def test_rows_of_null_videos_and_times_stay(spark):
+    rows = [("v", 1, 5 * S, "a"), ("v", 2, 9 * S, "b"), (None, 3, 1 * S, "a"), (None, 4, 4000 * S, "b"), ("v", 5, None, "c")]
+    df = spark.createDataFrame(rows, "video string, ord long, t_us long, x string")
+    assert sorted(r.ord for r in runs.collapse_runs(df, ["x"]).collect()) == [1, 2, 3, 4, 5]
+    assert {r.ord: r.n for r in stretches.numbered(df, "n").collect()} == {3: 0, 4: 1, 5: 0, 1: 1, 2: 2}
+    ends = spark.createDataFrame([("v", 20 * S), (None, 5000 * S)], "video string, timeline_end_us long")
+    assert {r.ord: r.end_us for r in runs.with_ends(df, ends).collect()} == {5: 5 * S, 1: 9 * S, 2: 20 * S, 3: 4000 * S, 4: 5000 * S}
+    found = temporal.as_of(df, spark.createDataFrame([(None, 0, 3 * S, "n"), ("v", 1, 6 * S, "m"), ("v", 2, None, "never")], "video string, ord long, t_us long, y string"), ["y"], 5 * S)
+    assert {r.ord: (r["__back"] and r["__back"].y, r["__ahead"] and r["__ahead"].y) for r in found.collect()} == {1: (None, "m"), 2: ("m", None), 3: (None, "n"), 4: ("n", None), 5: (None, None)}
+    # the same rows as plain windows over whole videos give
+    w = Window.partitionBy("video").orderBy("t_us", "ord")
+    plain = {r.ord: (r.n, r.e) for r in df.select("ord", (F.row_number().over(w) - 1).alias("n"), F.lead("t_us").over(w).alias("e")).collect()}
+    assert {r.ord: r.n for r in stretches.numbered(df, "n").collect()} == {k: n for k, (n, _) in plain.items()}
+    assert {r.ord: r["__after"] and r["__after"].t_us for r in stretches.beside(df, after=["t_us"]).collect()} == {k: e for k, (_, e) in plain.items()}
+
+
 def test_chunks_tile_and_own_once(spark):
     d = spark.createDataFrame([("a", 3900 * S), ("b", 3600 * S), ("c", 10 * S)], "video string, duration_us long")
     out = chunking.chunk_spans(d, 1800 * S, 10 * S).orderBy("video", "k").collect()
