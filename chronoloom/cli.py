@@ -75,15 +75,8 @@ def log(spark: SparkSession, args: argparse.Namespace) -> None:
     videos = spark.createDataFrame([(stem(p), p) for p in args.videos], "video string, path string")
     ports = recordings.Ports(args.recognise, args.describe, args.transcribe, args.summarise, args.similar and args.similar())
     entries, lost = recordings.worklogs(videos, f"{args.out}/frames", ports, told)
-    for name in [stem(p) for p in args.videos]:
-        own, place = entries.filter(F.col("video") == name), f"{args.out}/{name}"
-        for kind in args.format or FORMATS[:2]:
-            if kind == "jsonl":
-                worklogs.write_jsonl(own, f"{place}/worklog.jsonl")
-            elif kind == "md":
-                worklogs.write_markdown(own, f"{place}/worklog.md")
-            elif len(args.videos) == 1:  # a manual is of one recording
-                worklogs.write_manual(own, f"{place}/manual.md", name)
+    kinds = [k for k in args.format or FORMATS[:2] if k != "manual" or len(args.videos) == 1]  # a manual is of one recording
+    worklogs.write_recordings(entries, args.out, kinds)
     for row in lost.orderBy("video").collect():
         print(f"no frame in {row['path']}", file=sys.stderr)
 

@@ -124,36 +124,56 @@ def _first(lines: Column, found) -> Column:
     return F.get(F.filter(F.transform(lines, found), lambda x: x.isNotNull()), F.lit(0))
 
 
-def file_in_line(line: Column) -> Column:
-    """The first file name of a line, null where it lies inside a url.
+def _file_found(line: Column) -> Column:
+    """A line, the first file name in it, and where that begins."""
+    return F.struct(line.alias("line"), F.regexp_extract(line, FILE, 1).alias("name"), (F.regexp_instr(line, F.lit(FILE)) - 1).alias("begin"))
+
+
+def _file_outside_urls(x: Column) -> Column:
+    """A found file name, null where it lies inside a url.
 
     A url's place is the length of all that stands before it: the parts between urls and
     the urls themselves, in turn.
     """
-    name = F.regexp_extract(line, FILE, 1)
-    begin = F.regexp_instr(line, F.lit(FILE)) - 1
-    end = begin + F.length(name)
-    gaps, urls = F.split(line, URL, -1), F.regexp_extract_all(line, F.lit(URL), F.lit(0))
+    gaps, urls = F.split(x["line"], URL, -1), F.regexp_extract_all(x["line"], F.lit(URL), F.lit(0))
+    end = x["begin"] + F.length(x["name"])
     spans = F.transform(urls, lambda u, i: F.struct(
         F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)).alias("gap"),
         F.aggregate(F.slice(urls, F.lit(1), i), F.lit(0), lambda n, g: n + F.length(g)).alias("before"), F.length(u).alias("size"),
     ))
-    inside = F.exists(spans, lambda s: (s["gap"] + s["before"] <= begin) & (end <= s["gap"] + s["before"] + s["size"]))
-    return F.when((F.length(name) > 0) & ~inside, name)
+    inside = F.exists(spans, lambda s: (s["gap"] + s["before"] <= x["begin"]) & (end <= s["gap"] + s["before"] + s["size"]))
+    return F.struct(x["line"].alias("line"), F.when(~inside, x["name"]).alias("name"))
+
+
+def _named_files(lines: Column) -> Column:
+    """(line, name) of the lines with a file name; the costly rules see only lines with a dot."""
+    likely = F.filter(lines, lambda x: x.contains("."))
+    found = F.filter(F.transform(likely, _file_found), lambda x: x["begin"] >= 0)
+    return F.filter(F.transform(found, _file_outside_urls), lambda x: x["name"].isNotNull())
+
+
+def file_in_line(line: Column) -> Column:
+    """The first file name of a line, null where it lies inside a url."""
+    return F.get(_named_files(F.array(line)), F.lit(0))["name"]
 
 
 def find_location(lines: Column) -> Column:
-    return _first(lines, lambda x: F.coalesce(*[truthy(F.regexp_extract(strip(x), p, 1)) for p in LOCATIONS]))
+    """The first location that a line shows; only lines with a decimal digit can."""
+    likely = F.filter(lines, lambda x: x.rlike(r"\p{Nd}"))
+    return _first(F.transform(likely, strip), lambda x: F.coalesce(*[truthy(F.regexp_extract(x, p, 1)) for p in LOCATIONS]))
 
 
 def screen_context(lines: Column) -> Column:
     """app, resource and location that lines show: the first line with a file name, else the first url."""
-    named = F.transform(lines, lambda x: F.struct(file_in_line(x).alias("name"), x.alias("line")))
-    file = F.get(F.filter(named, lambda s: s["name"].isNotNull()), F.lit(0))
-    app = truthy(strip(F.regexp_extract(strip(file["line"]), TITLE_BAR, 2)))
-    url = _first(lines, lambda x: truthy(F.regexp_extract(x, URL, 1)))
-    resource = F.coalesce(file["name"], sanitize_url(url))
-    return F.struct(app.alias("app"), resource.alias("resource"), find_location(lines).alias("location"))
+
+    def context(file: Column) -> Column:
+        app = truthy(F.regexp_extract(strip(file["line"]), TITLE_BAR, 2))
+        url = _first(F.filter(lines, lambda x: x.contains(".") | x.contains("://")), lambda x: truthy(F.regexp_extract(x, URL, 1)))
+        resource = F.coalesce(file["name"], F.when(file["name"].isNull(), sanitize_url(url)))
+        return F.struct(truthy(strip(app)).alias("app"), resource.alias("resource"), find_location(lines).alias("location"))
+
+    # as the single element of an array the file is found once, however often it is named
+    return F.get(F.transform(F.array(F.get(_named_files(lines), F.lit(0))), context), F.lit(0))
 
 
 def merge_resource(seen: Column, guessed: Column) -> Column:
@@ -175,21 +195,43 @@ def enriched(seen: Column, app: Column, resource: Column, location: Column) -> C
     )
 
 
-def person_name(line: Column) -> Column:
-    """The person whose label a line is, null if it is none."""
-    line = strip(line)
-    plain = strip(F.regexp_replace(line, r"[（(][ァ-ヴー]+[）)]$", ""))
-    plain = F.when(plain.endswith("さん") & (F.length(plain) > 2), F.regexp_replace(plain, "さん$", "")).otherwise(plain)
+def _staged(lines: Column, *steps) -> Column:
+    """lines through one transform a step: what a step makes is computed once, however often the next one names it."""
+    for step in steps:
+        lines = F.transform(lines, step)
+    return lines
+
+
+def _without_reading(line: Column) -> Column:
+    """A stripped line, and the same without a reading in parentheses behind it."""
+    return F.struct(line.alias("line"), F.when(line.rlike("[）)]$"), strip(F.regexp_replace(line, r"[（(][ァ-ヴー]+[）)]$", ""))).otherwise(line).alias("plain"))
+
+
+def _without_title(x: Column) -> Column:
+    plain = x["plain"]
+    return F.struct(x["line"].alias("line"), F.when(plain.endswith("さん") & (F.length(plain) > 2), F.regexp_replace(plain, "さん$", "")).otherwise(plain).alias("plain"))
+
+
+def _named(x: Column) -> Column:
+    plain = x["plain"]
     letters = F.length(F.regexp_replace(plain, rf"(?:・|{SPACE})", ""))
-    return (
-        F.when(F.upper(F.regexp_replace(line, SPACE, "")).isin(*NAME_DENIED), None)
-        .when(plain.rlike("^[A-Z]{2}$"), F.when(~plain.isin(*INITIALS_DENIED), plain))
+    name = (
+        F.when(plain.rlike("^[A-Z]{2}$"), F.when(~plain.isin(*INITIALS_DENIED), plain))
         .when(plain.rlike(rf"^[一-鿿]{{1,4}}(?:・|{SPACE})?[一-鿿]{{1,4}}$") & letters.between(2, 5), plain)
-    )
+    )
+    return F.when(name.isNotNull() & ~F.upper(F.regexp_replace(x["line"], SPACE, "")).isin(*NAME_DENIED), name)
 
 
 def name_labels(lines: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(lines, person_name), lambda x: x.isNotNull()))
+    """The people whose labels lines are: of lines that begin like a name, the rest of the rules tell."""
+    likely = F.filter(lines, lambda x: x.rlike(rf"^{SPACE}*(?:[A-Z]{{2}}|[一-鿿])"))
+    found = _staged(likely, strip, _without_reading, _without_title, _named)
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+
+def person_name(line: Column) -> Column:
+    """The person whose label a line is, null if it is none."""
+    return F.get(name_labels(F.array(line)), F.lit(0))
 
 
 def speech_line(speaker: Column, text: Column) -> Column:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -36,6 +37,8 @@ class Folder:
         self.path = str(path).rstrip("/")
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.files = self._at("").getFileSystem(self.conf)
+        # beside files of the local system no checksum files are kept: contents have digests of their own
+        self.bare = self.files.getRawFileSystem() if hasattr(self.files, "getRawFileSystem") and self.files.getScheme() == "file" else self.files
 
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -43,20 +46,24 @@ class Folder:
     def names(self) -> list[str]:
         if not self.files.exists(self._at("")):
             return []
-        return sorted(n for x in self.files.listStatus(self._at("")) if not (n := x.getPath().getName()).startswith("."))
+        return sorted(x.getPath().getName() for x in self.bare.listStatus(self._at("")))
 
     def read(self, name: str) -> str:
-        stream = self.files.open(self._at(name))
+        """A small file's text; ValueError where it cannot be read."""
         try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+            stream = self.bare.open(self._at(name))
+            try:
+                return bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+        except (Py4JJavaError, UnicodeDecodeError) as e:
+            raise ValueError(f"{name} cannot be read: {e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else e}") from None
 
     def replace(self, name: str, text: str) -> None:
         """Replace a file by text through a synced sibling and one rename; nothing stays behind after a failure."""
         sibling = f".{name}.{uuid.uuid4().hex}"
         try:
-            stream = self.files.create(self._at(sibling), False)
+            stream = self.bare.create(self._at(sibling), False)
             try:
                 stream.write(bytearray(text.encode()))
                 stream.hsync()

@@ -71,7 +71,9 @@ def load(spark: SparkSession, directory: str | Path, model: str | None = None) -
     if MANIFEST not in folder.names():
         raise FileNotFoundError(f"no index in {directory}")
     manifest = json.loads(folder.read(MANIFEST))
-    name = manifest["generation"]
+    if not isinstance(manifest, dict) or not manifest.keys() >= {"model", "generation", "count", "files"}:
+        raise ValueError("the manifest is incomplete")
+    name = str(manifest["generation"])
     if not GENERATION.fullmatch(name):
         raise ValueError(f"generation {name!r} leads out of the index")
     if model is not None and manifest["model"] != model:

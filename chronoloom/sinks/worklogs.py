@@ -1,13 +1,12 @@
 """Work logs as JSON lines, as Markdown and as a manual.
 
-Lines and sections are made by column expressions; a log of one recording is then
-streamed to the driver in order and written at once. Many recordings go through
-write_partitioned(), which stays distributed.
+Lines and sections are made by column expressions. The files of many recordings are written
+by write_recordings() in one job; a single log may be streamed to the driver in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 from pathlib import Path
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import text
 from chronoloom.operators.runs import dwell_by_app
 from chronoloom.operators.stretches import numbered
+from chronoloom.sinks import recording_files
 from chronoloom.sinks.files import write_atomic
 
 SECOND = 1e6
@@ -74,9 +74,12 @@ def write_jsonl(entries: DataFrame, path: str | Path) -> None:
     write_atomic(path, chain(_parted(_in_order(entries, json_line())), ["\n"]))
 
 
+APP_TABLE = "\n## アプリ別滞在時間\n\n| アプリ | 滞在時間 |\n|---|---|\n"
+
+
 def app_table(entries: DataFrame) -> str:
     rows = dwell_by_app(entries).orderBy(F.desc("total_us"), "first_ord").select("app", text.duration_ja(F.col("total_us") / SECOND)).collect()
-    return "\n## アプリ別滞在時間\n\n| アプリ | 滞在時間 |\n|---|---|\n" + "".join(f"| {a} | {d} |\n" for a, d in rows) if rows else ""
+    return APP_TABLE + "".join(f"| {a} | {d} |\n" for a, d in rows) if rows else ""
 
 
 def write_markdown(entries: DataFrame, path: str | Path) -> None:
@@ -88,6 +91,37 @@ def write_manual(entries: DataFrame, path: str | Path, source: str) -> None:
     write_atomic(path, chain([f"# {source} 手順書\n\n"], _parted(_in_order(steps, _step()))))
 
 
+def parts_of_logs(entries: DataFrame, kinds: Sequence[str] = ("jsonl", "md")) -> DataFrame:
+    """(file, place, nth, part) of every recording's files, <video>/worklog.jsonl, worklog.md and manual.md, as one table.
+
+    place 0 is a file's head, 1 its entries by nth, 2 its tail. The text is what
+    write_jsonl(), write_markdown() and write_manual() write for one recording.
+    """
+    name = {"jsonl": "worklog.jsonl", "md": "worklog.md", "manual": "manual.md"}
+    steps = numbered(entries.filter(F.col("video").isNotNull()), "nth").withColumn("nth", F.col("nth") + 1)
+    apart = F.when(F.col("nth") > 1, "\n").otherwise("")
+    body = {"jsonl": F.concat(json_line(), F.lit("\n")), "md": F.concat(apart, _section()), "manual": F.concat(apart, _step())}
+    of = lambda kind: F.concat("video", F.lit(f"/{name[kind]}"))
+    written = F.explode(F.array(*[F.struct(of(k).alias("file"), F.lit(1).alias("place"), F.col("nth"), body[k].alias("part")) for k in kinds]))
+    out = steps.select(written.alias("p")).select("p.*")
+    heads = {"md": F.lit("# 作業ログ\n\n"), "manual": F.concat(F.lit("# "), F.col("video"), F.lit(" 手順書\n\n"))}
+    videos, first = entries.filter(F.col("video").isNotNull()).select("video").distinct(), F.lit(0).cast("long")
+    for kind in set(kinds) & heads.keys():
+        out = out.unionByName(videos.select(of(kind).alias("file"), F.lit(0).alias("place"), first.alias("nth"), heads[kind].alias("part")))
+    if "md" in kinds:
+        spent = dwell_by_app(entries.filter(F.col("video").isNotNull()), "video")
+        row = F.concat(F.lit("| "), F.col("app"), F.lit(" | "), text.duration_ja(F.col("total_us") / SECOND), F.lit(" |\n"))
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("total_us")).alias("total"), "first_ord", row.alias("row"))))
+        tails = spent.groupBy("video").agg(F.concat(F.lit(APP_TABLE), F.array_join(F.transform(rows, lambda r: r["row"]), "")).alias("part"))
+        out = out.unionByName(tails.select(of("md").alias("file"), F.lit(2).alias("place"), first.alias("nth"), "part"))
+    return out
+
+
+def write_recordings(entries: DataFrame, folder: str | Path, kinds: Sequence[str] = ("jsonl", "md")) -> None:
+    """The named files of all recordings, written by one job; none of them is seen in part."""
+    recording_files.save(parts_of_logs(entries, kinds), str(folder), "place", "nth")
+
+
 def frame_name(t_us: Column, idx: Column) -> Column:
     """A frame's file name; the index keeps frames of one second apart."""
     return F.concat(F.lit("frames/frame_"), F.translate(text.hms(t_us / SECOND), ":", ""), F.lit("_"), idx.cast("string"), F.lit(".png"))

@@ -36,6 +36,28 @@ def test_jsonl_round_trip(spark, tmp_path):
         read_worklogs(spark, str(path))
 
 
+def test_lines_of_a_file_over_several_splits_have_their_numbers(spark, tmp_path):
+    paths = [tmp_path / "rec" / "a.jsonl", tmp_path / "b c" / "b.jsonl"]
+    rows = [[json.dumps({"t": f"{k}-{i}", "action": "x" * (i % 50)}) if i % 7 else "" for i in range(n)] for k, n in enumerate((900, 40))]
+    for path, lines in zip(paths, rows, strict=True):
+        path.parent.mkdir()
+        path.write_bytes("\r\n".join(lines).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        read = read_worklogs(spark, *map(str, paths))
+        assert read.rdd.getNumPartitions() > 5
+        got = {(r.file.rpartition("/")[2], r.line): r.t for r in read.collect()}
+        ids = sorted(r.doc_id for r in search_documents(read).collect())
+        with open(paths[0], "ab") as f:
+            f.write(b"\n[1\n\n")
+        with pytest.raises(ValueError, match=r"a\.jsonl:901$"):
+            read_worklogs(spark, *map(str, paths))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(p.name, i + 1): f"{k}-{i}" for k, (p, lines) in enumerate(zip(paths, rows, strict=True)) for i, line in enumerate(lines) if line}
+    assert ids == sorted(f"{p.parent.name}/{p.name}:{i}" for p, lines in zip(paths, rows, strict=True) for i in range(sum(map(bool, lines))))
+
+
 def test_markdown_and_manual(spark, tmp_path):
     worklogs.write_markdown(entries(spark), tmp_path / "w.md")
     out = (tmp_path / "w.md").read_text()
@@ -46,6 +68,44 @@ def test_markdown_and_manual(spark, tmp_path):
     assert out.startswith("# rec 手順書\n\n## Step 1: 開く\n") and "対象: Excel — a.xlsx（Sheet1）\n開く。見る\n" in out and out.count("閉じる") == 1
 
 
+def test_many_recordings_in_one_job_as_one_by_one(spark, tmp_path):
+    one = entries(spark)
+    many = one.withColumn("video", F.explode(F.array(*[F.lit(f"rec {i}") for i in range(300)]))).repartition(7)
+    worklogs.write_recordings(many.unionByName(one.withColumn("video", F.lit(None).cast("string"))), tmp_path / "out", ["jsonl", "md", "manual"])
+    worklogs.write_jsonl(one, tmp_path / "w.jsonl")
+    worklogs.write_markdown(one, tmp_path / "w.md")
+    want = {"worklog.jsonl": (tmp_path / "w.jsonl").read_text(), "worklog.md": (tmp_path / "w.md").read_text()}
+    folders = list((tmp_path / "out").iterdir())
+    assert len(folders) == 300
+    for folder in folders:
+        worklogs.write_manual(one, tmp_path / "m.md", folder.name) if folder.name == "rec 7" else None
+        assert {p.name for p in folder.iterdir()} == {"worklog.jsonl", "worklog.md", "manual.md"}
+        assert all((folder / name).read_text() == text for name, text in want.items())
+    assert (tmp_path / "out" / "rec 7" / "manual.md").read_text() == (tmp_path / "m.md").read_text()
+
+
+def test_a_failed_or_killed_task_leaves_no_half_file(spark, tmp_path):
+    from chronoloom.sinks import recording_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f").write_text("old")
+    rows = spark.range(40).select(F.concat(F.lit("abcd"[0]), F.lit("/f")).alias("file"), F.col("id"), F.when(F.col("id") == 35, F.raise_error(F.lit("broken"))).otherwise("x").alias("part"))
+    with pytest.raises(Exception, match="broken"):
+        recording_files.save(rows, str(tmp_path), "id")
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["f"] and (tmp_path / "a" / "f").read_text() == "old"
+    # an attempt that was killed has left its hidden file: the job's commit removes it
+    writer = recording_files.RecordingWriter(str(tmp_path))
+    writer.write(iter([("a/f", "half")]))
+    done = writer.write(iter([("a/f", "new "), ("a/f", "text"), ("b/g", None)]))
+    assert (tmp_path / "a" / "f").read_text() == "old"
+    writer.commit([done, None])
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["f", "g"] and (tmp_path / "a" / "f").read_text() == "new text"
+    again = recording_files.RecordingWriter(f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="several tasks"):
+        again.commit([again.write(iter([("a/f", "1")])), again.write(iter([("a/f", "2")]))])
+    assert (tmp_path / "a" / "f").read_text() == "new text" and len(list((tmp_path / "a").iterdir())) == 1
+
+
 def test_atomic_write_leaves_nothing_behind(tmp_path, monkeypatch):
     files.write_atomic(tmp_path / "f", "old")
     monkeypatch.setattr(os, "replace", lambda *a: (_ for _ in ()).throw(OSError("full")))
@@ -77,9 +137,11 @@ def test_index_generations(spark, tmp_path, monkeypatch):
     index_store.save(index_store.build(docs.limit(0)), tmp_path, "m")
     assert index_store.load(spark, tmp_path).count() == 0 and len(list(tmp_path.glob("gen-*"))) == 1
     manifest = json.loads((tmp_path / "manifest.json").read_text())
-    (tmp_path / "manifest.json").write_text(json.dumps(manifest | {"generation": "../x"}))
-    with pytest.raises(ValueError, match="out of the index"):
-        index_store.load(spark, tmp_path)
+    assert sorted(p.name for p in tmp_path.iterdir()) == [manifest["generation"], "manifest.json"]
+    for text, what in ((json.dumps(manifest | {"generation": "../x"}), "out of the index"), ("{", None), (json.dumps({"model": "m"}), "manifest")):
+        (tmp_path / "manifest.json").write_text(text)
+        with pytest.raises(ValueError, match=what):
+            index_store.load(spark, tmp_path)
 
 
 def test_ports_isolate_failures(spark):
