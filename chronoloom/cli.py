@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
+import shutil
 import sys
 from collections.abc import Callable
 
@@ -22,6 +24,7 @@ from chronoloom import models
 from chronoloom.operators.folds import GateConfig
 from chronoloom.plans import recordings
 from chronoloom.sinks import index_store, worklogs
+from chronoloom.sources import media
 from chronoloom.sources.worklogs import read_worklogs, search_documents
 
 FORMATS = ("jsonl", "md", "manual")
@@ -42,11 +45,11 @@ def parser() -> argparse.ArgumentParser:
     log.add_argument("--format", choices=FORMATS, action="append")
     for name in ("recognise", "describe"):
         log.add_argument(f"--{name}", type=factory, required=True)
-    for name in ("transcribe", "summarise", "similar"):
+    for name in ("transcribe", "hear", "summarise", "similar"):
         log.add_argument(f"--{name}", type=factory)
-    for name in ("fps", "scene-threshold", "chunk-minutes", "gate-similarity", "gate-least-gap", "gate-most-gap"):
+    for name in ("fps", "scene-threshold", "chunk-minutes", "gate-similarity", "gate-least-gap", "gate-most-gap", "most-no-speech", "least-logprob", "tolerance", "switch-tolerance", "alike"):
         log.add_argument(f"--{name}", type=float)
-    for name in ("keyframes-only", "attribute", "remove-fillers"):
+    for name in ("keyframes-only", "attribute", "remove-fillers", "filter-speech", "save-frames"):
         log.add_argument(f"--{name}", action=argparse.BooleanOptionalAction)
     for command, what in (("index", "logs"), ("query", "text")):
         add = commands.add_parser(command)
@@ -65,20 +68,32 @@ def options(args: argparse.Namespace) -> recordings.Options:
     given = {k: v for k, v in given.items() if v is not None}
     return recordings.preset(
         args.mode, gate=GateConfig(**given) if given else None, fps=args.fps, scene_threshold=args.scene_threshold, chunk_minutes=args.chunk_minutes,
-        keyframes_only=args.keyframes_only, attribute=args.attribute, remove_fillers=args.remove_fillers,
+        keyframes_only=args.keyframes_only, attribute=args.attribute, remove_fillers=args.remove_fillers, filter_speech=args.filter_speech,
+        save_frames=args.save_frames, most_no_speech=args.most_no_speech, least_logprob=args.least_logprob, tolerance=args.tolerance, switch_tolerance=args.switch_tolerance, alike=args.alike,
     )
 
 
+def ready(videos: list[str], programs: tuple[str, ...] = media.PROGRAMS) -> None:
+    """FileNotFoundError where a recording or a program that decodes it is not there, before anything runs."""
+    for path in videos:
+        if "://" not in path and not os.path.isfile(path):
+            raise FileNotFoundError(f"no recording at {path}")
+    for program in programs:
+        if shutil.which(program) is None:
+            raise FileNotFoundError(f"{program} is not installed")
+
+
 def log(spark: SparkSession, args: argparse.Namespace) -> None:
     stem = lambda p: p.rpartition("/")[2].rpartition(".")[0] or p.rpartition("/")[2]
     told = options(args)
     videos = spark.createDataFrame([(stem(p), p) for p in args.videos], "video string, path string")
-    ports = recordings.Ports(args.recognise, args.describe, args.transcribe, args.summarise, args.similar and args.similar())
-    entries, lost = recordings.worklogs(videos, f"{args.out}/frames", ports, told)
+    ports = recordings.Ports(args.recognise, args.describe, args.transcribe, args.summarise, args.similar and args.similar(), args.hear)
+    ready(args.videos)
+    run = recordings.worklogs(videos, f"{args.out}/.decoded", ports, told, images_to=args.out)
     kinds = [k for k in args.format or FORMATS[:2] if k != "manual" or len(args.videos) == 1]  # a manual is of one recording
-    worklogs.write_recordings(entries, args.out, kinds)
-    for row in lost.orderBy("video").collect():
-        print(f"no frame in {row['path']}", file=sys.stderr)
+    worklogs.write_recordings(run.entries, args.out, kinds)
+    for line in run.warnings():
+        print(line, file=sys.stderr)
 
 
 def index(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Collection, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,15 @@ def attempted(call: Callable, *args, attempts: int = ATTEMPTS, retry: Collection
     return None
 
 
+def answered(call: Callable, *args, attempts: int = ATTEMPTS) -> str:
+    """The call's text; where it comes back empty, as from a model that has just started, it is asked again, attempts times in all."""
+    for _ in range(attempts):
+        content = attempted(call, *args) or ""
+        if content.strip():
+            break
+    return content
+
+
 def recognise(factory: Callable[[], Callable[[str], list[str]]]) -> Callable[[DataFrame], DataFrame]:
     """Adds lines to frames with a path; null where the model fails."""
 
@@ -85,7 +95,7 @@ def summary_prompt(task: str, lines: Column) -> Column:
 
 
 def describe(frames: DataFrame, factory: Callable[[], Callable[[str, str], str]]) -> DataFrame:
-    """frames (path, prompt) with the five fields of the model's reply; a failed call is an action that says so."""
+    """frames (path, prompt) with the five fields of the model's reply; an empty one is asked for again, a failed call is an action that says so."""
 
     key = content_key(factory)
 
@@ -96,7 +106,7 @@ def describe(frames: DataFrame, factory: Callable[[], Callable[[str, str], str]]
             rows = []
             for path, text in zip(paths, prompts, strict=True):
                 try:
-                    rows.append((attempted(model, path, text) or "", None))
+                    rows.append((answered(model, path, text), None))
                 except Exception as e:
                     rows.append((None, type(e).__name__))
             yield pd.DataFrame(rows, columns=["content", "error"])
@@ -115,22 +125,45 @@ def transcribe(chunks: DataFrame, factory: Callable[[], Callable[[str, int, int]
     A chunk that fails gives one row with failed set, so that lost ranges can be told.
     """
     key = content_key(factory)
+    return _segments(chunks, lambda: loaded(factory, key), lambda c: c.path, ["path"])
+
+
+def _segments(chunks: DataFrame, load: Callable[[], Callable], source: Callable, columns: list[str]) -> DataFrame:
+    """Segments as load()'s callable hears them in source(chunk), from media_start on and for media_len."""
     schema = "video string, chunk_start long, chunk_end long, failed boolean, start_us long, end_us long, text string, no_speech_prob double, avg_logprob double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loaded(factory, key)
+        model = load()
         for batch in batches:
             rows = []
             for c in batch.itertuples(index=False):
                 try:
-                    found = attempted(model, c.path, c.media_start, c.media_len)
+                    found = attempted(model, source(c), c.media_start, c.media_len)
                     rows += [(c.video, c.chunk_start, c.chunk_end, False, s["start_us"] + c.media_start, s["end_us"] + c.media_start, s["text"], s.get("no_speech_prob"), s.get("avg_logprob")) for s in found]
                 except Exception:
                     rows.append((c.video, c.chunk_start, c.chunk_end, True, None, None, None, None, None))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
             yield out.astype({"start_us": "Int64", "end_us": "Int64", "no_speech_prob": "Float64", "avg_logprob": "Float64"})
 
-    return chunks.select("video", "path", "chunk_start", "chunk_end", "media_start", "media_len").mapInPandas(run, schema)
+    return chunks.select("video", *columns, "chunk_start", "chunk_end", "media_start", "media_len").mapInPandas(run, schema)
+
+
+def heard(chunks: DataFrame, factory: Callable[[], Callable[[np.ndarray, int], list[dict]]]) -> DataFrame:
+    """transcribe() for models that take 16-bit samples and their rate: chunks have rate and samples, null where there is no sound to be had."""
+    key = content_key(factory)
+
+    def spans() -> Callable:
+        model = loaded(factory, key)
+
+        def hear(sound: tuple, start: int, length: int) -> list[dict]:
+            rate, samples = sound
+            if samples is None:
+                raise ValueError("no sound")
+            return model(np.frombuffer(samples, "<i2"), int(rate))
+
+        return hear
+
+    return _segments(chunks, spans, lambda c: (c.rate, c.samples), ["rate", "samples"])
 
 
 def summarise(entries: DataFrame, factory: Callable[[], Callable[[list[str]], str | None]]) -> DataFrame:

@@ -211,18 +211,19 @@ def nearby(most: float) -> Callable:
 
 
 def keyframes_only(frames: DataFrame, recognise: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """frames with lines: keyframes are recognised, a failed one and all others get an empty array; the others never reach the model."""
+    """frames with lines and unread: keyframes are recognised, a failed one (unread) and all others get an empty array; the others never reach the model."""
     key = F.coalesce(F.col("is_keyframe"), F.lit(False))
     empty = F.array().cast("array<string>")
-    seen = recognise(frames.filter(key)).withColumn("lines", F.coalesce("lines", empty))
-    return seen.unionByName(frames.filter(~key).withColumn("lines", empty))
+    seen = recognise(frames.filter(key)).withColumn("unread", F.col("lines").isNull()).withColumn("lines", F.coalesce("lines", empty))
+    return seen.unionByName(frames.filter(~key).withColumns({"unread": F.lit(False), "lines": empty}))
 
 
 def recognised(frames: DataFrame, recognise: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """frames (with source_ord) and lines: only distinct sources are recognised, their lines joined back.
+    """frames (with source_ord), lines and unread: only distinct sources are recognised, their lines joined back.
 
     recognise adds ``lines`` to frames; a failed one gives null. Later frames do not
-    inherit a failure: they get an empty array, as the failed frame itself does.
+    inherit a failure: they get an empty array, as the failed frame itself does, which alone is unread.
     """
     own = recognise(frames.filter(F.col("source_ord") == F.col("ord"))).select("video", F.col("ord").alias("source_ord"), "lines")
-    return frames.join(own, ["video", "source_ord"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    out = frames.join(own, ["video", "source_ord"], "left").withColumn("unread", F.col("lines").isNull() & (F.col("source_ord") == F.col("ord")))
+    return out.withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))

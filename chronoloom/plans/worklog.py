@@ -19,7 +19,9 @@ from chronoloom.schemas import names as schema_names
 from chronoloom.sinks.scratch import written
 from chronoloom.sinks.worklogs import frame_name
 
-TOLERANCE_US, MARGIN_US = 2_000_000, 15_000_000
+TOLERANCE_US, MARGIN_US, GRACE_US = 2_000_000, 15_000_000, 3_000_000
+#: The most no-speech probability and the least log probability of speech that is kept.
+SPEECH = (0.6, -1.0)
 
 
 def merged(descriptions: DataFrame, ocr: DataFrame, segments: DataFrame, tolerance_us: int = TOLERANCE_US) -> DataFrame:
@@ -89,6 +91,7 @@ def copied(entries: DataFrame, frames: DataFrame, directory: str) -> DataFrame:
 def generate(
     frames: DataFrame, segments: DataFrame, recognise: Callable, describe: Callable, *, template: str = "%s\n%s", summarise: Callable | None = None,
     gate: folds.GateConfig | None = None, keyframes_only: bool = False, similar: Callable | None = None, value: str = "path", attribute: bool = False, remove_fillers: bool = True,
+    tolerance_us: int = TOLERANCE_US, grace_us: int = GRACE_US, speech: tuple[float, float] | None = SPEECH, images: str | None = None, told: dict | None = None,
 ) -> DataFrame:
     """Work logs of all recordings in frames (schemas.FRAMES) and segments (schemas.SEGMENTS), as entries.
 
@@ -97,19 +100,37 @@ def generate(
     Unreliable speech is left out, speakers are taken from the screen if attribute, and
     keyframes that pass the gate are described, enriched, merged, pictured, summarised.
     What the models say is written to the shared folder, so that none is asked twice.
+    speech: the most no-speech probability and the least log probability of a segment that is
+    kept, None for all segments. images: a folder that the entries' images are copied to;
+    without it entries name none. told gets the run's counts: what was read, described,
+    copied and summarised, and how often that failed.
     """
+    told = {} if told is None else told
     frames = frames.withColumn("ord", F.col("idx"))
     seen = models.recognise(recognise)
     lines = folds.keyframes_only(frames, seen) if keyframes_only else folds.recognised(folds.memo_skip(frames, similar, value), seen)
-    ocr = written(lines.select("video", "ord", "t_us", "lines"), "lines")
-    said = reliable(segments, remove_fillers)
+    read = {"frames": F.count("*"), "frames_unread": F.count_if("unread")}
+    ocr = written(lines.select("video", "ord", "t_us", "lines", "unread"), "lines", told, **read).drop("unread")
+    said = reliable(segments, remove_fillers, *speech) if speech else segments
     if attribute:
-        said = temporal.attributed(said, observations(frames, ocr))
+        said = temporal.attributed(said, observations(frames, ocr), grace_us)
     asked = to_describe(frames, ocr, said, gate).withColumn("prompt", models.prompt(template, F.col("lines"), F.col("texts")))
-    told = models.describe(asked, describe).withColumnRenamed("app_guess", "app").select(*schema_names(DESCRIPTIONS))
-    told = written(enriched(written(told, "described"), ocr), "enriched")
-    entries = written(with_images(merged(told, ocr, said), frames), "entries")
-    return models.summarise(entries, summarise) if summarise else entries
+    described = models.describe(asked, describe).withColumnRenamed("app_guess", "app").select(*schema_names(DESCRIPTIONS))
+    failed = F.col("action").startswith(models.FAILED.partition("{")[0])
+    described = written(described, "described", told, descriptions=F.count("*"), descriptions_failed=F.count_if(failed))
+    described = written(enriched(described, ocr), "enriched")
+    entries = merged(described, ocr, said, tolerance_us)
+    if images is not None:
+        entries = copied(with_images(entries, frames), frames, images)
+        bad = F.col("warning").isNotNull()
+        entries = written(entries, "pictured", told, images=F.count("frame"), images_failed=F.count_if(bad), images_first_failure=F.min("warning")).drop("warning")
+    else:
+        entries = written(entries, "entries")
+    if summarise:
+        asked = F.coalesce(F.size("speech"), F.lit(0)) >= models.LEAST_LINES_TO_SUMMARISE
+        counts = {"summaries": F.count_if(asked), "summaries_failed": F.count_if(asked & F.col("summary").isNull())}
+        entries = written(models.summarise(entries, summarise), "summarised", told, **counts)
+    return entries
 
 
 def without_frames(videos: DataFrame, frames: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from chronoloom.sinks.recording_files import located
+
 # The format's signature, its channels by colour type, and the seven passes of interlaced images.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -146,14 +148,24 @@ def small(data: bytes | None) -> bytes | None:
         return None
 
 
-def with_small(frames: DataFrame, image: str = "image", out: str = "small") -> DataFrame:
-    """frames with their images' compared form instead of the images, a binary column of SIDE * SIDE grey samples."""
-    kept = [f for f in frames.schema if f.name != image]
+def small_of_file(path: str | None) -> bytes | None:
+    try:
+        files, inside = located(path or "")
+        with files.open_input_file(inside) as file:
+            return small(file.read())
+    except (OSError, ValueError):
+        return None
+
+
+def with_small(frames: DataFrame, image: str = "image", out: str = "small", by_path: bool = False) -> DataFrame:
+    """frames with their images' compared form, a binary column of SIDE * SIDE grey samples, instead of the images or, by_path, beside the paths of their files."""
+    kept = [f for f in frames.schema if by_path or f.name != image]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` binary"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns=image).assign(**{out: batch[image].map(small)})
+            found = pd.Series([(small_of_file if by_path else small)(x) for x in batch[image]], index=batch.index, dtype=object)
+            yield (batch if by_path else batch.drop(columns=image)).assign(**{out: found})
 
     return frames.mapInPandas(run, schema)
 

@@ -19,6 +19,7 @@ FPS, SCENE_THRESHOLD, LONG_EDGE = 0.5, 0.08, 1024
 TIMEOUTS = {"probe": 60, "frames": 3600, "audio": 1800}
 PTS = r"pts_time:([0-9]+(?:\.[0-9]+)?)"
 SAMPLE_RATE, TAIL = 16_000, 600
+PROGRAMS = ("ffmpeg", "ffprobe")
 
 
 class ProgramFailed(RuntimeError):
@@ -89,9 +90,10 @@ def told_duration(said: Column) -> Column:
 
 
 def listed_frames(files: DataFrame, fps: float = FPS) -> DataFrame:
-    """Frames of files (video, path) as a decoder numbers them: by the number in their names, from 0, with their times."""
-    number = F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("long")
-    out = numbered(files.withColumn("__number", number), "idx", order=["__number", "path"], width=STRETCH_IDS).drop("__number")
+    """Frames of files (video, path) as a decoder numbers them: by the number in their names, from 0, with their times. Files without one are no frames."""
+    number = F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).try_cast("long")
+    files = files.withColumn("__number", number).filter(F.col("__number").isNotNull())
+    out = numbered(files, "idx", order=["__number", "path"], width=STRETCH_IDS).drop("__number")
     return out.withColumn("t_us", F.round(F.col("idx") * (1e6 / fps)).cast("long"))
 
 
@@ -117,6 +119,25 @@ def decoded_frames(videos: DataFrame, directory: str, fps: float = FPS, run=run_
     return listed_frames(videos.select("video", "path").mapInPandas(decode, f"video {videos.schema['video'].dataType.simpleString()}, path string"), fps)
 
 
+def extracted_sound(videos: DataFrame, directory: str, run=run_program) -> DataFrame:
+    """videos (video, path) with sound: the WAV file under directory, which all tasks share, that a decoder made of each; null where it fails."""
+
+    @F.pandas_udf("string")
+    def extract(videos: pd.Series, paths: pd.Series) -> pd.Series:
+        def one(video: str, path: str) -> str | None:
+            out = Path(directory) / f"{hashlib.sha256(str(video).encode()).hexdigest()[:16]}.wav"
+            out.parent.mkdir(parents=True, exist_ok=True)
+            try:
+                run(audio_command(path, str(out)), TIMEOUTS["audio"])
+            except Exception:  # whatever the program or its stand-in raises
+                return None
+            return str(out)
+
+        return pd.Series([one(*x) for x in zip(videos, paths, strict=True)], dtype=object)
+
+    return videos.withColumn("sound", extract("video", "path"))
+
+
 def scene_logs(videos: DataFrame, threshold: float = SCENE_THRESHOLD, run=run_program) -> DataFrame:
     """What a decoder says of the scene changes in videos (video, path); null where it fails."""
 
