@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.vectors import l2_normalize, top_k
+from chronoloom.operators.stretches import STRETCH_IDS, numbered
 from chronoloom.sinks.files import Folder
+from chronoloom.sources.arrays import read_vectors
+from chronoloom.sources.worklogs import read_lines
 
 MANIFEST = "manifest.json"
 GENERATION = re.compile(r"gen-[0-9a-f]{32}")
+# The files and the documents' fields of indexes without generations.
+OLD_FILES = {"vectors": "vectors.npz", "documents": "documents.jsonl"}
+DOCUMENT = "doc_id string, text string, source string, t string, t_end string, duration_seconds double, app_guess string, action string"
 #: Vectors in a data file at most, so that one task can hash it.
 ROWS_A_FILE = 200_000
 
@@ -60,7 +66,7 @@ def save(index: DataFrame, directory: str | Path, model: str) -> str:
         folder.delete(name)
         raise
     for old in folder.names():
-        if GENERATION.fullmatch(old) and old != name:
+        if (GENERATION.fullmatch(old) and old != name) or old in OLD_FILES.values():
             folder.delete(old)
     return name
 
@@ -71,13 +77,15 @@ def load(spark: SparkSession, directory: str | Path, model: str | None = None) -
     if MANIFEST not in folder.names():
         raise FileNotFoundError(f"no index in {directory}")
     manifest = json.loads(folder.read(MANIFEST))
+    if isinstance(manifest, dict) and "model" in manifest and not manifest.keys() & {"generation", "files"}:
+        _of_model(manifest, model)
+        return _without_generations(spark, folder)
     if not isinstance(manifest, dict) or not manifest.keys() >= {"model", "generation", "count", "files"}:
         raise ValueError("the manifest is incomplete")
     name = str(manifest["generation"])
     if not GENERATION.fullmatch(name):
         raise ValueError(f"generation {name!r} leads out of the index")
-    if model is not None and manifest["model"] != model:
-        raise ValueError(f"the index is of model {manifest['model']}, not {model}")
+    _of_model(manifest, model)
     found = digests(spark, f"{folder.path}/{name}") if name in folder.names() else {}
     for file, facts in manifest["files"].items():
         if file not in found:
@@ -90,6 +98,32 @@ def load(spark: SparkSession, directory: str | Path, model: str | None = None) -
     return out
 
 
+def _of_model(manifest: dict, model: str | None) -> None:
+    if model is not None and manifest["model"] != model:
+        raise ValueError(f"the index is of model {manifest['model']}, not {model}")
+
+
+def _without_generations(spark: SparkSession, folder: Folder) -> DataFrame:
+    """An index of the layout before generations: vectors in an array file, documents as lines beside it, in the same order.
+
+    Neither side has a key: the n-th row belongs to the n-th line that is not blank, so both
+    are numbered, by ranges of the file and by its splits, and joined by number.
+    """
+    for name in OLD_FILES.values():
+        if name not in folder.names():
+            raise ValueError(f"data file {name} is missing")
+    vectors, rows = read_vectors(spark, f"{folder.path}/{OLD_FILES['vectors']}", "vectors")
+    lines, splits = read_lines(spark, f"{folder.path}/{OLD_FILES['documents']}")
+    if not splits.filter("bad IS NOT NULL").isEmpty():
+        raise ValueError("a document's line is malformed")
+    documents = numbered(lines.filter(F.trim("value") != ""), "nth", "file", ["line"], STRETCH_IDS)
+    held = documents.count()
+    if held != rows:
+        raise ValueError(f"{rows} vectors, but {held} documents")
+    parsed = documents.select("nth", F.from_json("value", DOCUMENT).alias("d")).select("nth", "d.*")
+    return parsed.join(vectors, "nth").drop("nth")
+
+
 def search(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """The k documents nearest to a query vector: rank, score and the documents' columns."""
     asked = index.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, query_vector array<double>")

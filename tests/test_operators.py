@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.functions import reply, text
+from chronoloom.functions import reply, text, vectors
 from chronoloom.operators import chunking, folds, runs, segments, stretches, temporal
 
 S = 1_000_000
@@ -247,3 +248,40 @@ def test_keyframes_only(spark):
     frames = spark.createDataFrame([("v", 1, True), ("v", 2, False), ("v", 3, None)], "video string, ord long, is_keyframe boolean")
     out = folds.keyframes_only(frames, lambda f: f.withColumn("lines", F.array(F.lit("x")))).orderBy("ord").collect()
     assert [r.lines for r in out] == [["x"], [], []]
+
+
+@pytest.mark.parametrize(("held", "k"), [(1 << 21, 3), (50, 3), (50, 1), (50, 500)])
+def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, held, k):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2, 3, (40, 3)).astype(float)
+    rows = [(f"d{i:03}", [float(x) for x in base[i % 40]]) for i in rng.permutation(300).tolist()] + [("none", None), (None, [1.0, 0.0, 0.0])]
+    asked = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(25)] + [(99, None)]
+    monkeypatch.setattr(vectors, "HELD", held)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(vectors, "BLOCK_DOCUMENTS", 13)
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 24 * 10)
+    out = vectors.top_k(spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(4), spark.createDataFrame(asked, "query_id long, query_vector array<double>"), k).collect()
+    one = lambda v: np.array(v) / max(np.sqrt(np.dot(v, v)), 1e-12)
+    want = []
+    for q, v in asked[:-1]:
+        found = sorted((-round(float(one(v) @ one(x)), 12) + 0.0, i) for i, x in rows if x is not None and i is not None)
+        want += [(q, i, rank, -s) for rank, (s, i) in enumerate(found[:k], 1)]
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in out) == sorted(w[:3] for w in want)
+    assert all(abs(dict(((w[0], w[1]), w[3]) for w in want)[r.query_id, r.vec_id] - r.score) < 1e-9 for r in out)
+
+
+def test_top_k_of_nothing_and_wrong_dimensions(spark):
+    docs, asked = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>"), spark.createDataFrame([(1, [1.0, 0.0, 2.0])], "query_id long, query_vector array<double>")
+    assert vectors.top_k(docs, asked.limit(0), 3).count() == vectors.top_k(docs, asked, 0).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        vectors.top_k(docs, asked, 1).collect()
+    with pytest.raises(ValueError):
+        vectors.top_k(docs, asked, -1)
+
+
+def test_histogram_counts_each_difference(spark):
+    rows = [([0, 255, 7, 7], [0, 0, 9, 5]), ([], []), (None, [1]), ([3], [1, 2])]
+    out = spark.createDataFrame(rows, "a array<int>, b array<int>").coalesce(1).select(vectors.difference_histogram("a", "b").alias("h"))
+    got = [r.h and {i: n for i, n in enumerate(r.h) if n} for r in out.collect()]
+    assert got == [{0: 1, 255: 1, 2: 2}, {}, None, {2: 1}]
+    assert out.select(vectors.histogram_mean(F.col("h"))).first()[0] == pytest.approx(259 / 4 / 255)

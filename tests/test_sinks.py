@@ -1,13 +1,14 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom import models, schemas
 from chronoloom.plans import worklog
 from chronoloom.sinks import files, index_store, worklogs
-from chronoloom.sources import media
+from chronoloom.sources import arrays, media
 from chronoloom.sources.worklogs import read_worklogs, search_documents
 
 S = 1_000_000
@@ -138,12 +139,72 @@ def test_index_generations(spark, tmp_path, monkeypatch):
     assert index_store.load(spark, tmp_path).count() == 0 and len(list(tmp_path.glob("gen-*"))) == 1
     manifest = json.loads((tmp_path / "manifest.json").read_text())
     assert sorted(p.name for p in tmp_path.iterdir()) == [manifest["generation"], "manifest.json"]
-    for text, what in ((json.dumps(manifest | {"generation": "../x"}), "out of the index"), ("{", None), (json.dumps({"model": "m"}), "manifest")):
+    for text, what in ((json.dumps(manifest | {"generation": "../x"}), "out of the index"), ("{", None), (json.dumps({"model": "m", "generation": "x"}), "manifest"), (json.dumps({"model": "m"}), "missing")):
         (tmp_path / "manifest.json").write_text(text)
         with pytest.raises(ValueError, match=what):
             index_store.load(spark, tmp_path)
 
 
+def write_old_index(folder, ids=("old-a", "old-b"), kind=np.float32, save=np.savez):
+    folder.mkdir(parents=True)
+    save(folder / "vectors.npz", vectors=np.array([[1.0, 0.0], [0.6, 0.8]] + [[0.0, 1.0]] * (len(ids) - 2), kind)[: len(ids)])
+    (folder / "documents.jsonl").write_text("".join(json.dumps({"doc_id": i, "text": "x", "source": "v", "t": "00:00:00", "action": "x"}) + "\n" * (1 + k % 2) for k, i in enumerate(ids)))
+    (folder / "manifest.json").write_text(json.dumps({"model": "m", "dimension": 2, "count": len(ids)}))
+
+
+def test_index_without_generations(spark, tmp_path, monkeypatch):
+    for kind in (np.float32, np.float64):
+        write_old_index(tmp_path / kind.__name__, kind=kind)
+        stored = index_store.load(spark, tmp_path / kind.__name__, "m")
+        assert [(r.doc_id, [round(x, 3) for x in r.embedding]) for r in stored.orderBy("doc_id").collect()] == [("old-a", [1.0, 0.0]), ("old-b", [0.6, 0.8])]
+        assert [r.doc_id for r in index_store.search(stored, [0.0, 1.0], 1).collect()] == ["old-b"]
+    folder = tmp_path / "float32"
+    with pytest.raises(ValueError, match="model"):
+        index_store.load(spark, folder, "other")
+    monkeypatch.setattr(files.Folder, "_rename", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    new = index_store.build(spark.createDataFrame([("new", [1.0, 0.0])], "doc_id string, embedding array<float>"))
+    with pytest.raises(OSError):
+        index_store.save(new, folder, "m")
+    assert {r.doc_id for r in index_store.load(spark, folder).collect()} == {"old-a", "old-b"}
+    monkeypatch.undo()
+    kept = (folder / "documents.jsonl").read_text()
+    for lines, what in ((kept + json.dumps({"doc_id": "extra"}), "2 vectors, but 3 documents"), (kept + "{", "malformed")):
+        (folder / "documents.jsonl").write_text(lines)
+        with pytest.raises(ValueError, match=what):
+            index_store.load(spark, folder)
+    index_store.save(new, folder, "m")
+    assert {p.name for p in folder.iterdir()} == {"manifest.json", json.loads((folder / "manifest.json").read_text())["generation"]}
+    assert [r.doc_id for r in index_store.load(spark, folder).collect()] == ["new"]
+
+
+def test_old_index_by_ranges_and_broken_arrays(spark, tmp_path, monkeypatch):
+    ids = [f"d{i:03}" for i in range(200)]
+    write_old_index(tmp_path / "i", ids)
+    np.savez(tmp_path / "i" / "vectors.npz", other=np.zeros(3), vectors=np.arange(400, dtype=np.float32).reshape(200, 2))
+    monkeypatch.setattr(arrays, "RANGE_BYTES", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = index_store.load(spark, tmp_path / "i").orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.doc_id, r.embedding) for r in got] == [(i, [2.0 * k, 2.0 * k + 1]) for k, i in enumerate(ids)]
+    path = tmp_path / "a.npy"
+    for array in (np.zeros((2, 2), np.int64), np.zeros(4, np.float32), np.asfortranarray(np.ones((2, 3), np.float32))):
+        np.save(path, array)
+        with pytest.raises(ValueError, match="no matrix"):
+            arrays.matrix(str(path))
+    np.save(path, np.ones((3, 2), np.float32))
+    whole = path.read_bytes()
+    for broken in (b"", whole[:5], whole[:-1], whole[:10] + b"?" * 20 + whole[30:]):
+        path.write_bytes(broken)
+        with pytest.raises(ValueError):
+            arrays.matrix(str(path))
+    np.savez_compressed(tmp_path / "c.npz", vectors=np.ones((3, 2), np.float32))
+    for name, what in (("vectors", "compressed"), ("none", "no array")):
+        with pytest.raises(ValueError, match=what):
+            arrays.matrix(str(tmp_path / "c.npz"), name)
+
+
 def test_ports_isolate_failures(spark):
     def lines():
         def model(path):
