@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chronoloom import models
 from chronoloom.functions import backends, text, vectors
-from chronoloom.operators import folds, stretches
+from chronoloom.operators import chunking, folds, stretches
 from chronoloom.plans import worklog
 from chronoloom.plans.queries import CHUNKS, ENTRIES, HMS, HOURS, SQL, entries, query, spans
 from chronoloom.plans.screens import BARE_SQL, GAP, LABEL_SQL, trim_sql
 from chronoloom.sinks import index_store, worklogs
 from chronoloom.sinks.scratch import shared_folder
-from chronoloom.sources import media, views
-from chronoloom.sources.views import DESCRIPTIONS
-from chronoloom.sources.worklogs import malformed, parsed_lines
+from chronoloom.sources import audio, images, media, views
+from chronoloom.sources.views import DESCRIPTIONS, SEGMENTS
+from chronoloom.sources.worklogs import malformed, parsed_lines, read_worklogs
 
 # --- stored logs --------------------------------------------------------------------------
 
@@ -117,54 +119,57 @@ def histogram_diff(spark, sf_dir):
 
 
 def frames(spark, sf_dir):
-    """documents as frames: a source is a video, and the document its own picture."""
+    """documents as frames: a source is a video, and the document its own picture, whose text a path leads to."""
     i = F.col("doc_id")
     return views.read(spark, sf_dir, "documents").select(
-        F.col("source").alias("video"), i.alias("idx"), i.alias("ord"), (i * 500_000).alias("t_us"), F.concat(F.col("source"), F.lit("/"), i.cast("string")).alias("path"), (i % 3 == 0).alias("is_keyframe"), "text"
-    )
+        F.col("source").alias("video"), i.alias("idx"), i.alias("ord"), (i * 500_000).alias("t_us"), F.concat(i.cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("path"),
+        (i % 3 == 0).alias("is_keyframe"), "text", "lang"
+    )
 
 
 def reader():
-    """Reads a path as its number; every seventh fails, every fifth is late at first."""
+    """Reads a picture's lines; every seventh fails, every fifth is late at first."""
     late = set()
 
     def read(path):
-        n = int(path.rpartition("/")[2])
+        number, _, text = path.partition("\n")
+        n = int(number)
         if n % 7 == 0:
             raise ValueError(path)
         if n % 5 == 0 and path not in late:
             late.add(path)
             raise TimeoutError(path)
-        return ["no", n]
+        return text.split("\n")
 
     return read
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'no,' || doc_id::VARCHAR END AS lines FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN text END AS lines FROM documents")
 def port_recognise(spark, sf_dir):
     out = models.recognise(reader)(frames(spark, sf_dir))
-    return out.select(F.col("ord").alias("doc_id"), F.when(F.col("lines").isNotNull(), F.array_join("lines", ",")).alias("lines"))
+    return out.select(F.col("ord").alias("doc_id"), F.when(F.col("lines").isNotNull(), F.array_join("lines", "\n")).alias("lines"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN 'no,' || doc_id::VARCHAR ELSE '' END AS lines FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN text ELSE '' END AS lines FROM documents")
 def keyframes_only(spark, sf_dir):
     out = folds.keyframes_only(frames(spark, sf_dir), models.recognise(reader))
-    return out.select(F.col("ord").alias("doc_id"), F.array_join("lines", ",").alias("lines"))
+    return out.select(F.col("ord").alias("doc_id"), F.array_join("lines", "\n").alias("lines"))
 
 
-@query("""SELECT doc_id, CASE WHEN s % 7 <> 0 THEN 'no,' || s::VARCHAR ELSE '' END AS lines FROM (SELECT doc_id, max(CASE WHEN doc_id % 3 = 0 OR first THEN doc_id END) OVER (PARTITION BY source ORDER BY doc_id) AS s
-FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS first FROM documents))""")
+@query("""WITH f AS (SELECT doc_id, source, lang IS DISTINCT FROM lag(lang) OVER w OR doc_id % 3 = 0 OR row_number() OVER w = 1 AS own FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+s AS (SELECT doc_id, max(CASE WHEN own THEN doc_id END) OVER (PARTITION BY source ORDER BY doc_id) AS s FROM f)
+SELECT s.doc_id, CASE WHEN s.s % 7 <> 0 THEN d.text ELSE '' END AS lines FROM s JOIN documents d ON d.doc_id = s.s""")
 def memo_recognised(spark, sf_dir):
-    """All frames alike: only keyframes and each video's first one are read."""
-    skipped = folds.memo_skip(frames(spark, sf_dir).drop("text"), lambda one, many: [True] * len(many), "path")
-    return folds.recognised(skipped, models.recognise(reader)).select(F.col("ord").alias("doc_id"), F.array_join("lines", ",").alias("lines"))
+    """Frames of one language are alike: keyframes and the first one of each run are read."""
+    skipped = folds.memo_skip(frames(spark, sf_dir), lambda one, many: [one == x for x in many], "lang")
+    return folds.recognised(skipped, models.recognise(reader)).select(F.col("ord").alias("doc_id"), F.array_join("lines", "\n").alias("lines"))
 
 
 def teller():
     """Tells how long the prompt is; every eleventh frame fails."""
 
     def tell(path, prompt):
-        if int(path.rpartition("/")[2]) % 11 == 0:
+        if int(path.partition("\n")[0]) % 11 == 0:
             raise KeyError(path)
         return f'```json\n{{"app_guess": "App", "focus": "null", "action": "{len(prompt)}"}}\n```'
 
@@ -281,21 +286,101 @@ def merge_timeline(spark, sf_dir):
 
 
 def screen_reader():
-    return lambda path: ["report.xlsx - Excel", path] if int(path.rpartition("/")[2]) % 2 else ["3 / 7 ページ", path]
+    """A picture shows a title or a place, by turns a name, and its text's digest."""
+    import hashlib
+
+    def read(path):
+        number, _, text = path.partition("\n")
+        return [*(["report.xlsx - Excel", "QX"] if int(number) % 2 else ["3 / 7 ページ"]), hashlib.md5(text.encode()).hexdigest()]
+
+    return read
 
 
-@query("""WITH k AS (SELECT source AS video, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth, doc_id % 2 = 1 AS odd FROM documents WHERE doc_id % 3 = 0),
-c AS (SELECT k.*, lag(odd) OVER w AS lo, lag(doc_id) OVER w AS ld FROM k WINDOW w AS (PARTITION BY video ORDER BY doc_id)), z AS (SELECT source AS video, max(doc_id) AS last FROM documents GROUP BY 1)
-SELECT c.video, doc_id, CASE WHEN odd THEN 'Excel' ELSE 'App' END AS app, CASE WHEN odd THEN 'report.xlsx' END AS resource, CASE WHEN NOT odd THEN '3 / 7 ページ' END AS location, 'seen ' || doc_id::VARCHAR AS action,
-coalesce(lead(doc_id) OVER (PARTITION BY c.video ORDER BY doc_id), last) * 500000 AS end_us, 2::BIGINT AS n_ocr, 'frames/frame_' || replace(printf('%02d:%02d:%02d', (doc_id // 2) // 3600, (doc_id // 2) // 60 % 60, (doc_id // 2) % 60), ':', '') || '_' || doc_id::VARCHAR || '.png' AS frame
-FROM c JOIN z ON z.video = c.video""")
+@query(f"""WITH {SEGMENTS}, k AS (SELECT source AS video, doc_id, doc_id * 500000 AS t_us, doc_id % 2 = 1 AS odd, md5(text) AS h, row_number() OVER w AS nth, lead(doc_id * 500000) OVER w AS nxt FROM documents WHERE doc_id % 3 = 0 WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+z AS (SELECT source AS video, max(doc_id) * 500000 AS te FROM documents GROUP BY 1),
+r AS (SELECT 'src' || (video % 20)::VARCHAR AS video, video * 100 + ord AS so, (video * 8 + ord) * 500000 + 250000 AS began, text, speaker FROM s
+ WHERE CASE WHEN no_speech_prob IS NOT NULL AND avg_logprob IS NOT NULL THEN NOT (no_speech_prob > 0.6 AND avg_logprob < -1.0) WHEN avg_logprob IS NOT NULL THEN avg_logprob >= -1.0 ELSE true END),
+a AS (SELECT r.*, (SELECT arg_min(odd, t_us) FROM k WHERE k.video = r.video AND k.t_us > r.began AND k.t_us <= r.began + 3000000) AS ahead, (SELECT arg_max(odd, t_us) FROM k WHERE k.video = r.video AND k.t_us <= r.began) AS back FROM r),
+n AS (SELECT video, so, began, CASE WHEN coalesce(ahead, back) THEN 'QX: ' || text WHEN speaker IS NOT NULL THEN speaker || ': ' || text ELSE text END AS line FROM a),
+p AS (SELECT k.video, k.doc_id, n.began, n.so, line FROM n JOIN k ON k.video = n.video AND (n.began >= k.t_us OR k.nth = 1) AND (k.nxt IS NULL OR n.began < k.nxt)),
+q AS (SELECT *, lag(line) OVER (PARTITION BY video, doc_id ORDER BY began, so) AS before FROM p),
+x AS (SELECT video, doc_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY began, so)) AS said FROM q WHERE line IS DISTINCT FROM before GROUP BY 1, 2)
+SELECT k.video, k.doc_id, CASE WHEN odd THEN 'Excel' ELSE 'App' END AS app, CASE WHEN odd THEN 'report.xlsx' END AS resource, CASE WHEN NOT odd THEN '3 / 7 ページ' END AS location, 'seen ' || k.doc_id::VARCHAR AS action,
+coalesce(nxt, greatest(t_us, te)) AS end_us, CASE WHEN odd THEN 'report.xlsx - Excel|QX|' ELSE '3 / 7 ページ|' END || h AS ocr, coalesce(n, 0) AS n_said, coalesce(said, md5('')) AS said, CASE WHEN n >= 3 AND n <> 4 THEN n::VARCHAR END AS summary
+FROM k JOIN z USING (video) LEFT JOIN x USING (video, doc_id)""")
 def generated_worklog(spark, sf_dir):
-    """The whole run, from frames and speech to entries, with stand-in models: every keyframe is described."""
+    """The whole run, from frames and speech to entries, with stand-in models: speech is filtered, attributed and summarised, and every keyframe is described."""
 
     def describer():
-        return lambda path, prompt: '{"app_guess": "App", "action": "seen ' + path.rpartition("/")[2] + '"}'
+        return lambda path, prompt: '{"app_guess": "App", "action": "seen ' + path.partition("\n")[0] + '"}'
+
+    heard, conv, turn = views.segments(spark, sf_dir), F.col("video"), F.col("ord")
+    at = (conv * 8 + turn) * 500_000 + 250_000
+    said = heard.select(
+        F.concat(F.lit("src"), (conv % 20).cast("string")).alias("video"), (conv * 100 + turn).alias("ord"), at.alias("start_us"), at.alias("end_us"), "text", "no_speech_prob", "avg_logprob", "speaker"
+    )
+    out = worklog.generate(frames(spark, sf_dir).drop("text", "ord", "lang"), said, screen_reader, describer, summarise=counter, attribute=True)
+    return out.select(
+        "video", F.col("ord").alias("doc_id"), "app", "resource", "location", "action", "end_us", F.array_join("ocr", "|").alias("ocr"),
+        F.size("speech").cast("long").alias("n_said"), F.md5(F.array_join("speech", "\n").cast("binary")).alias("said"), "summary",
+    )
+
+
+# --- files and formats --------------------------------------------------------------------
+
+
+@query(f"{ENTRIES} SELECT video::VARCHAR AS video, row_number() OVER (PARTITION BY video ORDER BY t_us, ord) AS line, {HMS.format('t_us // 1000000')} AS t, (end_us - t_us)::DOUBLE / 1000000 AS duration_seconds, action FROM e")
+def recordings_round_trip(spark, sf_dir):
+    """The logs of all recordings written as named files by one job, and read back line by line."""
+    none, place = F.lit(None).cast("string"), f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    e = entries(spark, sf_dir).withColumns({"video": F.col("video").cast("string"), "resource": F.col("resource").cast("string"), "focus": none, "summary": none, "frame": none})
+    worklogs.write_recordings(e.withColumns({"ocr": F.array(F.lit("x")), "speech": F.array(F.col("action"))}), place, ["jsonl", "md"])
+    read = read_worklogs(spark, f"{place}/*/worklog.jsonl")
+    return read.select(F.element_at(F.split("file", "/"), -2).alias("video"), "line", "t", "duration_seconds", "action")
+
+
+BYTES = "documents_bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)"
+
+
+def _pictures(batches):
+    """Texts as PNG images of 64 samples a row, with all filters, and what the decoder reads of them."""
+    for batch in batches:
+        rows = []
+        for text in batch["text"]:
+            raw = text.encode()
+            plain = np.frombuffer(raw.ljust(max(1, -(-len(raw) // 64)) * 64), np.uint8).reshape(-1, 64)
+            grey = images.grey_png(images.png(plain, (np.arange(len(plain)) + len(raw)) % 5)).astype(np.int64)
+            rows.append((grey.shape[0], int(grey.sum()), int((grey.ravel() * np.arange(1, grey.size + 1)).sum())))
+        yield batch[["doc_id"]].assign(**{name: [r[i] for r in rows] for i, name in enumerate(("height", "total", "weighed"))})
+
+
+@query(f"""WITH {BYTES}, p AS (SELECT doc_id, greatest(1, (len(b) + 63) // 64) AS height, list_concat(b, list_transform(range(greatest(1, (len(b) + 63) // 64) * 64 - len(b)), lambda x: 32::BIGINT)) AS b FROM documents_bytes)
+SELECT doc_id, height, list_sum(b)::BIGINT AS total, list_sum(list_transform(b, lambda x, i: x * i))::BIGINT AS weighed FROM p""")
+def png_samples(spark, sf_dir):
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInPandas(_pictures, "doc_id long, height long, total long, weighed long")
+
+
+SPAN_US = 1_000_000
+
+
+@query(f"""WITH {BYTES}, p AS (SELECT doc_id, CASE WHEN len(b) % 2 = 1 THEN list_append(b, 32) ELSE b END AS b FROM documents_bytes),
+s AS (SELECT doc_id, unnest(range(len(b) // 2)) AS i, b FROM p), v AS (SELECT doc_id, i, b[2 * i + 1] + 256 * CASE WHEN b[2 * i + 2] > 127 THEN b[2 * i + 2] - 256 ELSE b[2 * i + 2] END AS x FROM s)
+SELECT doc_id, i // 16000 AS k, count(*) AS n, sum(x)::BIGINT AS total, 16000 AS rate FROM v GROUP BY 1, 2""")
+def sound_spans(spark, sf_dir):
+    """Texts as sound, two bytes a sample, cut into seconds."""
+
+    @F.pandas_udf("binary")
+    def recorded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: audio.wav(np.frombuffer(t.encode().ljust(len(t.encode()) + len(t.encode()) % 2), "<i2")))
+
+    @F.pandas_udf("n long, total long")
+    def summed(sounds: pd.Series) -> pd.DataFrame:
+        read = [np.frombuffer(s, "<i2").astype(np.int64) for s in sounds]
+        return pd.DataFrame({"n": [len(x) for x in read], "total": [int(x.sum()) for x in read]})
 
-    said = spark.createDataFrame([], "video string, ord long, start_us long, end_us long, text string, no_speech_prob double, avg_logprob double, speaker string")
-    f = frames(spark, sf_dir).drop("text", "ord")
-    out = worklog.generate(f, said, screen_reader, describer, keyframes_only=False, attribute=True)
-    return out.select("video", F.col("ord").alias("doc_id"), "app", "resource", "location", "action", "end_us", F.size("ocr").cast("long").alias("n_ocr"), "frame")
+    docs = views.read(spark, sf_dir, "documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("video"), "text")
+    size = F.octet_length("text")
+    spans_ = chunking.chunk_spans(docs.select("video", F.ceil((size + size % 2) / 2 * 62.5).alias("duration_us")), SPAN_US, 0)
+    cut = audio.with_sound(spans_.join(docs.withColumn("file", recorded("text")).drop("text"), "video"), "file")
+    return cut.withColumn("__s", summed("samples")).select(F.col("video").alias("doc_id"), "k", "__s.n", "__s.total", "rate")

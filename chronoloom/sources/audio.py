@@ -6,6 +6,7 @@ many tasks and none of them loads the file.
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
@@ -82,23 +83,33 @@ def place(us: int, rate: int) -> int:
     return -(-us * rate // MICROSECONDS)
 
 
-def cut(path: str, start_us: int, length_us: int) -> tuple[int, bytes]:
+def span(file: BinaryIO, size: int, start_us: int, length_us: int) -> tuple[int, bytes]:
     """(rate, samples) of a span of a file, 16-bit little-endian mono."""
-    files, inside = located(path)
+    sound = header(file, size)
+    return sound.rate, samples(file, sound, place(start_us, sound.rate), place(start_us + length_us, sound.rate)).tobytes()
+
+
+def cut(source: str | bytes, start_us: int, length_us: int) -> tuple[int, bytes]:
+    """span() of the file at a path, or of a file's content."""
+    if not isinstance(source, str):
+        return span(io.BytesIO(source), len(source), start_us, length_us)
+    files, inside = located(source)
     with files.open_input_file(inside) as file:
-        sound = header(file, file.size())
-        return sound.rate, samples(file, sound, place(start_us, sound.rate), place(start_us + length_us, sound.rate)).tobytes()
+        return span(file, file.size(), start_us, length_us)
+
 
+def with_sound(chunks: DataFrame, source: str = "path") -> DataFrame:
+    """chunks (source, media_start, media_len and others) with rate, samples and error: the sound of each, or why there is none.
 
-def with_sound(chunks: DataFrame) -> DataFrame:
-    """chunks (path, media_start, media_len and others) with rate, samples and error: the sound of each, or why there is none."""
+    source is a file's path or, as binary, its content, which is for short files: it comes with every chunk.
+    """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema), "rate int", "samples binary", "error string"])
 
-    def one(path: str | None, start: int, length: int) -> tuple:
+    def one(given: str | bytes | None, start: int, length: int) -> tuple:
         try:
-            if path is None:
-                raise ValueError("no path")
-            return (*cut(path, int(start), int(length)), None)
+            if given is None:
+                raise ValueError("no file")
+            return (*cut(given, int(start), int(length)), None)
         except (OSError, ValueError) as e:
             return None, None, f"{type(e).__name__}: {e}"
 
@@ -107,7 +118,14 @@ def with_sound(chunks: DataFrame) -> DataFrame:
             # a few spans at once, as each holds minutes of sound
             for at in range(0, len(batch), 4):
                 part = batch.iloc[at : at + 4]
-                found = [one(*x) for x in zip(part["path"], part["media_start"], part["media_len"], strict=True)]
+                found = [one(*x) for x in zip(part[source], part["media_start"], part["media_len"], strict=True)]
                 yield part.assign(**{name: pd.Series([f[i] for f in found], index=part.index, dtype=object) for i, name in enumerate(("rate", "samples", "error"))})
 
     return chunks.mapInPandas(run, schema)
+
+
+def wav(values: np.ndarray, rate: int = 16_000) -> bytes:
+    """16-bit mono samples as a WAV file."""
+    data = values.astype("<i2").tobytes()
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, PCM, 1, rate, 2 * rate, 2, 16)
+    return struct.pack("<4sI4s", b"RIFF", 4 + len(form) + 8 + len(data), b"WAVE") + form + struct.pack("<4sI", b"data", len(data)) + data
