@@ -51,6 +51,8 @@ FOLDS, HELD_FOLD = 5, 1
 BLOCK_BYTES = 16 << 20
 #: Word rows that one task brings together on average.
 WORDS_A_TASK = 200_000
+#: Blocks whose entries of one word come to one task; beyond it words are dealt by ranges of blocks, too.
+RANGE_BLOCKS = 1 << 17
 #: Distinct words that one row of the word table lists.
 WORDS_A_ROW = 5_000
 SMOOTHING = 1000.0
@@ -227,19 +229,23 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), utf8().alias("text")).mapInArrow(cut, schema)
 
 
-def corpus_words(cut: DataFrame) -> DataFrame:
+def corpus_words(cut: DataFrame, range_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct words, WORDS_A_ROW to a row: times in all training documents, and which blocks hold each under which number.
 
+    The first table has each word once. In the second, which is the same where there are at
+    most range_blocks blocks, a word has one entry list for each range of so many blocks, and in
+    each its total: so a word that stands in every block is nowhere gathered in one task.
     ends are the places in blocks and nths where each word's entries end.
     """
     rows = cut.filter("kind = 0").select("block", "n_words", "ids", "times")
-    tasks = max(1, -(-(rows.agg(F.sum("n_words")).first()[0] or 0) // WORDS_A_TASK))
+    n_words, n_blocks = rows.agg(F.sum("n_words"), F.count("*")).first()
+    tasks, ranges = max(1, -(-(n_words or 0) // WORDS_A_TASK)), max(1, -(-n_blocks // (range_blocks or RANGE_BLOCKS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, times in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 words, times = unpacked_words(ids), unpacked(times)
-                to = np.array([zlib.crc32(w) % tasks for w in words])
+                to = np.array([zlib.crc32(w) % tasks for w in words]) * ranges + zlib.crc32(block.to_bytes(8, "little")) % ranges
                 order = np.lexsort((np.arange(len(words)), to))
                 ends = np.flatnonzero(np.r_[to[order][1:] != to[order][:-1], True]) + 1
                 own = np.split(order, ends[:-1])
@@ -251,7 +257,9 @@ def corpus_words(cut: DataFrame) -> DataFrame:
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         columns: list[list[np.ndarray]] = [[], [], [], []]
+        task = None
         for batch in batches:
+            task = batch.column(0)[0].as_py() if batch.num_rows else task
             for block, words, nths, times in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 own = np.array([number.setdefault(w, len(number)) for w in unpacked_words(words)], np.int64)
                 for c, x in zip(columns, (own, np.full(len(own), block), unpacked(nths, np.int32), unpacked(times)), strict=True):
@@ -269,10 +277,49 @@ def corpus_words(cut: DataFrame) -> DataFrame:
             known = total[at:to]
             numbers = [pa.array([int(x)], pa.int64()) for x in (known.sum(), (known > 0).sum())]
             lists = [packed_words(names[at:to]), packed(known), packed(ends[at:to] - a), packed(block[a:b]), packed(nth[a:b])]
-            yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([x], pa.binary()) for x in lists)], ["trained", "distinct", "words", "times", "ends", "blocks", "nths"])
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), *numbers, *(pa.array([x], pa.binary()) for x in lists)], ["task", "trained", "distinct", "words", "times", "ends", "blocks", "nths"])
 
-    dealt = rows.mapInArrow(deal, "task int, block long, words binary, nths binary, times binary").repartitionById(tasks, F.col("task"))
-    return dealt.mapInArrow(bring, "trained long, distinct long, words binary, times binary, ends binary, blocks binary, nths binary")
+    dealt = rows.mapInArrow(deal, "task int, block long, words binary, nths binary, times binary").repartitionById(tasks * ranges, F.col("task"))
+    brought = materialise(dealt.mapInArrow(bring, "task int, trained long, distinct long, words binary, times binary, ends binary, blocks binary, nths binary"), "words")
+    return (brought, brought) if ranges == 1 else _over_ranges(brought, tasks, ranges)
+
+
+def _over_ranges(brought: DataFrame, tasks: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """corpus_words() from what each range of blocks holds: words with their totals, and the ranges' rows with those totals."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, int] = {}
+        task = None
+        for batch in batches:
+            for task, words, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for w, n in zip(unpacked_words(words), unpacked(times).tolist(), strict=True):
+                    sums[w] = sums.get(w, 0) + n
+        names, known = list(sums), np.array(list(sums.values()), np.int64)
+        for at in range(0, len(names), WORDS_A_ROW):
+            own = known[at : at + WORDS_A_ROW]
+            numbers = [pa.array([int(x)], pa.int64()) for x in (own.sum(), (own > 0).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), *numbers, pa.array([packed_words(names[at : at + WORDS_A_ROW])], pa.binary()), pa.array([packed(own)], pa.binary())], ["task", "trained", "distinct", "words", "times"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, int] = {}
+        for batch in batches:
+            rows = []
+            for words, times, ends, blocks_, nths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ends is None:
+                    sums.update(zip(unpacked_words(words), unpacked(times).tolist(), strict=True))
+                else:
+                    rows.append((words, packed(np.array([sums[w] for w in unpacked_words(words)], np.int64)), ends, blocks_, nths))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["words", "times", "ends", "blocks", "nths"])
+
+    of_word = brought.select(F.floor(F.col("task") / ranges).cast("int").alias("task"), "words", "times")
+    totals = materialise(of_word.repartitionById(tasks, F.col("task")).mapInArrow(total, "task int, trained long, distinct long, words binary, times binary"), "totals")
+    each = F.explode(F.sequence(F.col("task") * ranges, F.col("task") * ranges + F.lit(ranges - 1)))
+    none = F.lit(None).cast("binary")
+    given = totals.select(each.alias("task"), "words", "times", none.alias("ends"), none.alias("blocks"), none.alias("nths"))
+    both = given.unionByName(brought.select("task", "words", "times", "ends", "blocks", "nths")).repartitionById(tasks * ranges, F.col("task"))
+    in_turn = both.sortWithinPartitions(F.col("ends").isNotNull()).select("words", "times", "ends", "blocks", "nths")
+    return totals, materialise(in_turn.mapInArrow(fill, "words binary, times binary, ends binary, blocks binary, nths binary"), "places")
 
 
 def expected_counts(words: DataFrame, arcs: list, weights: np.ndarray) -> np.ndarray:
@@ -395,14 +442,14 @@ def summed(cut: DataFrame, values: DataFrame, corpus: tuple[int, int], end: tupl
     return both.mapInArrow(add, f"doc_id {key_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, mixed_score double")
 
 
-def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, path: str | None = None, range_blocks: int | None = None) -> DataFrame:
     cut = materialise(blocks(docs), "blocks")
-    words = materialise(corpus_words(cut), "words")
+    words, places = corpus_words(cut, range_blocks)
     ends = cut.filter("kind = 1 AND NOT held_out").count()
     times, distinct = (x or 0 for x in words.agg(F.sum("trained"), F.sum("distinct")).first())
     arcs, weights = learnt(words, path)
     end = (ends, math.log10((ends + 0.5) / (times + ends + 1)))
-    out = summed(cut, materialise(marginals(words, arcs, weights), "marginals"), (times, distinct), end)
+    out = summed(cut, materialise(marginals(places, arcs, weights), "marginals"), (times, distinct), end)
     return out.withColumn("train_tokens", F.lit(times + ends).cast("long"))
 
 

@@ -368,7 +368,7 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS hex
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS nth, sha1(coalesce(html, '')) AS hex
   FROM pages
 ), n AS (
   SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, i + 1, 1)) - 1) AS nibble FROM p
@@ -376,7 +376,7 @@ WITH p AS (
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + (((nibble[1 + (5 * i) // 4] * 16 + coalesce(nibble[2 + (5 * i) // 4], 0)) >> (3 - (5 * i) % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth = 1 THEN NULL ELSE first END AS refers_to
 FROM n
 """

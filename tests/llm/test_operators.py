@@ -477,6 +477,12 @@ def test_arc_versions(version, zipped):
             list(warc.read_arc(broken))
 
 
+def test_op6_sql_on_repeated_page_ids(spark, tmp_path):
+    rows = [(5, "u", "x"), (5, "u", "x"), (4, "u", "x"), (None, "u", "x"), (7, "u", None), (7, "u", ""), (None, "u", "y")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert_same(warc.op6_arc_to_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), warc.OP6_SQL, str(tmp_path))
+
+
 def test_op6_pages_with_the_url_of_a_version_block(spark):
     pages = spark.createDataFrame([(1, "filedesc://x", b"<p>a</p>"), (2, "http://h/2", b"<p>a</p>")], "key long, url string, payload binary")
     for zipped in (False, True):
@@ -552,6 +558,25 @@ def test_op7_scores_equal_brute_force(spark, sf):
         assert any(math.isclose(r.score, a, rel_tol=1e-5) and math.isclose(r.mixed_score, b, rel_tol=1e-5) for a, b in want[r.doc_id])
 
 
+def test_op7_words_dealt_by_ranges_of_blocks_score_alike(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keys = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+
+    def found(range_blocks=None):
+        return sorted(str((*(r[k] for k in keys), *(round(r[k], 4) for k in ("base_score", "score", "mixed_score")))) for r in lattice.score_documents(docs, range_blocks=range_blocks).collect())
+
+    want = found()
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", 4000)
+    cut = common.materialise(lattice.blocks(docs), "blocks")
+    words, places = lattice.corpus_words(cut, 4)
+    n = cut.filter("kind = 0").count()
+    assert n > 20 and words.select("task").distinct().count() == 1
+    # the commonest word stands in nearly all blocks, but in no row in more than about four times as many as dealt
+    ends = [np.diff(np.r_[0, lattice.unpacked(bytes(r["ends"]))]).max() for r in places.collect()]
+    assert max(ends) < n / 2
+    assert found(4) == want
+
+
 def test_op7_gathers_one_block_a_task(spark, monkeypatch):
     monkeypatch.setattr(lattice, "BLOCK_BYTES", 400)
     docs = spark.createDataFrame([(i, f"w{i % 7} the of " * 9) for i in range(60)], "doc_id long, text string").repartition(3)
