@@ -249,7 +249,7 @@ def ranked(path: str, spelt: list[bytes]):
 
 def aligner(path_a: str | None = None, path_b: str | None = None) -> Aligner:
     """The worker's own."""
-    cache = worker_cache()
+    cache = worker_cache("alignment")
     if ("aligner", path_a, path_b) not in cache:
         cache["aligner", path_a, path_b] = Aligner(path_a, path_b)
     return cache["aligner", path_a, path_b]

@@ -156,9 +156,16 @@ def shielded(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.toDF(*[c if c in needed else f"__x{i}" for i, c in enumerate(docs.columns)])
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, over many tasks."""
-    return sys.modules.setdefault("_chronoloom_worker", types.ModuleType("_chronoloom_worker")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, over many tasks, and until another owner asks for one.
+
+    So a worker that has gone on to another operator's work does not hold what the one
+    before has learnt.
+    """
+    held = sys.modules.setdefault("_chronoloom_worker", types.ModuleType("_chronoloom_worker")).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["cache"] = owner, {}
+    return held["cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

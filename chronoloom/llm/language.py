@@ -56,7 +56,7 @@ def held_out(key: Column) -> Column:
 
 def letters() -> np.ndarray:
     """Whether each code point is a letter; kept by the worker."""
-    cache = worker_cache()
+    cache = worker_cache("language")
     if "letters" not in cache:
         cache["letters"] = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
     return cache["letters"]

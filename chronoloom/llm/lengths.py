@@ -40,7 +40,7 @@ def byte_encoding(path: str | None = None):
     import tiktoken
 
     path = path or public_tokenizers.path(VOCABULARY)
-    cache = worker_cache()
+    cache = worker_cache("lengths")
     if ("encoding", path) not in cache:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -69,7 +69,7 @@ def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(length, n_docs) as each task has counted them; docs needs text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, known, lengths = byte_encoding(path), worker_cache().setdefault("chunk lengths", {}), Counter()
+        encoding, known, lengths = byte_encoding(path), worker_cache("lengths").setdefault("chunk lengths", {}), Counter()
         for batch in batches:
             for value in batch.column(0):
                 lengths[token_length(value.as_py().decode("utf-8", "replace"), encoding, known)] += 1

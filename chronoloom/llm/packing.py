@@ -49,7 +49,7 @@ def word_tokenizer(path: str | None = None):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     path = path or public_tokenizers.path(VOCABULARY)
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if ("tokenizer", path) not in cache:
         cache["tokenizer", path] = Tokenizer.from_file(path)
     return cache["tokenizer", path]
@@ -118,7 +118,7 @@ def encode(texts: list[bytes], tokenizer, known: dict[bytes, bytes], closing: in
 
 def token_ends(tokenizer) -> np.ndarray:
     """Which ids end a word of the tokenizer's own splitting."""
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if "token ends" not in cache:
         vocabulary = tokenizer.get_vocab()
         cache["token ends"] = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -190,7 +190,7 @@ def packed(docs: DataFrame, key: str = "doc_id", path: str | None = None, capaci
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = word_tokenizer(path), worker_cache().setdefault("word ids", {})
+        tokenizer, known = word_tokenizer(path), worker_cache("packing").setdefault("word ids", {})
         rows: list[tuple] = []
         held = 0
 

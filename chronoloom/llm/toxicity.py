@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import shielded, table, utf8
+from chronoloom.llm.common import shielded, table, utf8, worker_cache
 
 WINDOW = 128
 STRIDE = 64
@@ -582,6 +582,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score of every document, in the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         known: dict = {}
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_batch(net, batch.column(1), known))], ["doc_id", "score"])
@@ -594,6 +595,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net, inner = fitted(docs, labels), shielded(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         known: dict = {}
         for batch in batches:
             clean = score_batch(net, batch.column(0), known) < THRESHOLD
