@@ -57,7 +57,7 @@ GRAM_SIZES = (3, 4, 5, 6, 7)
 SAMPLE, SAMPLE_BYTES = 2000, 10 << 20
 FOLDS = 4
 #: Sightings at the expected rate that every word and n-gram is given besides its own.
-PRIOR = 20.0
+PRIOR = 10.0
 LEARNT_DOCS = 30
 STEPS = 200
 #: Share of training windows in which some words are read as never seen.
