@@ -26,6 +26,8 @@ from chronoloom.llm.common import materialise, running, table, utf8, worker_cach
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: White space that the vocabulary's pattern knows besides the ASCII kind; texts with it are encoded in one go.
 RARE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space that the vocabulary's pattern would recurse over too deeply.
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{10000,}")
 #: White space and the word after it: no token of the vocabulary crosses from a word into the white space that follows.
 CHUNK = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 #: Words that a worker remembers at most; beyond it, it starts afresh.
@@ -48,17 +50,27 @@ def byte_encoding(path: str | None = None):
     return cache["encoding", path]
 
 
+def coded_length(text: str, encoding) -> int:
+    """The number of tokens of a text. A long run of white space is one piece, but for its last character before a word: it is coded without the pattern."""
+    total = at = 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_length(text: str, encoding, known: dict[str, int]) -> int:
     """The number of tokens of a whole text; known keeps chunks' lengths."""
     if RARE_SPACE.search(text):
-        return len(encoding.encode_ordinary(text))
+        return coded_length(text, encoding)
     total = 0
     for chunk, times in Counter(CHUNK.findall(text)).items():
         n = known.get(chunk)
         if n is None:
             if len(known) >= REMEMBERED:
                 known.clear()
-            n = len(encoding.encode_ordinary(chunk))
+            n = coded_length(chunk, encoding)
             if len(chunk) <= 64:
                 known[chunk] = n
         total += n * times

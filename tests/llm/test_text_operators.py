@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from chronoloom.llm import alignment, language, ranking
+from chronoloom.llm import alignment, language, lengths, ranking
 from tests.llm.conftest import ITEMS, documents
 from tests.parity import assert_same
 
@@ -184,6 +184,16 @@ def test_op12_long_texts_and_forgetting(monkeypatch):
     assert list(both.texts(texts)) == once and [a.tokens for a in once] == [both.align([f" {t}"])[0].tokens for t in texts]
 
 
+def test_op9_long_white_space_is_counted_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    for text in ["a" + " " * 20_000 + "b", " " * 300_000, "x\n" + "\n" * 15_000 + " y  z", "\u3000" * 12_000 + "q\xa0", "\t" * 12_000 + "w" + " " * 11_000]:
+        assert lengths.token_length(text, lengths.byte_encoding(), {}) == len(whole.encode(text, add_special_tokens=False).ids)
+
+
 def test_op12_other_coder_gives_the_same_ids():
     both = alignment.Aligner()
     for text in [" It's 3.14, isn't it?\n\n  naïve", " 日本語 🙂 \t x"]:
