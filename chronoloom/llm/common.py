@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -160,11 +163,15 @@ def worker_cache(owner: str) -> dict:
     """A dictionary that lives as long as the Python worker, over many tasks, and until another owner asks for one.
 
     So a worker that has gone on to another operator's work does not hold what the one
-    before has learnt.
+    before has learnt; its memory goes back to the system, which the allocator would not
+    do by itself.
     """
     held = sys.modules.setdefault("_chronoloom_worker", types.ModuleType("_chronoloom_worker")).__dict__
     if held.get("owner") != owner:
         held["owner"], held["cache"] = owner, {}
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
     return held["cache"]
 
 

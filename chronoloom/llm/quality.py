@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, table, utf8
+from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, table, utf8, worker_cache
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -132,6 +132,7 @@ def ngram_counts(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, texts in pieces(_texts(batch.column(0))):
@@ -142,6 +143,7 @@ def ngram_counts(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0), batch.column(1), strict=True):
@@ -185,6 +187,7 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """doc_id, the base measures and the ratio of every document, in the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in batches:
             measures, score = judge(_texts(batch.column(1)), ratios)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in measures.T), pa.array(score)], names)
@@ -263,6 +266,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (ratios, threshold), inner = fitted(docs, labels), shielded(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in batches:
             measures, score = judge(_texts(batch.column(0)), ratios)
             kept = ~failed(measures[:, 0], measures[:, 4])

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, spread_join, table, utf8
+from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, spread_join, table, utf8, worker_cache
 from chronoloom.llm.graph import components
 
 SEED = 42
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns keep of every document and fp, its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], [*keep, "fp"])
@@ -164,6 +165,7 @@ def links(nodes: DataFrame, known: int) -> DataFrame:
     binary = pa.binary()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), block):
@@ -173,6 +175,7 @@ def links(nodes: DataFrame, known: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, ["bucket", "fps", "counts", "numbers"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         fps, numbers = [], []
         for batch in batches:
             for f, c, n in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
