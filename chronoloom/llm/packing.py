@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm.common import table, utf8, worker_cache
+from chronoloom.llm.common import table, thrifty, utf8, worker_cache
 
 CAPACITY = 2048
 LEAST_CUT = 128
@@ -213,15 +214,15 @@ def packed(docs: DataFrame, key: str = "doc_id", path: str | None = None, capaci
         packer, key_type = Packer(emit, TaskContext.get().partitionId() << 33, capacity), None
         for batch in batches:
             key_type = batch.column(0).type
-            texts = [t.as_py() for t in batch.column(1)]
-            keys = batch.column(0).to_pylist()
+            sizes, keys = pc.binary_length(batch.column(1)).to_pylist(), batch.column(0).to_pylist()
             begin = 0
-            while begin < len(texts):  # a few megabytes of text at once
+            while begin < len(sizes):  # a few megabytes of text at once
                 end, size = begin, 0
-                while end < len(texts) and (size < 4 << 20 or end == begin):
-                    size += len(texts[end])
+                while end < len(sizes) and (size < 4 << 20 or end == begin):
+                    size += sizes[end]
                     end += 1
-                for document, ids in zip(keys[begin:end], encode(texts[begin:end], tokenizer, known), strict=True):
+                texts = [t.as_py() for t in batch.column(1).slice(begin, end - begin)]
+                for document, ids in zip(keys[begin:end], encode(texts, tokenizer, known), strict=True):
                     start = 0
                     for n in cut(len(ids), capacity):
                         packer.add(((document, len(ids)), start, ids[start : start + n].copy()))
@@ -234,7 +235,7 @@ def packed(docs: DataFrame, key: str = "doc_id", path: str | None = None, capaci
             yield batch_of()
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select(key, utf8().alias("__text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(key, utf8().alias("__text")).mapInArrow(thrifty("packing", run), schema).withColumnRenamed("key", key)
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, table, utf8, worker_cache
+from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, table, thrifty, utf8, utf8_of
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -132,7 +132,6 @@ def ngram_counts(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("quality")
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, texts in pieces(_texts(batch.column(0))):
@@ -143,7 +142,6 @@ def ngram_counts(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("quality")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0), batch.column(1), strict=True):
@@ -151,8 +149,8 @@ def ngram_counts(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     schema, out = "slice int, counts binary", np.zeros(1 << bits, np.int64)
-    slices = docs.select(utf8().alias("text")).mapInArrow(count, schema)
-    for row in slices.repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect():
+    slices = docs.select(utf8().alias("text")).mapInArrow(thrifty("quality", count), schema)
+    for row in slices.repartitionById(SLICES, F.col("slice")).mapInArrow(thrifty("quality", add), schema).collect():
         out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["counts"]), np.int64)
     return out
 
@@ -187,14 +185,13 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """doc_id, the base measures and the ratio of every document, in the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("quality")
         for batch in batches:
             measures, score = judge(_texts(batch.column(1)), ratios)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in measures.T), pa.array(score)], names)
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
     kinds = [docs.schema["doc_id"].dataType.simpleString(), *["long"] * 5, "double"]
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return docs.select("doc_id", utf8().alias("text")).mapInArrow(thrifty("quality", run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def best_threshold(scores: DataFrame, labels: DataFrame) -> float | None:
@@ -266,17 +263,15 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (ratios, threshold), inner = fitted(docs, labels), shielded(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("quality")
         for batch in batches:
-            measures, score = judge(_texts(batch.column(0)), ratios)
+            measures, score = judge(_texts(utf8_of(batch.column(at))), ratios)
             kept = ~failed(measures[:, 0], measures[:, 4])
             if threshold is not None:
                 kept &= score >= threshold
-            whole = pa.RecordBatch.from_arrays(batch.columns[1:], names)
-            yield whole.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    names = inner.columns
-    return inner.select(utf8().alias("__text"), *names).mapInArrow(run, inner.schema).toDF(*docs.columns)
+    at = inner.columns.index("text")
+    return inner.mapInArrow(thrifty("quality", run), inner.schema).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, spread_join, table, utf8, worker_cache
+from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, spread_join, table, thrifty, utf8
 from chronoloom.llm.graph import components
 
 SEED = 42
@@ -77,13 +77,12 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns keep of every document and fp, its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("simhash")
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], [*keep, "fp"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(utf8().alias("__text"), *keep).mapInArrow(run, f"{kinds}, fp long")
+    return docs.select(utf8().alias("__text"), *keep).mapInArrow(thrifty("simhash", run), f"{kinds}, fp long")
 
 
 def masks() -> tuple[np.ndarray, int]:
@@ -165,7 +164,6 @@ def links(nodes: DataFrame, known: int) -> DataFrame:
     binary = pa.binary()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("simhash")
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), block):
@@ -175,7 +173,6 @@ def links(nodes: DataFrame, known: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, ["bucket", "fps", "counts", "numbers"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("simhash")
         fps, numbers = [], []
         for batch in batches:
             for f, c, n in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
@@ -185,9 +182,9 @@ def links(nodes: DataFrame, known: int) -> DataFrame:
             a, b = met(np.concatenate(fps), np.concatenate(numbers))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    variants = nodes.select("fp").mapInArrow(emit, "bucket int, fps binary, counts binary, numbers binary")
+    variants = nodes.select("fp").mapInArrow(thrifty("simhash", emit), "bucket int, fps binary, counts binary, numbers binary")
     # one bucket is one partition: equal variants meet in one task
-    return variants.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long")
+    return variants.repartitionById(buckets, F.col("bucket")).mapInArrow(thrifty("simhash", meet), "a long, b long")
 
 
 def grouped(rows: DataFrame, ident: str) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import shielded, table, utf8, worker_cache
+from chronoloom.llm.common import give_back, shielded, table, thrifty, utf8, utf8_of
 
 WINDOW = 128
 STRIDE = 64
@@ -562,7 +562,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     rows = training_rows(docs, labels, sample)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    net = train([t for t, _ in rows], [y for _, y in rows])
+    del rows
+    give_back()  # the driver has other stages to run
+    return net
 
 
 def score_batch(net: Network, texts: pa.Array, known: dict) -> np.ndarray:
@@ -582,12 +585,11 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score of every document, in the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("toxicity")
         known: dict = {}
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_batch(net, batch.column(1), known))], ["doc_id", "score"])
 
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", utf8().alias("text")).mapInArrow(thrifty("toxicity", run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -595,14 +597,13 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net, inner = fitted(docs, labels), shielded(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("toxicity")
         known: dict = {}
         for batch in batches:
-            clean = score_batch(net, batch.column(0), known) < THRESHOLD
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names).filter(pa.array(clean, pa.bool_()))
+            clean = score_batch(net, utf8_of(batch.column(at)), known) < THRESHOLD
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-    names = inner.columns
-    return inner.select(utf8().alias("__text"), *names).mapInArrow(run, inner.schema).toDF(*docs.columns)
+    at = inner.columns.index("text")
+    return inner.mapInArrow(thrifty("toxicity", run), inner.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

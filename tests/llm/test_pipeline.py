@@ -46,3 +46,29 @@ def test_run_leaves_one_table(spark, sf):
 
 def test_empty(spark, empty_sf):
     assert corpus_pipeline.run(spark, empty_sf).count() == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append("back"))
+    common.worker_cache("test before")["words"] = 1
+    said.clear()
+    task = common.thrifty("test", lambda batches: iter([*batches, common.worker_cache("test")]))
+    assert list(task(iter([1, 2]))) == [1, 2, {}] and said == ["back", "back"]
+
+
+def test_texts_are_handed_on_once(spark):
+    docs = spark.createDataFrame([(1, "fine words " * 60), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for stage in (toxicity, quality):
+        out = stage.keep(docs, labels)
+        assert "__text" not in out._jdf.queryExecution().analyzed().toString()
+        assert {r.doc_id for r in out.collect()} <= {1, 2, 3} and out.columns == docs.columns
+    assert sorted(r.doc_id for r in toxicity.keep(docs, labels).collect()) == [1, 2, 3]
+
+
+def test_utf8_of_a_column():
+    import pyarrow as pa
+
+    for kind in (pa.string(), pa.large_string()):
+        assert common.utf8_of(pa.array(["é", None, ""], kind)).to_pylist() == ["é".encode(), b"", b""]
