@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 NORM_FLOOR = 1e-12
 #: Bytes of the query vectors that are broadcast at once.
 QUERY_BYTES = 64 << 20
-#: Queries and documents of one matrix product, candidates that a task holds before it keeps the best, and places that scores are told apart by.
+#: Queries and documents of one matrix product, candidates that a task holds, over all its blocks of queries, before it keeps the best, and places that scores are told apart by.
 BLOCK_QUERIES, BLOCK_DOCUMENTS, HELD, PLACES = 1024, 2048, 1 << 21, 12
 BINS = 256
 
@@ -61,20 +61,28 @@ def histogram_mean(histogram: Column) -> Column:
 
 
 class Best:
-    """The k best documents of each query among those seen so far; ties go to the lower id."""
+    """The k best documents of each query among those seen so far; ties go to the lower id.
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.least = k, np.full(queries, -np.inf)
+    parts: how many such blocks of queries a task has, which share the room for candidates.
+    """
+
+    def __init__(self, queries: int, k: int, parts: int = 1):
+        self.k, self.least, self.room = k, np.full(queries, -np.inf), HELD // parts
         self.query, self.score, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def see(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: (queries, documents)."""
-        query, document = np.nonzero(scores >= self.least[:, None])
+        """scores: (queries, documents). Only what may be among the k best of these documents too is held."""
+        least = self.least
+        if scores.shape[1] > self.k:
+            ranked = np.where(np.isnan(scores), -np.inf, scores)
+            ranked.partition(-self.k, axis=1)
+            least = np.maximum(least, ranked[:, -self.k])
+        query, document = np.nonzero(scores >= least[:, None])
         self.held.append((query, scores[query, document], ids[document]))
         self.size += len(query)
-        if self.size > HELD:
+        if self.size > self.room:
             self.settle()
 
     def settle(self) -> None:
@@ -112,7 +120,8 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int, doc_id: str = "vec_i
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked, matrix = shared.value
-            parts, id_type = [(at, Best(len(matrix[at : at + BLOCK_QUERIES]), k)) for at in range(0, len(matrix), BLOCK_QUERIES)], None
+            begins = range(0, len(matrix), BLOCK_QUERIES)
+            parts, id_type = [(at, Best(len(matrix[at : at + BLOCK_QUERIES]), k, len(begins))) for at in begins], None
             for batch in batches:
                 id_type = batch.column(0).type
                 for at in range(0, batch.num_rows, BLOCK_DOCUMENTS):
@@ -122,7 +131,8 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int, doc_id: str = "vec_i
                     found = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
                     names = np.array(part.column(0).to_pylist(), object)
                     for first, best in parts:
-                        best.see(np.round(matrix[first : first + BLOCK_QUERIES] @ found.T, PLACES), names)
+                        scores = matrix[first : first + BLOCK_QUERIES] @ found.T
+                        best.see(np.round(scores, PLACES, out=scores), names)
             for first, best in parts:
                 best.settle()
                 if len(best.query):

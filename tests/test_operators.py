@@ -285,3 +285,17 @@ def test_histogram_counts_each_difference(spark):
     got = [r.h and {i: n for i, n in enumerate(r.h) if n} for r in out.collect()]
     assert got == [{0: 1, 255: 1, 2: 2}, {}, None, {2: 1}]
     assert out.select(vectors.histogram_mean(F.col("h"))).first()[0] == pytest.approx(259 / 4 / 255)
+
+
+def test_a_block_of_documents_leaves_few_candidates():
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((40, 900)), 2)
+    scores[:, 7] = np.nan
+    best = vectors.Best(40, 5, parts=4)
+    for at in (0, 450):
+        best.see(scores[:, at : at + 450], np.arange(at, at + 450).astype(object))
+    assert best.size < 40 * 40 and best.room * 4 <= vectors.HELD
+    best.settle()
+    for q in range(40):
+        want = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if s == s)[:5]
+        assert sorted(zip((-best.score[best.query == q]).tolist(), best.ids[best.query == q].tolist(), strict=True)) == want
