@@ -143,3 +143,17 @@ def test_channels_are_mixed_and_widths_read():
     for data in (b"", b"RIFF", head(7, 8, b"x"), wav(two)[:30], wav(two).replace(b"fmt ", b"fmx ")):
         with pytest.raises(ValueError):
             audio.header(io.BytesIO(data), len(data))
+
+
+@pytest.mark.parametrize(("height", "width", "step"), [(1, 1, 1), (9, 64, 1), (7, 30, 3), (12, 48, 6), (3, 8, 8)])
+def test_rows_and_diagonals_restore_alike(monkeypatch, height, width, step):
+    rng = np.random.default_rng(height)
+    rows, filters = rng.integers(0, 256, (height, width)).astype(np.uint8), (np.arange(height) % 5 + rng.integers(0, 5)) % 5
+    monkeypatch.setattr(images, "DIAGONAL", -1)
+    by_diagonals = images.restored(rows, filters, step)
+    assert (images.restored_by_rows(rows, filters, step) == by_diagonals).all()
+    monkeypatch.setattr(images, "DIAGONAL", 400)
+    monkeypatch.setattr(images, "by_nearest", lambda *a: bytes(width))
+    monkeypatch.setattr(images, "by_mean", lambda *a: bytes(width))
+    small = images.restored(rows, np.full(height, 4), step)
+    assert not small.any()  # restored row after row
