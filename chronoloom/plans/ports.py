@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronoloom import models
@@ -370,17 +370,23 @@ SELECT doc_id, i // 16000 AS k, count(*) AS n, sum(x)::BIGINT AS total, 16000 AS
 def sound_spans(spark, sf_dir):
     """Texts as sound, two bytes a sample, cut into seconds."""
 
-    @F.pandas_udf("binary")
-    def recorded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: audio.wav(np.frombuffer(t.encode().ljust(len(t.encode()) + len(t.encode()) % 2), "<i2")))
+    def recorded(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # a few files at once
+                part = batch.slice(at, 256)
+                raw = [x.as_py() for x in part.column(1)]
+                files = [audio.wav(np.frombuffer(x.ljust(len(x) + len(x) % 2), "<i2")) for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], ["video", "file"])
 
-    @F.pandas_udf("n long, total long")
-    def summed(sounds: pd.Series) -> pd.DataFrame:
-        read = [np.frombuffer(s, "<i2").astype(np.int64) for s in sounds]
-        return pd.DataFrame({"n": [len(x) for x in read], "total": [int(x.sum()) for x in read]})
+    def summed(batches):
+        for batch in batches:
+            read = (np.frombuffer(x.as_py(), "<i2") for x in batch.column(3))
+            sums = [(len(x), int(x.sum(dtype=np.int64))) for x in read]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([s[i] for s in sums], pa.int64()) for i in (0, 1)), batch.column(2)], ["doc_id", "k", "n", "total", "rate"])
 
     docs = views.read(spark, sf_dir, "documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("video"), "text")
     size = F.octet_length("text")
     spans_ = chunking.chunk_spans(docs.select("video", F.ceil((size + size % 2) / 2 * 62.5).alias("duration_us")), SPAN_US, 0)
-    cut = audio.with_sound(spans_.join(docs.withColumn("file", recorded("text")).drop("text"), "video"), "file")
-    return cut.withColumn("__s", summed("samples")).select(F.col("video").alias("doc_id"), "k", "__s.n", "__s.total", "rate")
+    files = docs.select("video", F.col("text").cast("binary")).mapInArrow(recorded, f"video {docs.schema['video'].dataType.simpleString()}, file binary")
+    cut = audio.with_sound(spans_.join(files, "video"), "file").select(F.col("video").alias("doc_id"), "k", "rate", "samples")
+    return cut.mapInArrow(summed, f"doc_id {docs.schema['video'].dataType.simpleString()}, k long, n long, total long, rate int")

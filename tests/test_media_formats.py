@@ -157,3 +157,10 @@ def test_rows_and_diagonals_restore_alike(monkeypatch, height, width, step):
     monkeypatch.setattr(images, "by_mean", lambda *a: bytes(width))
     small = images.restored(rows, np.full(height, 4), step)
     assert not small.any()  # restored row after row
+
+
+def test_spans_of_sound_pass_no_data_frame(spark):
+    from chronoloom.plans import ports
+
+    plan = ports.sound_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
