@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoloom.llm.alignment import byte_symbols
 from chronoloom.llm.common import table, thrifty, utf8, worker_cache
 
 CAPACITY = 2048
@@ -38,6 +39,11 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 500_000
 #: Strings of special tokens, which the tokenizer looks for before it lower-cases and splits.
 UNSPLITTABLE = re.compile(rb"<\|(?:start|end)oftext\|>", re.IGNORECASE)
+#: Small letters, ASCII or from U+00DF to U+00FF, which the tokenizer's normalizer leaves alone and its splits keep together; those with ASCII signs after them.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+SIGNED = r"\A(?P<letters>[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+)(?P<signs>[!-/:-@\[-`{-~]*)\z"
+#: Bytes of the longest word that a worker remembers.
+LONG_WORD = 100
 BATCH_IDS = 1 << 20
 
 
@@ -83,37 +89,74 @@ def word_ids(words: list[bytes], tokenizer, ends: np.ndarray) -> list[bytes]:
     return out
 
 
-def bare(word: bytes) -> bytes:
-    """A word without the full stop or comma after its last ASCII letter or digit; the tokenizer parts them anyway."""
-    return word[:-1] if word[-1:] in (b".", b",") and word[-2:-1].isalnum() else word
+def learn(stems: list[bytes], tokenizer) -> list[bytes]:
+    """The ids of distinct words: the model itself codes letters that the tokenizer would not change or part, the tokenizer others."""
+    out: list[bytes | None] = [None] * len(stems)
+    code, spell = tokenizer.model.tokenize, {b: c for c, b in byte_symbols().items()}
+    plain, ids, ends = [i for i, w in enumerate(stems) if LETTERS.fullmatch(w)], [], [0]
+    for i in plain:
+        word = stems[i]
+        ids += [t.id for t in code(word.decode() if word.isascii() else word.decode("latin-1").translate(spell))]
+        ends.append(4 * len(ids))
+    data = np.array(ids, "<u4").tobytes()
+    for i, begin, end in zip(plain, ends, ends[1:], strict=False):
+        out[i] = data[begin:end]
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, ids in zip(rest, word_ids([stems[i] for i in rest], tokenizer, token_ends(tokenizer)), strict=True):
+        out[i] = ids
+    return out
 
 
-def encode(texts: list[bytes], tokenizer, known: dict[bytes, bytes], closing: int = CLOSING) -> list[np.ndarray]:
-    """The ids of whole texts, each with the closing token.
+def recall(words: list[bytes], tokenizer, known: dict[bytes, bytes]) -> list[bytes]:
+    """The ids of distinct words, from what the worker knows and, from now on, of those it did not know.
 
-    The tokenizer lower-cases, drops white space and lets no token cross it, so a text's
-    ids are its words' ids; each word is encoded once a worker. Texts with the strings of
-    special tokens are encoded in one go.
+    Where that becomes too much, it goes on with these words alone. Very long words are
+    coded each time: they seldom come again and would take much memory.
     """
-    ends = token_ends(tokenizer)
-    split = [None if b"<|" in t and UNSPLITTABLE.search(t) else t.lower().split() for t in texts]
-    fresh = {w for words in split if words is not None for w in words if w not in known}
+    found = list(map(known.get, words))
+    fresh = [i for i, ids in enumerate(found) if ids is None]
+    for i, ids in zip(fresh, learn([words[i] for i in fresh], tokenizer), strict=True):
+        found[i] = ids
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
-        fresh = {w for words in split if words is not None for w in words}
-    stems = list({bare(w) for w in fresh} | {b".", b","})
-    stems = [w for w in stems if w not in known]
-    known.update(zip(stems, word_ids(stems, tokenizer, ends), strict=True))
-    for w in fresh:
-        if w not in known:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-    end, out = np.array([closing], "<u4").tobytes(), []
-    for text, words in zip(texts, split, strict=True):
-        if words is None:
-            ids = np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        fresh = range(len(words)) if len(words) <= REMEMBERED else []
+    known.update((words[i], found[i]) for i in fresh if len(words[i]) <= LONG_WORD)
+    return found
+
+
+def ids_of(words: pa.Array, tokenizer, known: dict[bytes, bytes]) -> pa.Array:
+    """The ids of distinct words; signs after plain letters are tokens of their own, so letters are coded once for all that follows."""
+    parts = pc.extract_regex(words, SIGNED)
+    stems = pc.coalesce(pc.struct_field(parts, "letters"), words).dictionary_encode()
+    signs = pc.fill_null(pc.struct_field(parts, "signs"), "").dictionary_encode()
+    both = [x.dictionary.view(pa.large_binary()).to_pylist() for x in (stems, signs)]
+    coded = [pa.array(recall(x, tokenizer, known), pa.large_binary()) for x in both]
+    return pc.binary_join_element_wise(coded[0].take(stems.indices), coded[1].take(signs.indices), pa.scalar(b"", pa.large_binary()))
+
+
+def encode(texts: list[bytes], tokenizer, known: dict[bytes, bytes], closing: int = CLOSING) -> list[np.ndarray]:
+    """The ids of whole texts, each with the closing token.
+
+    The tokenizer drops white space and lets no token cross it, so a text's ids are its
+    words' ids: Arrow numbers the distinct words of all texts, and lays their ids out where
+    they stand. Texts with the strings of special tokens are encoded in one go.
+
+    The tokenizer composes characters before it lower-cases, and some letters can only be
+    composed when small. So texts with combining marks keep their capitals.
+    """
+    odd = [b"<|" in t and UNSPLITTABLE.search(t) is not None for t in texts]
+    small = [b"" if o else t if b"\xcc" in t or b"\xcd" in t else t.lower() for t, o in zip(texts, odd, strict=True)]
+    split = pc.ascii_split_whitespace(pa.array(small, pa.large_binary()).view(pa.large_string()))
+    words = split.flatten().dictionary_encode()
+    _, places, data = ids_of(words.dictionary, tokenizer, known).take(words.indices).buffers()
+    ends = np.frombuffer(places, "<i8")[np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]].tolist()
+    end, data, out = np.array([closing], "<u4").tobytes(), memoryview(data), []
+    for text, o, a, b in zip(texts, odd, ends, ends[1:], strict=False):
+        if o:
+            own = np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            ids = b"".join([known[w] for w in words])
-        out.append(np.frombuffer(ids + end, "<u4"))
+            own = data[a:b]
+        out.append(np.frombuffer(b"".join((own, end)), "<u4"))
     return out
 
 

@@ -318,6 +318,36 @@ def test_op4_tiles_documents_and_sequences(spark, sf):
     assert set(parts) == {(i, n) for i, n, _ in want}
 
 
+def test_op4_ids_of_odd_words():
+    tokenizer, rng = packing.word_tokenizer(), random.Random(6)
+    marks = ["H\u0331 h\u0331", "J\u030c", "T\u0344", "W\u030a w\u030a", "The A\u0301 THE"]  # composed only when small
+    signs = ["it's", "it'.", "we'll'll", "a.b.", "3.14,", "\u2603.", "\u2603\u2603%%", "\u0130.", "\u0130", "stra\u00dfe!?", "\u00f7.", "caf\u00e9&&&", "cafe\u0301.", "\u00aa,", "\u0153uf.", "...", "<|x|>", "<|EndOfText|>", "a\u00a0b.", "a\x1cb,", "\u65e5\u672c."]
+    letters = [f"a{chr(c)}. {chr(c)}, {chr(c)}x{chr(c)}%% X{chr(c)}" for c in range(1, 0x600)]
+    mixed = ["".join(rng.choice("abE\u00e9\u00df\u0331'.%1 \n") for _ in range(40)) for _ in range(300)]
+    texts = ["", " \n", *marks, *signs, *letters, *mixed]
+    known = {}
+    for _ in range(2):  # new words, then known ones
+        found = packing.encode([t.encode() for t in texts], tokenizer, known, 7)
+        wrong = [t for t, ids in zip(texts, found, strict=True) if ids.tolist() != [*tokenizer.encode(t, add_special_tokens=False).ids, 7]]
+        assert not wrong
+    broken = b"ab\xff. \xc3 caf\xc3"
+    assert packing.encode([broken], tokenizer, known)[0].tolist() == [*tokenizer.encode(broken.decode("utf-8", "replace"), add_special_tokens=False).ids, 1]
+
+
+def test_op4_letters_are_coded_once(monkeypatch):
+    tokenizer, known, coded = packing.word_tokenizer(), {}, []
+    learn = packing.learn
+    monkeypatch.setattr(packing, "learn", lambda words, t: coded.extend(words) or learn(words, t))
+    packing.encode([b"these those", b"These. those,%% these&&&", b"x" * 5000], tokenizer, known)
+    packing.encode([b"THOSE?! these"], tokenizer, known)
+    assert sorted(coded) == sorted([b"these", b"those", b"x" * 5000, b"", b".", b",%%", b"&&&", b"?!"])
+    assert max(map(len, known)) < 5000
+    monkeypatch.setattr(packing, "REMEMBERED", 9)
+    want = packing.encode([b"a b c d e f g"], tokenizer, {})
+    assert packing.encode([b"a b c d e f g"], tokenizer, known)[0].tolist() == want[0].tolist()
+    assert len(known) <= 9 and set(b"abcdefg") <= {w[0] for w in known if w}
+
+
 def test_classes_hold_fixed_counts():
     placed = []
     p = packing.Packer(lambda s, o, piece: placed.append((s, o, len(piece[2]))))
