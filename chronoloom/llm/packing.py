@@ -259,9 +259,9 @@ def packed(docs: DataFrame, key: str = "doc_id", path: str | None = None, capaci
             key_type = batch.column(0).type
             sizes, keys = pc.binary_length(batch.column(1)).to_pylist(), batch.column(0).to_pylist()
             begin = 0
-            while begin < len(sizes):  # a few megabytes of text at once
+            while begin < len(sizes):  # some megabytes of text at once
                 end, size = begin, 0
-                while end < len(sizes) and (size < 4 << 20 or end == begin):
+                while end < len(sizes) and (size < 2 << 20 or end == begin):
                     size += sizes[end]
                     end += 1
                 texts = [t.as_py() for t in batch.column(1).slice(begin, end - begin)]
