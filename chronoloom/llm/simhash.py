@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import BROADCAST_IDS, materialise, shielded, spread_join, table, thrifty, utf8
-from chronoloom.llm.graph import components
+from chronoloom.llm.graph import stars
 
 SEED = 42
 SHINGLE = 3
@@ -191,8 +191,8 @@ def grouped(rows: DataFrame, ident: str) -> DataFrame:
     """rows (fp and others) with group_id: the smallest ident reachable over links."""
     nodes = materialise(rows.groupBy("fp").agg(F.min(ident).alias("first"), F.count("*").alias("copies")), "fingerprints")
     known, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    roots = components(links(nodes, known))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    linked = stars(links(nodes, known))
+    rooted = nodes.join(linked, nodes["fp"] == linked["a"], "left").select("fp", "first", "copies", F.coalesce("b", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("group_id"), F.count("*").alias("__n"))
     named = spread_join(rooted.select("fp", "copies", "root"), least, "root", F.xxhash64("fp"), known)

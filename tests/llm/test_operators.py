@@ -227,6 +227,17 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(62)} | {1000 + i: 1000 for i in range(50)}
 
 
+def test_components_broadcast_little(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)]
+    edges = spark.createDataFrame(edges, "a long, b long")
+
+    def broadcasts():
+        return spark.sparkContext.broadcast(0)._jbroadcast.id()
+
+    first = broadcasts()
+    graph.components(edges).count()
+    assert broadcasts() - first < 140  # each takes 4 MB of the driver's heap; with hubs broadcast in every join there were over 200
+
 # --- op3 --------------------------------------------------------------------------
 
 
